@@ -1,10 +1,12 @@
 """The registered queries of this subpackage, and their SQL where there is any."""
 
-from . import decontaminate, line_dedup, quality_rules
+from . import decontaminate, line_dedup, quality_model, quality_rules, simhash
 
 QUERIES = {
+    "op1_simhash": simhash.query,
     "op3_decontaminate": decontaminate.query,
     "op8_line_dedup": line_dedup.query,
+    "op9_quality_model": quality_model.query,
     "op10_quality_rules": quality_rules.query,
 }
 
