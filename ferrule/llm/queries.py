@@ -1,10 +1,13 @@
 """The registered queries of this subpackage, and their SQL where there is any."""
 
-from . import decontaminate, line_dedup, quality_model, quality_rules, simhash
+from . import decontaminate, license_scan, line_dedup, packing, quality_model, quality_rules, simhash, token_count
 
 QUERIES = {
     "op1_simhash": simhash.query,
     "op3_decontaminate": decontaminate.query,
+    "op4_license_scan": license_scan.query,
+    "op5_best_fit_packing": packing.query,
+    "op6_token_count": token_count.query,
     "op8_line_dedup": line_dedup.query,
     "op9_quality_model": quality_model.query,
     "op10_quality_rules": quality_rules.query,
@@ -12,5 +15,6 @@ QUERIES = {
 
 ORACLES = {
     "op3_decontaminate": decontaminate.SQL,
+    "op4_license_scan": license_scan.SQL,
     "op8_line_dedup": line_dedup.SQL,
 }
