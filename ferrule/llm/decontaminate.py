@@ -225,6 +225,23 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
     return out.drop("text").mapInArrow(_count, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<long>")
 
 
+def _clean(batches: Iterator[pa.RecordBatch], automata: list) -> Iterator[pa.RecordBatch]:
+    matchers = [a.value for a in automata]
+    for batch in slices(batches, "text"):
+        keep = []
+        for text in texts_of(batch.column("text")):
+            words = alnum_words(text)
+            hit = sum(stop - start for start, stop in merged([s for m in matchers for s in m.scan(words)[0]]))
+            keep.append(hit == 0 or COVERAGE * hit < len(words))
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``decontaminate`` does not call contaminated."""
+    automata = [docs.sparkSession.sparkContext.broadcast(SuffixAutomaton(block, window)) for block in _blocks(items, block_words)]
+    return docs.mapInArrow(lambda b: _clean(b, automata), docs.schema)
+
+
 def without_spans(text: str, spans: list[int]) -> str:
     """The text less the words in ``spans`` and what stands between them; other characters stay."""
     if not spans:

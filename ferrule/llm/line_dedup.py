@@ -10,7 +10,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -58,6 +57,14 @@ def _cut(batches: Iterator[pa.RecordBatch], least: int, with_text: bool) -> Iter
         yield pa.RecordBatch.from_arrays([*rest, *counts, digest, text], names=[*names, "n_lines", "n_dropped", "kept_sha256", "kept_text"])
 
 
+def _dropped(narrow: DataFrame, least_chars: int, least_docs: int) -> DataFrame:
+    """``_id, _drop``: the keys whose lines a document loses; ``narrow`` has ``_id, text``."""
+    keys = narrow.select("_id", "text").mapInArrow(lambda b: _keys(b, least_chars), "_id long, _key binary")
+    # a document sends a key once, and distinct() folds rows that repeat an id
+    common = keys.distinct().groupBy("_key").agg(F.max("_id").alias("_last"), F.count("*").alias("_n")).where(F.col("_n") >= least_docs)
+    return keys.join(common, "_key").where("_id < _last").groupBy("_id").agg(F.collect_set("_key").alias("_drop"))
+
+
 def line_dedup(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, with_text: bool = True) -> DataFrame:
     """``doc_id, n_lines, n_dropped, kept_sha256, kept_text`` for each row of ``docs`` (``doc_id``, ``text``).
 
@@ -69,14 +76,27 @@ def line_dedup(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int
     smaller than any other.  Other columns are not read.
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    keys = narrow.select("_id", "text").mapInArrow(lambda b: _keys(b, least_chars), "_id long, _key binary")
-    # a document sends a key once, and distinct() folds rows that repeat an id
-    common = keys.distinct().groupBy("_key").agg(F.max("_id").alias("_last"), F.count("*").alias("_n")).where(F.col("_n") >= least_docs)
-    drop = keys.join(common, "_key").where("_id < _last").groupBy("_id").agg(F.collect_set("_key").alias("_drop"))
+    drop = _dropped(narrow, least_chars, least_docs)
     kept = "doc_id long, n_lines long, n_dropped long, kept_sha256 string, kept_text string"
     return narrow.join(drop, "_id", "left").select("doc_id", "text", "_drop").mapInArrow(lambda b: _cut(b, least_chars, with_text), kept)
 
 
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """``docs``, with all its columns, less the lines that ``line_dedup`` drops.
+
+    ``n_chars``, if there is such a column, follows the new text; a null text
+    becomes the empty one.
+    """
+    rest = [c for c in docs.columns if c != "text"]
+    narrow = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_rest"), "text")
+    joined = narrow.join(_dropped(narrow, LEAST_CHARS, LEAST_DOCS), "_id", "left").select("_rest", "text", "_drop")
+    kept = joined.mapInArrow(lambda b: _cut(b, LEAST_CHARS, True), f"_rest {narrow.schema['_rest'].dataType.simpleString()}, n_lines long, n_dropped long, kept_sha256 string, kept_text string")
+    columns = {c: F.col("_rest")[c] for c in rest} | {"text": F.col("kept_text")}
+    if "n_chars" in rest:
+        columns["n_chars"] = F.length("kept_text").cast(docs.schema["n_chars"].dataType)
+    return kept.select(*(columns[c].alias(c) for c in docs.columns))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=False).drop("kept_text")
 

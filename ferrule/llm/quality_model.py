@@ -185,6 +185,11 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
     return model
 
 
+def _stats(docs: DataFrame) -> DataFrame:
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return materialise(narrow.mapInArrow(_measured, "doc_id long, stats binary"), "stats")
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for each row of ``docs``; ``labels`` has ``doc_id, quality``.
 
@@ -194,12 +199,23 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     mean; a repeated document counts again for each row.  Without any label to
     learn from every score is 0.5.  Other columns are not read.
     """
-    stats = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_measured, "doc_id long, stats binary"), "stats")
+    stats = _stats(docs)
     model = fit(stats, labels)
     scored = stats.mapInArrow(lambda b: _scored(b, model), "doc_id long, score double, predicted int")
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def _good(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text"):
+        yield batch.filter(pa.array(model.score(statistics(batch.column("text"))) >= 0.5))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``quality_scores`` predicts to be good."""
+    model = fit(_stats(docs), labels)
+    return docs.mapInArrow(lambda b: _good(b, model), docs.schema)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     read = spark.read.parquet
     return quality_scores(read(f"{sf_dir}/documents.parquet"), read(f"{sf_dir}/labels.parquet"))

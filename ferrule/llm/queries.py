@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and their SQL where there is any."""
 
-from . import decontaminate, license_scan, line_dedup, packing, quality_model, quality_rules, simhash, token_count
+from . import decontaminate, license_scan, line_dedup, packing, quality_model, quality_rules, simhash, suffix_dedup, token_count
 
 QUERIES = {
     "op1_simhash": simhash.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_license_scan": license_scan.query,
     "op5_best_fit_packing": packing.query,
     "op6_token_count": token_count.query,
+    "op7_suffix_dedup": suffix_dedup.query,
     "op8_line_dedup": line_dedup.query,
     "op9_quality_model": quality_model.query,
     "op10_quality_rules": quality_rules.query,

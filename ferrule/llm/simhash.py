@@ -16,7 +16,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._scratch import materialise
@@ -28,7 +28,7 @@ RADIUS = 2
 #: Fingerprints that the shard tree is fitted on, at most.
 SAMPLE = 16_384
 #: Fingerprints to a shard, about.
-SHARD_ROWS = 25_000
+SHARD_ROWS = 8_192
 LEAF = 128
 
 
@@ -251,5 +251,17 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     return marks.join(linked, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs``, with all its columns, less all but the smallest ``doc_id`` of each component.
+
+    Of rows that repeat an id one stays, the first by text; rows without an id stay.
+    """
+    kept = simhash_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"))
+    first = F.row_number().over(Window.partitionBy("_id").orderBy("_text"))
+    one = rows.where("_id IS NOT NULL").join(kept, F.col("_id") == F.col("_kept"), "left_semi").withColumn("_n", first).where("_n = 1")
+    return one.select("_doc").unionByName(rows.where("_id IS NULL").select("_doc")).select("_doc.*")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
