@@ -85,12 +85,19 @@ _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 
 
+_known: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
+    """The first ``n`` powers; kept for the next call."""
+    if base not in _known or len(_known[base]) < n:
+        out = np.full(max(n, 1), base, np.uint64)
         out[0] = 1
         np.multiply.accumulate(out, out=out)
-    return out
+        if n > 1 << 24:  # not worth the memory
+            return out
+        _known[base] = out
+    return _known[base][:n]
 
 
 _BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64))
@@ -112,3 +119,20 @@ class PrefixHash:
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The hash of each span ``[start, end)``; the same content has the same hash anywhere."""
         return mixed((self._sums[ends] - self._sums[starts]) * self._back[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, 9, 10, 11, 12, 13]] = True
+
+
+def word_bounds(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    r"""First byte and end of each word ``[^\x20\x09-\x0D]+``; no word goes on into the next text."""
+    inside = ~_SPACE[raw]
+    begins, stops = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    stops[:-1] &= ~inside[1:]
+    heads = starts[:-1][starts[:-1] < len(raw)]
+    begins[heads] = inside[heads]
+    tails = starts[1:][starts[1:] > 0] - 1
+    stops[tails] = inside[tails]
+    return np.flatnonzero(begins), np.flatnonzero(stops) + 1

@@ -1,9 +1,10 @@
 """The registered queries of this subpackage, and their SQL where there is any."""
 
-from . import decontaminate, license_scan, line_dedup, packing, quality_model, quality_rules, simhash, suffix_dedup, token_count
+from . import decontaminate, license_scan, line_dedup, packing, pitman_yor, quality_model, quality_rules, simhash, suffix_dedup, token_count
 
 QUERIES = {
     "op1_simhash": simhash.query,
+    "op2_pitman_yor": pitman_yor.query,
     "op3_decontaminate": decontaminate.query,
     "op4_license_scan": license_scan.query,
     "op5_best_fit_packing": packing.query,

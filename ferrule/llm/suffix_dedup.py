@@ -35,6 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._blobs import press, unpress
 from ._scratch import materialise
 from ._text import PrefixHash, flat, mixed, slices
 
@@ -113,38 +114,6 @@ def _is_least(grams: np.ndarray, least: np.ndarray, inside: np.ndarray, g: int)
     return (_sliding(np.concatenate([pad, known, pad]), g, np.maximum) == grams) & (grams > 0)
 
 
-_NUMBERS = {"u1": np.uint8, "u2": np.uint16, "u4": np.uint32, "u8": np.uint64, "i8": np.int64}
-
-
-def _press(**arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed value; sorted 64-bit keys shrink as differences."""
-    parts, head = [], []
-    for name, a in arrays.items():
-        if name == "key":
-            a = np.diff(a, prepend=np.uint64(0))
-        kind = next(k for k, t in _NUMBERS.items() if a.dtype == t)
-        # bytes of the same weight stand together, so that small numbers shrink
-        body = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes()
-        head.append(f"{name}:{kind}:{len(a)}")
-        parts.append(body)
-    title = ",".join(head).encode()
-    return zstandard.ZstdCompressor(level=1).compress(len(title).to_bytes(4, "little") + title + b"".join(parts))
-
-
-def _unpress(blob: bytes) -> dict[str, np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    at = 4 + int.from_bytes(raw[:4], "little")
-    out = {}
-    for entry in raw[4:at].decode().split(","):
-        name, kind, n = entry.split(":")
-        width = np.dtype(_NUMBERS[kind]).itemsize
-        size = int(n) * width
-        a = np.ascontiguousarray(np.frombuffer(raw, np.uint8, size, at).reshape(width, int(n)).T).view(_NUMBERS[kind]).ravel()
-        out[name] = np.cumsum(a, dtype=np.uint64) if name == "key" else a
-        at += size
-    return out
-
-
 def _bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (mixed(keys) % np.uint64(buckets)).astype(np.int64)
 
@@ -166,7 +135,7 @@ def _dealt(buckets: np.ndarray, order_by: np.ndarray, docs: dict[str, np.ndarray
         if len(part):
             used, local = np.unique(doc[part], return_inverse=True)
             columns = {k: a[part] for k, a in arrays.items()}
-            out.append((int(buckets[part[0]]), _press(**columns, doc=local.astype(np.uint32), **{k: a[used] for k, a in docs.items()})))
+            out.append((int(buckets[part[0]]), press(**columns, doc=local.astype(np.uint32), **{k: a[used] for k, a in docs.items()})))
     return out
 
 
@@ -215,7 +184,7 @@ def _gathered(blobs: list[bytes]) -> dict[str, np.ndarray]:
     """The rows of several blobs, with ``ids`` and ``marks`` for each row."""
     parts = []
     for blob in blobs:
-        a = _unpress(blob)
+        a = unpress(blob)
         doc = a.pop("doc")
         a["ids"], a["marks"] = a["ids"][doc], a["marks"][doc]
         parts.append(a)
@@ -325,7 +294,7 @@ def _send_strings(docs: pa.Table, found: pa.Table, buckets: int) -> pa.Table:
         order = np.lexsort((keys, bucket))
         for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
             used, local = np.unique(doc[part], return_inverse=True)
-            blob = _press(
+            blob = press(
                 key=keys[part], at=first[part].astype(np.uint32), strings=strings[part].astype(np.uint8), doc=local.astype(np.uint32),
                 text=np.frombuffer(b"".join(text_parts[p] for p in part.tolist()), np.uint8), **{k: a[used] for k, a in names.items()},
             )
@@ -340,7 +309,7 @@ def _refine(table: pa.Table, homes: int) -> pa.Table:
     """Step 2, by buckets: the strings that also start earlier, to the documents' homes."""
     whole = []
     for blob in table.column("blob").to_pylist():
-        a = _unpress(blob)
+        a = unpress(blob)
         ids, marks = a["ids"][a["doc"]], a["marks"][a["doc"]]
         if "text" in a:
             n = a["strings"].astype(np.int64) + 1
