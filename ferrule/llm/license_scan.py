@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +26,8 @@ TEMPLATES = [
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
-    ("BSD-2-Clause", "Released under the 2-Clause BSD License."),
-    ("BSD-3-Clause", "Released under the 3-Clause BSD License."),
+    ("BSD-2-Clause", "Released under the Simplified BSD 2-Clause License."),
+    ("BSD-3-Clause", "Released under the Modified BSD 3-Clause License."),
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
@@ -46,28 +48,34 @@ TEMPLATES = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "SPDX-License-Identifier: MIT"),
-    ("MPL-2.0", "This file is subject to the terms of the Mozilla Public License, version 2.0."),
+    ("MPL-2.0", "Licensed under the Mozilla Public License, version 2.0."),
     ("Proprietary", "All rights reserved."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Unlicense", "Released into the public domain under the Unlicense."),
 ]
 
 
+#: Words that ordinary text has too: as cues they come last.
+ORDINARY = set("a all and any by file free in into is of released subject terms the this to under version work".split())
+
+
 def model(templates: list[tuple[str, str]] = TEMPLATES) -> tuple[dict[str, float], list[tuple[str, str, float]], set[str], float]:
     """Inverse document frequencies; unit weights ``template, term, weight``; cue terms; the frequency of unknown terms.
 
-    A line without any cue term cannot reach ``LEAST_COSINE`` with any template:
-    a template's cues are its heaviest terms, until what is left has a norm below it.
+    A line without any cue term cannot reach ``LEAST_COSINE`` with any template: a
+    template's cues are its heaviest terms, rare words first, until what is left
+    has a norm below it.
     """
     terms = [re.findall(r"[a-z0-9]+", text.lower()) for _, text in templates]
     df = {t: sum(t in x for x in terms) for x in terms for t in x}
     n = len(templates)
     idf = {t: math.log((1 + n) / (1 + k)) + 1 for t, k in df.items()}
     weights, cues = [], set()
+    t_class = lambda t: 2 if t in ORDINARY else 1 if t.isdigit() else 0
     for i, ((name, _), words) in enumerate(zip(templates, terms, strict=True)):
         raw = {t: words.count(t) * idf[t] for t in words}
         norm = math.sqrt(sum(v * v for v in raw.values()))
         left = 1.0
-        for t, v in sorted(raw.items(), key=lambda x: (-x[1], x[0])):
+        for t, v in sorted(raw.items(), key=lambda x: (t_class(x[0]), -x[1], x[0])):
             weights.append((f"{i:03d}|{name}", t, v / norm))
             if left >= LEAST_COSINE**2 - 1e-9:
                 cues.add(t)
@@ -96,24 +104,28 @@ def license_scan(files: DataFrame, least_cosine: float = LEAST_COSINE) -> DataFr
     files = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("path").cast("string").alias("path"), "text")
     keys = ["doc_id", "path"]
 
-    lines = files.select(*keys, F.posexplode(F.split("text", "\n")).alias("line", "words"))
+    # a text without any cue has no line with one; the lambda sees to it that a text is put in lower case once
+    cued = F.transform(F.array(F.lower("text")), lambda t: reduce(or_, (F.contains(t, F.lit(c)) for c in sorted(cues))))[0]
+    n_words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    near = files.where(cued).select(*keys, n_words.alias("n_words"), F.split("text", "\n").alias("lines"))
+    lines = near.select(*keys, "n_words", F.posexplode("lines").alias("line", "words"))
     lines = lines.withColumn("words", F.split(F.lower("words"), "[^a-z0-9]+")).where(F.arrays_overlap("words", F.array(*map(F.lit, sorted(cues)))))
-    terms = lines.select(*keys, "line", F.explode("words").alias("term")).where("term <> ''")
-    counted = terms.groupBy(*keys, "line", "term").agg(F.count("*").cast("double").alias("tf")).join(rarity, "term", "left")
+    terms = lines.select(*keys, "line", "n_words", F.explode("words").alias("term")).where("term <> ''")
+    counted = terms.groupBy(*keys, "line", "term").agg(F.count("*").cast("double").alias("tf"), F.max("n_words").alias("n_words")).join(rarity, "term", "left")
     counted = counted.withColumn("v", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
-    norms = counted.groupBy(*keys, "line").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"), F.sum("tf").alias("size"))
+    norms = counted.groupBy(*keys, "line").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"), F.sum("tf").alias("size"), F.max("n_words").alias("n_words"))
     dots = counted.where("idf IS NOT NULL").join(weight, "term").groupBy(*keys, "line", "template").agg(F.sum(F.col("v") * F.col("weight")).alias("dot"))
     same = lambda a, b: [a[k].eqNullSafe(b[k]) for k in (*keys, "line")]
-    scored = dots.join(norms, same(dots, norms)).select(*(dots[k] for k in (*keys, "line")), "template", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine"), "size")
+    scored = dots.join(norms, same(dots, norms)).select(*(dots[k] for k in (*keys, "line")), "template", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine"), "size", "n_words")
     matched = scored.where(F.col("cosine") >= least_cosine)
     best = F.struct((-F.col("cosine")).alias("low"), F.col("line"), F.col("template"))
-    own = matched.groupBy(*keys).agg(F.min(best).alias("best"))
+    own = matched.groupBy(*keys).agg(F.min(best).alias("best"), F.max("n_words").alias("n_words"))
     sizes = matched.select(*keys, "line", "size").distinct().groupBy(*keys).agg(F.sum("size").alias("license_words"))
 
     own = own.join(sizes, [own[k].eqNullSafe(sizes[k]) for k in keys]).select(
-        *(own[k].alias(f"_{k}") for k in keys), F.substring_index("best.template", "|", -1).alias("own"), (-F.col("best.low")).alias("cosine"), "license_words"
+        *(own[k].alias(f"_{k}") for k in keys), F.substring_index("best.template", "|", -1).alias("own"), (-F.col("best.low")).alias("cosine"), "license_words", "n_words"
     )
-    held = files.select(*keys, F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("n_words"))
+    held = files.select(*keys)
     found = held.join(own, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("path").eqNullSafe(F.col("_path")), "left").drop("_doc_id", "_path")
     found = found.withColumn("dir", F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).when(F.col("path").isNotNull(), F.lit("")))
 
