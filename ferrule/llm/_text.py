@@ -16,7 +16,7 @@ ALNUM = bytes.maketrans(
     b" " * sum(not chr(c).isalnum() for c in range(128)) + _LOWER,
 )
 #: Bytes of texts that are handled at a time.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 1 << 20
 
 
 def space_words(text: bytes) -> list[bytes]:
