@@ -15,6 +15,8 @@ RRF_K, CANDIDATES, RERANKED = 60, 20, 30
 
 def fuse(*rankings: DataFrame, k: int | None = None) -> DataFrame:
     """Rankings (``query_id, chunk_id, rank``) as one, with ``score`` and ``rank``; equal scores stand in order of first sight."""
+    # a union that keeps its sides' partitioning zips them, and fails where adaptive execution has coalesced one of them
+    rankings[0].sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
     lists = [r.select("query_id", "chunk_id", "rank", F.lit(i).alias("_list")) for i, r in enumerate(rankings)]
     both = lists[0]
     for other in lists[1:]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -22,40 +25,32 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
-def hash_embedding(text: Column, dimension: int = DIMENSION) -> Column:
-    """A deterministic stand-in for a model: signed word counts, by hash."""
-    tokens = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
-    zero = F.array_repeat(F.lit(0.0), dimension)
-
-    def add(acc: Column, w: Column) -> Column:
-        h = F.xxhash64(w)
-        at = F.pmod(h, F.lit(dimension)).cast("int")
-        return F.transform(acc, lambda x, i: F.when(i == at, x + F.when(F.shiftright(h, 32) % 2 == 0, 1.0).otherwise(-1.0)).otherwise(x))
+def _hashed(text: str | None, dimension: int) -> np.ndarray:
+    out = np.zeros(dimension, np.float32)
+    for w in (text or "").lower().split():
+        h = zlib.crc32(w.encode())
+        out[h % dimension] += 1 if h >> 16 & 1 else -1
+    return out
 
-    return F.aggregate(F.filter(tokens, lambda w: w != ""), zero, add)
 
+def hash_embedding(text: Column, dimension: int = DIMENSION) -> Column:
+    """A deterministic stand-in for a model: signed word counts, by hash.
 
-def embed(df: DataFrame, column: str = "text", dimension: int = DIMENSION, batch: int = 256) -> DataFrame:
-    """``df`` with ``embedding``, by word hashes: an iterator UDF of Arrow batches, as a model would be run."""
-    if batch < 1:
-        raise ValueError("batch must be at least 1")
-    import zlib
-
-    def vector(text: str | None) -> np.ndarray:
-        out = np.zeros(dimension, np.float32)
-        for w in (text or "").lower().split():
-            h = zlib.crc32(w.encode())
-            out[h % dimension] += 1 if h >> 16 & 1 else -1
-        return out
+    An iterator UDF over Arrow batches, as a model would be run: it is set up once
+    for a worker, not for a batch.
+    """
 
-    def run(batches):
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([vector(t) for t in texts])
-
-    from collections.abc import Iterator
+            yield pd.Series([_hashed(t, dimension) for t in texts])
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return df.withColumn("embedding", F.pandas_udf(run, "array<float>")(F.col(column)))
+    return F.pandas_udf(run, "array<float>")(text)
+
+
+def embed(df: DataFrame, column: str = "text", dimension: int = DIMENSION) -> DataFrame:
+    """``df`` with ``embedding`` of a text column."""
+    return df.withColumn("embedding", hash_embedding(F.col(column), dimension))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:

@@ -156,7 +156,7 @@ def signals(spark, d: str) -> DataFrame:
     """Boxes, coverage and ink of pages; of some, one or the other is unknown."""
     li = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("q"))
     return li.select(
-        F.col("l_orderkey").alias("page_num"), F.when(F.col("l_orderkey") % 13 > 0, (F.col("n") * (F.col("l_orderkey") % 5) * 10).cast("int")).alias("boxes"), F.round(F.col("q") / 2000, 6).alias("box_coverage"),
+        F.col("l_orderkey").alias("page_num"), F.when(F.col("l_orderkey") % 13 > 0, (F.col("n") * (F.col("l_orderkey") % 5) * 10).cast("int")).alias("boxes"), (F.col("q") / 2048).alias("box_coverage"),
         F.when(F.col("l_orderkey") % 3 > 0, F.round((F.col("l_orderkey") % 60) / 100, 3)).alias("dark_ratio"),
     )
 
@@ -167,7 +167,7 @@ def routes(name: str, cover: float, fragment: float) -> str:
   WHEN box_coverage < {cover} AND dark_ratio < 0.02 THEN 'sparse cov ' || printf('%.3f', box_coverage) || ' < {cover} (title/divider)' WHEN box_coverage / nullif(boxes, 0) < {fragment} THEN 'frag ' || printf('%.5f', box_coverage / nullif(boxes, 0)) || ' < {fragment} (spec/map/chart)' ELSE 'default -> text' END AS reason FROM s)"""
 
 
-SIGNALS = """s AS (SELECT l_orderkey AS page_num, CASE WHEN l_orderkey % 13 > 0 THEN CAST(count(*) * (l_orderkey % 5) * 10 AS INTEGER) END AS boxes, round(sum(l_quantity) / 2000, 6) AS box_coverage, CASE WHEN l_orderkey % 3 > 0 THEN round((l_orderkey % 60) / 100.0::DOUBLE, 3) END AS dark_ratio FROM lineitem GROUP BY l_orderkey)"""
+SIGNALS = """s AS (SELECT l_orderkey AS page_num, CASE WHEN l_orderkey % 13 > 0 THEN CAST(count(*) * (l_orderkey % 5) * 10 AS INTEGER) END AS boxes, sum(l_quantity) / 2048 AS box_coverage, CASE WHEN l_orderkey % 3 > 0 THEN round((l_orderkey % 60) / 100.0::DOUBLE, 3) END AS dark_ratio FROM lineitem GROUP BY l_orderkey)"""
 
 
 @query("pol_trace", f"WITH {SIGNALS}, {routes('t', 0.1, 0.001)} SELECT page_num, route, coalesce(boxes, -1) AS boxes, CASE WHEN boxes > 0 THEN round(box_coverage / boxes, 6) END AS mean_box_area FROM t")
