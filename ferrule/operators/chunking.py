@@ -125,16 +125,22 @@ def chunk_file(file: str, pages: list[tuple[int, str, str]], structure: Structur
 def chunk_pages(pages: DataFrame, structure: Structure = CONTRACT_STRUCTURE) -> DataFrame:
     """Chunks of all files of ``pages`` (``file, page_num, text, page_kind``), with ``ord``, their order in the file.
 
-    Only one file's pages are together in a task.
+    A file's pages meet in one row, and files go to Python in Arrow batches: a
+    group of its own for each file would cost more than its chunks.
     """
-
-    def of_file(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("page_num", kind="stable")
-        rows = chunk_file(group["file"].iloc[0], list(zip(group["page_num"].tolist(), group["text"].fillna("").tolist(), group["page_kind"].tolist(), strict=True)), structure)
-        return pd.DataFrame([{**r, "ord": i} for i, r in enumerate(rows)], columns=[*(c.split()[0] for c in _COLUMNS), "ord"])
-
-    _COLUMNS = [c.strip() for c in re.split(r",\s*(?![^<]*>)", CHUNK)]
-    return pages.select("file", "page_num", "text", "page_kind").groupBy("file").applyInPandas(of_file, f"{CHUNK}, ord long")
+    columns = [*(c.strip().split()[0] for c in re.split(r",\s*(?![^<]*>)", CHUNK)), "ord"]
+
+    def of_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for file, group in zip(batch["file"], batch["pages"], strict=True):
+                found = chunk_file(file, [(p["page_num"], p["text"] or "", p["page_kind"]) for p in group], structure)
+                rows += [{**r, "ord": i} for i, r in enumerate(found)]
+            yield pd.DataFrame(rows, columns=columns)
+
+    page = F.struct("page_num", "text", "page_kind")
+    files = pages.select("file", "page_num", "text", "page_kind").groupBy("file").agg(F.sort_array(F.collect_list(page)).alias("pages"))
+    return files.mapInPandas(of_files, f"{CHUNK}, ord long")
 
 
 def split_long(text: Column, most: int = PARAGRAPH_MOST) -> Column:

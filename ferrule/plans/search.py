@@ -12,6 +12,7 @@ from ferrule.functions.text import indexable, preview
 from ferrule.operators import bm25, citations, evaluation, fusion, graph, vector
 from ferrule.operators.chunking import chunk_pages
 from ferrule.plans.slots import Slots
+from ferrule.sources.scratch import materialise
 
 #: Fixed values.
 RETRIEVED, ANSWERED_FROM, MOST_RESULTS, MOST_QUESTION = 10, 5, 50, 1000
@@ -36,10 +37,11 @@ def collect(chunks: DataFrame, slots: Slots = Slots()) -> Collection:  # noqa: B
     """A collection of chunks; chunks that come again replace their content."""
     rows = chunks.withColumn("chunk_id", F.col("id"))
     last = F.max_by(F.struct(*(c for c in rows.columns if c not in ("chunk_id", "ord"))), "ord").alias("_l")
-    rows = rows.groupBy("chunk_id").agg(F.min(F.struct("file", "ord")).alias("ord"), last).select("chunk_id", "ord", "_l.*")
+    # the chunk table comes first: vectors, index and graph are derived from what is stored
+    rows = materialise(rows.groupBy("chunk_id").agg(F.min(F.struct("file", "ord")).alias("ord"), last).select("chunk_id", "ord", "_l.*"), "chunks")
     text = indexable(F.col("text"), F.col("caption"))
-    vectors = rows.select("chunk_id", slots.embed(text).alias("embedding"))
-    return Collection(rows, vectors, bm25.build(rows.select("chunk_id", "ord", text.alias("text")), slots.tokenise), graph.mentions(chunks))
+    vectors = materialise(rows.select("chunk_id", slots.embed(text).alias("embedding")), "vectors")
+    return Collection(rows, vectors, bm25.build(rows.select("chunk_id", "ord", text.alias("text")), slots.tokenise), graph.mentions(rows))
 
 
 def check_request(question: str, k: int = RETRIEVED) -> None:
@@ -63,7 +65,7 @@ def search(c: Collection, queries: DataFrame, k: int = RETRIEVED, rerank: bool =
 def ask(c: Collection, questions: DataFrame, slots: Slots | None = None) -> DataFrame:
     """``query_id, text, citations, confidence`` for each question; without an answerer the first passages themselves are cited."""
     s = slots or Slots()
-    hits = search(c, questions, RETRIEVED, slots=s)
+    hits = materialise(search(c, questions, RETRIEVED, slots=s), "hits")
     top = hits.where(F.col("rank") <= ANSWERED_FROM)
     pairs = top.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "file", "page"))), lambda x: F.struct(x["file"].alias("file"), x["page"].alias("page"))).alias("context"))
     if slots is None:
