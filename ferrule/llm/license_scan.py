@@ -10,11 +10,13 @@ from __future__ import annotations
 import math
 import re
 from functools import reduce
-from operator import or_
+from operator import add, or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._scratch import materialise
+
 LEAST_COSINE = 0.8
 #: A file whose license lines make up such a share of its words is a license file, whatever its name.
 FILE_SHARE = 0.5
@@ -54,33 +56,53 @@ TEMPLATES = [
 ]
 
 
-#: Words that ordinary text has too: as cues they come last.
-ORDINARY = set("a all and any by file free in into is of released subject terms the this to under version work".split())
-
-
-def model(templates: list[tuple[str, str]] = TEMPLATES) -> tuple[dict[str, float], list[tuple[str, str, float]], set[str], float]:
-    """Inverse document frequencies; unit weights ``template, term, weight``; cue terms; the frequency of unknown terms.
-
-    A line without any cue term cannot reach ``LEAST_COSINE`` with any template: a
-    template's cues are its heaviest terms, rare words first, until what is left
-    has a norm below it.
-    """
+def model(templates: list[tuple[str, str]] = TEMPLATES) -> tuple[dict[str, float], list[tuple[str, str, float]], float]:
+    """Inverse document frequencies; unit weights ``template, term, weight``; the frequency of unknown terms."""
     terms = [re.findall(r"[a-z0-9]+", text.lower()) for _, text in templates]
     df = {t: sum(t in x for x in terms) for x in terms for t in x}
     n = len(templates)
     idf = {t: math.log((1 + n) / (1 + k)) + 1 for t, k in df.items()}
-    weights, cues = [], set()
-    t_class = lambda t: 2 if t in ORDINARY else 1 if t.isdigit() else 0
+    weights = []
     for i, ((name, _), words) in enumerate(zip(templates, terms, strict=True)):
         raw = {t: words.count(t) * idf[t] for t in words}
         norm = math.sqrt(sum(v * v for v in raw.values()))
-        left = 1.0
-        for t, v in sorted(raw.items(), key=lambda x: (t_class(x[0]), -x[1], x[0])):
-            weights.append((f"{i:03d}|{name}", t, v / norm))
-            if left >= LEAST_COSINE**2 - 1e-9:
-                cues.add(t)
-            left -= (v / norm) ** 2
-    return idf, weights, cues, math.log(1 + n) + 1
+        weights += [(f"{i:03d}|{name}", t, v / norm) for t, v in sorted(raw.items())]
+    return idf, weights, math.log(1 + n) + 1
+
+
+def candidate_lines(text: Column, idf: dict[str, float], weights: list[tuple[str, str, float]], unknown: float, least_cosine: float) -> Column:
+    """``line, words`` of the lines of a text that leave room for the cosine: the others cannot reach it.
+
+    A cosine is at most the norm of the template's weights on the line's own
+    terms, and at most the share that known terms have of the line's norm: of k
+    distinct known terms in n words their squares are at most (n - k + 1)**2 + k - 1
+    times the greatest known frequency's, those of unknown words at least their
+    number times theirs.
+
+    Each step hands its result to the next one's lambda, so that nothing is
+    worked out twice.
+    """
+    most, least = least_cosine**2 * (1 + 1e-9), least_cosine**2 * (1 - 1e-9)
+    templates: dict[str, list[tuple[str, float]]] = {}
+    for template, term, w in weights:
+        templates.setdefault(template, []).append((term, w))
+    fewest = min(next(k for k in range(1, len(t) + 1) if sum(sorted((w * w for _, w in t), reverse=True)[:k]) >= least) for t in templates.values())
+
+    split = F.transform(F.split(text, "\n"), lambda t, i: F.struct(i.alias("line"), F.array_remove(F.split(F.lower(t), "[^a-z0-9]+"), "").alias("words")))
+    keep = lambda x, *more: F.struct(x["line"].alias("line"), x["words"].alias("words"), *more)
+    known = F.transform(split, lambda x: keep(x, F.filter(x["words"], lambda w: w.isin(sorted(idf))).alias("known")))
+    sized = F.transform(known, lambda x: keep(x, F.size(x["known"]).alias("n"), F.array_distinct(x["known"]).alias("d")))
+
+    def covered(d: Column, template: list[tuple[str, float]]) -> Column:
+        return reduce(add, (F.when(F.array_contains(d, t), w * w).otherwise(0.0) for t, w in template)) >= least
+
+    def room(x: Column) -> Column:
+        k = F.size(x["d"])
+        squares = F.pow(x["n"] - k + 1, F.lit(2)) + k - 1
+        share = squares * max(idf.values()) ** 2 * (1 - least) >= (F.size(x["words"]) - x["n"]) * unknown**2 * most * (1 - 1e-6)
+        return (k >= fewest) & share & reduce(or_, (covered(x["d"], t) for t in templates.values()))
+
+    return F.filter(sized, room)
 
 
 def license_scan(files: DataFrame, least_cosine: float = LEAST_COSINE) -> DataFrame:
@@ -98,26 +120,24 @@ def license_scan(files: DataFrame, least_cosine: float = LEAST_COSINE) -> DataFr
     templates, which are fixed, are all that is broadcast.
     """
     spark = files.sparkSession
-    idf, weights, cues, unknown = model()
+    idf, weights, unknown = model()
     weight = F.broadcast(spark.createDataFrame(weights, "template string, term string, weight double"))
     rarity = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
     files = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("path").cast("string").alias("path"), "text")
     keys = ["doc_id", "path"]
 
-    # a text without any cue has no line with one; the lambda sees to it that a text is put in lower case once
-    cued = F.transform(F.array(F.lower("text")), lambda t: reduce(or_, (F.contains(t, F.lit(c)) for c in sorted(cues))))[0]
     n_words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    near = files.where(cued).select(*keys, n_words.alias("n_words"), F.split("text", "\n").alias("lines"))
-    lines = near.select(*keys, "n_words", F.posexplode("lines").alias("line", "words"))
-    lines = lines.withColumn("words", F.split(F.lower("words"), "[^a-z0-9]+")).where(F.arrays_overlap("words", F.array(*map(F.lit, sorted(cues)))))
-    terms = lines.select(*keys, "line", "n_words", F.explode("words").alias("term")).where("term <> ''")
+    near = files.select(*keys, n_words.alias("n_words"), F.explode(candidate_lines(F.col("text"), idf, weights, unknown, least_cosine)).alias("x"))
+    lines = near.select(*keys, "n_words", "x.line", "x.words")
+    terms = lines.select(*keys, "line", "n_words", F.explode("words").alias("term"))
     counted = terms.groupBy(*keys, "line", "term").agg(F.count("*").cast("double").alias("tf"), F.max("n_words").alias("n_words")).join(rarity, "term", "left")
     counted = counted.withColumn("v", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
+    counted = materialise(counted, "license-terms")  # few lines are left, and both sums below read them
     norms = counted.groupBy(*keys, "line").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"), F.sum("tf").alias("size"), F.max("n_words").alias("n_words"))
     dots = counted.where("idf IS NOT NULL").join(weight, "term").groupBy(*keys, "line", "template").agg(F.sum(F.col("v") * F.col("weight")).alias("dot"))
     same = lambda a, b: [a[k].eqNullSafe(b[k]) for k in (*keys, "line")]
     scored = dots.join(norms, same(dots, norms)).select(*(dots[k] for k in (*keys, "line")), "template", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine"), "size", "n_words")
-    matched = scored.where(F.col("cosine") >= least_cosine)
+    matched = materialise(scored.where(F.col("cosine") >= least_cosine), "license-lines")
     best = F.struct((-F.col("cosine")).alias("low"), F.col("line"), F.col("template"))
     own = matched.groupBy(*keys).agg(F.min(best).alias("best"), F.max("n_words").alias("n_words"))
     sizes = matched.select(*keys, "line", "size").distinct().groupBy(*keys).agg(F.sum("size").alias("license_words"))
@@ -129,6 +149,7 @@ def license_scan(files: DataFrame, least_cosine: float = LEAST_COSINE) -> DataFr
     found = held.join(own, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("path").eqNullSafe(F.col("_path")), "left").drop("_doc_id", "_path")
     found = found.withColumn("dir", F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).when(F.col("path").isNotNull(), F.lit("")))
 
+    found = materialise(found, "license-files")
     is_file = F.element_at(F.split("path", "/"), -1).rlike(FILE_NAME) | (F.col("license_words") >= FILE_SHARE * F.col("n_words"))
     declared = found.where(F.col("own").isNotNull() & is_file & F.col("dir").isNotNull())
     declared = declared.groupBy("dir").agg(F.min(F.struct("path", "own")).alias("first")).select(F.col("dir").alias("above"), F.col("first.own").alias("inherited"))
@@ -154,7 +175,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    idf, weights, _, unknown = model()
+    idf, weights, unknown = model()
     values = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else f"CAST({x!r} AS DOUBLE)" for x in r) + ")" for r in rows)
     return rf"""
 WITH weights(template, term, weight) AS (VALUES {values(weights)}),
