@@ -283,6 +283,6 @@ def test_bound_loses_no_line(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame([("\n".join(" ".join(x) for x in lines),)], "text string")
-    kept = {r["line"] for r in df.select(F.inline(license_scan.candidate_lines(F.col("text"), idf, unknown, license_scan.LEAST_COSINE))).collect()}
+    kept = {r["line"] for r in df.select(F.inline(license_scan.candidate_lines(F.col("text"), idf, weights, unknown, license_scan.LEAST_COSINE))).collect()}
     good = {i for i, x in enumerate(lines) if cosine(x) >= license_scan.LEAST_COSINE}
     assert good <= kept and len(good) > 100
