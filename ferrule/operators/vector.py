@@ -96,7 +96,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES) -> DataFr
                 best = found if best is None else pd.concat([best, found])
                 best = best.sort_values(["query_id", "score", "chunk_id"], ascending=[True, False, True], kind="stable").groupby("query_id", sort=False).head(k)
             if best is not None:
-                yield best
+                yield best.astype({"query_id": object, "chunk_id": object}).reset_index(drop=True)
 
         q, c = (df.schema[n].dataType.simpleString() for df, n in ((queries, "query_id"), (vectors, "chunk_id")))
         return vectors.select("chunk_id", "embedding").mapInPandas(nearest, f"query_id {q}, chunk_id {c}, score double")
