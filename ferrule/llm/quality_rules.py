@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from ._text import PrefixHash, flat, mixed, slices
 
 #: Largest share of a text's word characters inside n-grams found twice or more, by n.
-NGRAM_SHARES = {5: 0.20, 6: 0.18, 7: 0.16, 8: 0.14, 9: 0.12, 10: 0.10}
+NGRAM_SHARES = {5: 0.25, 6: 0.24, 7: 0.23, 8: 0.22, 9: 0.21, 10: 0.20}
 #: Largest share of a text's word characters inside lines equal to another line of the text.
 LINE_SHARE = 0.30
 #: Largest number of symbols to a word.
