@@ -19,6 +19,8 @@ from ._text import LOWER, code_points, slices, texts_of
 
 LEAST_CHARS = 40
 LEAST_DOCS = 5
+#: Tasks that share the documents of one common line.
+SALTS = 16
 #: Stands for a null id: smaller than every other.
 NO_ID = -(1 << 63)
 
@@ -62,7 +64,10 @@ def _dropped(narrow: DataFrame, least_chars: int, least_docs: int) -> DataFrame:
     keys = narrow.select("_id", "text").mapInArrow(lambda b: _keys(b, least_chars), "_id long, _key binary")
     # a document sends a key once, and distinct() folds rows that repeat an id
     common = keys.distinct().groupBy("_key").agg(F.max("_id").alias("_last"), F.count("*").alias("_n")).where(F.col("_n") >= least_docs)
-    return keys.join(common, "_key").where("_id < _last").groupBy("_id").agg(F.collect_set("_key").alias("_drop"))
+    # a line may be in a third of all documents: its rows meet copies of its one row of ``common`` in several tasks
+    spread = common.select("_key", "_last", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    salted = keys.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int"))
+    return salted.join(spread, ["_key", "_salt"]).where("_id < _last").groupBy("_id").agg(F.collect_set("_key").alias("_drop"))
 
 
 def line_dedup(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, with_text: bool = True) -> DataFrame:
