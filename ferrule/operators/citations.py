@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrule.functions.text import citations, sentences, strip
+from ferrule.functions.text import citations, sentences, strip, words
 
 #: What an answer says when the passages do not hold one.
 NO_ANSWER = "The documents do not contain the information needed to answer this."
@@ -76,8 +76,10 @@ def context_lines(ranked: DataFrame, most: int = 6000) -> DataFrame:
 
 
 def extractive_answer(questions: DataFrame, ranked: DataFrame, passages: int = 5) -> DataFrame:
-    """A deterministic stand-in for a model: the first sentence of each of the first passages, cited."""
-    top = ranked.where(F.col("rank") <= passages).withColumn("s", F.try_element_at(sentences(F.col("text")), F.lit(1))).where("s IS NOT NULL")
+    """A deterministic stand-in for a model: of each of the first passages the sentence that shares most words with the question, cited."""
+    asked = questions.select("query_id", F.array_distinct(words(F.col("text"))).alias("_asked"))
+    shared = F.transform(sentences(F.col("text")), lambda s, i: F.struct((-F.size(F.array_intersect(words(s), F.col("_asked")))).alias("n"), i.alias("i"), s.alias("s")))
+    top = ranked.where(F.col("rank") <= passages).join(asked, "query_id").withColumn("s", F.array_min(shared)["s"]).where("s IS NOT NULL")
     cited = F.concat(F.regexp_replace("s", r"[。！？.!?]+$", ""), F.lit(" ["), F.col("file"), F.lit(" p."), F.col("page").cast("string"), F.lit("]."))
     text = top.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", cited.alias("c")))), lambda x: x["c"]), " ").alias("text"))
     return questions.select("query_id").join(text, "query_id", "left").select("query_id", F.coalesce("text", F.lit(NO_ANSWER)).alias("text"))

@@ -51,7 +51,8 @@ def row_udf(f: Callable[..., object], kind: str) -> Callable[..., Column]:
 
         return pd.Series([one(*v) for v in zip(*columns, strict=True)])
 
-    return lambda *columns: F.pandas_udf(run, kind, F.PandasUDFType.SCALAR)(*columns)
+    run.__annotations__ = {"columns": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, kind)
 
 
 def attach_captions(chunks: DataFrame, images: DataFrame, slots: Slots) -> DataFrame:
