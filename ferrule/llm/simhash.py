@@ -247,7 +247,8 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     an id are kept, row by row; other columns are not read.
     """
     marks = materialise(fingerprints(docs), "marks")
-    linked = link_components(marks)
+    # stored, so that the join below has an exchange on either side and adaptive execution can split a text with very many copies
+    linked = materialise(link_components(marks), "linked")
     return marks.join(linked, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
