@@ -104,7 +104,7 @@ def classify_pixels(dark: Column, strong_rows: Column) -> Column:
 
 
 def classify_boxes(boxes: Column, coverage: Column, dark: Column, policy: Policy, fallback: Column | None = None) -> Column:
-    """``route, reason`` by boxes first; rules on ink do not apply where it is not known."""
+    """``route, reason`` by boxes first; rules on ink do not apply where it is not known. The reasons' wording is fixed."""
     fallback = F.lit("text") if fallback is None else fallback
     none = boxes.isNull() | coverage.isNull()
     empty = boxes == 0

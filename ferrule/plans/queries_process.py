@@ -135,3 +135,12 @@ def irreversible(spark, d):
     s = spans(spark, d)
     docs = table(spark, d, "documents").select("doc_id", "text").unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("doc_id"), F.lit("see <ORG_1> and <NONE_9>").alias("text")))
     return redaction.irreversible(docs, redaction.mapping(s))
+
+
+@query("red_redact_literals", """WITH o AS (SELECT doc_id, unnest(regexp_extract_all(text, 'Then|The')) AS w, generate_subscripts(regexp_extract_all(text, 'Then|The'), 1) AS i FROM documents),
+m AS (SELECT w, row_number() OVER (ORDER BY min((doc_id, i))) AS idx FROM o GROUP BY w), a AS (SELECT max(idx) FILTER (w = 'Then') AS n, max(idx) FILTER (w = 'The') AS e FROM m)
+SELECT doc_id, replace(replace(text, 'Then', '<ORG_' || coalesce(n, 0) || '>'), 'The', '<ORG_' || coalesce(e, 0) || '>') AS redacted_text, CAST(len(regexp_extract_all(text, 'Then|The')) AS INTEGER) AS spans_replaced FROM documents, a""")
+def red_redact_literals(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    s = redaction.entities(docs, redaction.Dictionary({"ORG": ("The", "Then")}))
+    return redaction.redact(docs, s, redaction.mapping(s))

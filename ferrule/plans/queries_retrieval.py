@@ -315,3 +315,14 @@ def show(spark, d):
     from ferrule.sources.tables import pages_of
 
     return pages_of(table(spark, d, "documents")).agg(F.count("*").alias("total"))
+
+
+@query("fus_hybrid_vectors", f"""WITH {RANKED}, {COSINES.replace("WHERE q.vec_id % 25 = 0", "JOIN documents ON c.vec_id = doc_id WHERE q.vec_id IN (SELECT item_id FROM benchmark)")},
+u AS (SELECT query_id, chunk_id, rank, 0 AS l FROM dense UNION ALL SELECT query_id, chunk_id, rank, 1 FROM sparse), f AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, min(l * 1000 + rank) AS first FROM u GROUP BY ALL)
+SELECT query_id, chunk_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, chunk_id) AS rank FROM f QUALIFY rank <= 10""")
+def hybrid_vectors(spark, d):
+    """Hybrid search with stored vectors: those of a document's id, and of a question's."""
+    chunks, asked = doc_chunks(spark, d), questions(spark, d)
+    stored = vectors(spark, d)
+    near = vector.top_k(stored.join(chunks.select("chunk_id"), "chunk_id", "left_semi"), stored.withColumnRenamed("chunk_id", "query_id").join(asked.select("query_id"), "query_id", "left_semi"))
+    return fusion.fuse(near, bm25.top_k(bm25.build(chunks), asked), k=10).withColumn("score", F.round("score", 9))

@@ -174,6 +174,27 @@ def page_of_offset(spark, d):
     return chunking.page_of_offset(offsets, pages)
 
 
+NEUTRAL = """WITH RECURSIVE p AS (SELECT source || '-' || (doc_id // 400) AS file, row_number() OVER (PARTITION BY source || '-' || (doc_id // 400) ORDER BY doc_id) AS page_num, coalesce(text, '') AS text FROM documents),
+f AS (SELECT file, string_agg(text || chr(10), '' ORDER BY page_num) AS text FROM p GROUP BY file),
+s AS (SELECT file, page_num, coalesce(sum(length(text) + 1) OVER (PARTITION BY file ORDER BY page_num ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM p),
+r(file, text, start, stop) AS (
+  SELECT file, text, 0, CASE WHEN length(text) <= 1000 THEN length(text) ELSE
+    CASE WHEN length(regexp_extract(substr(text, 401, 400), '(?s)^(.*[.!?。！？])(?:\\s|$)', 1)) > 0 THEN 400 + length(regexp_extract(substr(text, 401, 400), '(?s)^(.*[.!?。！？])(?:\\s|$)', 1)) ELSE 800 END END FROM f
+  UNION ALL
+  SELECT file, text, stop, CASE WHEN length(text) - stop <= 800 THEN length(text) ELSE
+    stop + CASE WHEN length(regexp_extract(substr(text, stop + 401, 400), '(?s)^(.*[.!?。！？])(?:\\s|$)', 1)) > 0 THEN 400 + length(regexp_extract(substr(text, stop + 401, 400), '(?s)^(.*[.!?。！？])(?:\\s|$)', 1)) ELSE 800 END END
+  FROM r WHERE stop < length(text)),
+c AS (SELECT file, start, regexp_replace(substr(text, start + 1, stop - start), '^\\s+|\\s+$', '', 'g') AS piece FROM r),
+g AS (SELECT c.file, c.start, any_value(piece) AS text, max(page_num) AS page FROM c JOIN s ON c.file = s.file AND s.start <= c.start WHERE piece <> '' GROUP BY c.file, c.start)
+SELECT file || ':' || page || ':' || (row_number() OVER (PARTITION BY file ORDER BY start) - 1) AS id, file, CAST(page AS INTEGER) AS page, 'paragraph' AS chunk_type, text FROM g"""
+
+
+@query("chk_neutral_pieces", NEUTRAL)
+def neutral_pieces(spark, d):
+    """The standard texts have no blank lines: a file is one paragraph, cut into pieces."""
+    return chunking.chunk_pages(pages_of(table(spark, d, "documents")), DOCUMENT.structure).select("id", "file", "page", "chunk_type", "text")
+
+
 @query("chk_neutral")
 def neutral(spark, d):
     return chunking.chunk_pages(pages_of(table(spark, d, "documents")), DOCUMENT.structure).select("id", "file", "page", "chunk_type", "text", "drawing_refs", "clause_refs", "ord")
