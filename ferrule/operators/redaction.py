@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ferrule.sources.scratch import materialise
+
 #: Runs of capitalised words, runs of digits, and what a placeholder looks like.
 PROPER_NOUN = r"[A-Z][A-Za-z0-9'’]*(?:(?:\.?[ \t]+|[ \t]*&[ \t]*|-)[A-Z][A-Za-z0-9'’]*)*"
 DIGITS = r"\d+(?:[,.\- ]\d+)*"
@@ -86,7 +88,8 @@ def numbered(rows: DataFrame, group: str, order: list[str], name: str = "idx") -
     Rows are dealt by ranges of group and order; each range's counts, one row a
     range and group, give the offset of the next.
     """
-    dealt = rows.repartitionByRange(group, *order).withColumn("_part", F.spark_partition_id())
+    # stored: the bounds of ranges are sampled, and both uses below must see the same ones
+    dealt = materialise(rows.repartitionByRange(group, *order).withColumn("_part", F.spark_partition_id()), "numbered")
     sizes = dealt.groupBy(group, "_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select(group, "_part", before.alias("_before"))
