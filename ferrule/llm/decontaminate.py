@@ -237,7 +237,10 @@ def _clean(batches: Iterator[pa.RecordBatch], automata: list) -> Iterator[pa.Rec
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that ``decontaminate`` does not call contaminated."""
+    """The rows of ``docs``, with all their columns, that ``decontaminate`` does not call contaminated.
+
+    Rows are judged one by one: nulls, repeats and an empty table as there.
+    """
     automata = [docs.sparkSession.sparkContext.broadcast(SuffixAutomaton(block, window)) for block in _blocks(items, block_words)]
     return docs.mapInArrow(lambda b: _clean(b, automata), docs.schema)
 

@@ -211,7 +211,10 @@ def _good(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Record
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that ``quality_scores`` predicts to be good."""
+    """The rows of ``docs``, with all their columns, that ``quality_scores`` predicts to be good.
+
+    Rows are judged one by one: nulls, repeats and an empty table as there.
+    """
     model = fit(_stats(docs), labels)
     return docs.mapInArrow(lambda b: _good(b, model), docs.schema)
 
