@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._scratch import materialise
-from ._text import PrefixHash, flat, mixed, slices
-from .quality_rules import _SPACE, _sums, measure
+from ._text import PrefixHash, flat, slices, word_bounds
+from .quality_rules import _sums, measure
 
 COSINES = 256
 #: Width of the Gaussian kernel, in standard deviations of the statistics.
@@ -46,12 +46,7 @@ def statistics(column: pa.Array) -> np.ndarray:
     shares = [np.sqrt(np.diff(_sums(kinds == k)[starts]) / size) for k in (*range(len(_CLASSES)), len(_CLASSES) + 1)]
     m = measure(column)
     words = np.maximum(m["n_words"], 1)
-    word_byte = ~_SPACE[raw]
-    doc_at = np.zeros(len(raw), bool)
-    doc_at[starts[:-1][starts[:-1] < len(raw)]] = True
-    begins = word_byte & (doc_at | ~np.concatenate([[False], word_byte[:-1]]))
-    stops = word_byte & (np.concatenate([doc_at[1:], [True]]) | ~np.concatenate([word_byte[1:], [False]]))
-    first, last = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+    first, last = word_bounds(raw, starts)
     doc_of = np.repeat(np.arange(docs), m["n_words"])
     keys = np.sort(PrefixHash(raw).spans(first, last) >> np.uint64(24) | doc_of.astype(np.uint64) << np.uint64(40))
     fresh = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._text import PrefixHash, flat, mixed, slices
+from ._text import _SPACE, PrefixHash, flat, mixed, slices, word_bounds
 
 #: Largest share of a text's word characters inside n-grams found twice or more, by n.
 NGRAM_SHARES = {5: 0.25, 6: 0.24, 7: 0.23, 8: 0.22, 9: 0.21, 10: 0.20}
@@ -24,8 +24,6 @@ FEWEST_WORDS = 10
 MOST_REPEATED_PERCENT = 20
 BASE_N = 5
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -65,16 +63,7 @@ def measure(column: pa.Array) -> dict[str, np.ndarray]:
     raw, starts = flat(column)
     docs = len(starts) - 1
     word_byte = ~_SPACE[raw]
-    begins = word_byte.copy()
-    begins[1:] &= ~word_byte[:-1]
-    inner = starts[:-1][starts[:-1] < len(raw)]
-    begins[inner] = word_byte[inner]
-    first = np.flatnonzero(begins)
-    stops = word_byte.copy()
-    stops[:-1] &= ~word_byte[1:]
-    ends = starts[1:][starts[1:] > 0] - 1
-    stops[ends] = word_byte[ends]
-    last = np.flatnonzero(stops) + 1
+    first, last = word_bounds(raw, starts)
     chars = _sums(word_byte & ((raw & 0xC0) != 0x80))
     of_word = np.searchsorted(first, starts)
     n_words = np.diff(of_word)
