@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,7 +49,3 @@ def stats(edges: DataFrame, chunks: DataFrame) -> DataFrame:
     counts = [F.count_if(F.col("type") == t).alias(name) for t, name in plural.items()]
     edge_row = by_entity.agg(F.count("*").alias("entities"), F.coalesce(F.sum("n"), F.lit(0)).alias("mentions"), *counts)
     return chunks.agg(F.count_distinct("id").alias("chunks")).join(F.broadcast(edge_row), how="cross")
-
-
-def union_all(*tables: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, tables)
