@@ -41,12 +41,15 @@ def vocabulary(path: str = TOKENIZER) -> dict[str, float]:
     return {model.id_to_piece(i): -math.log(r + 2.7) - total for r, i in enumerate(kept)}
 
 
+_NO_END = object()
+
+
 class Trie:
     """Forward scores and token counts of word prefixes."""
 
     def __init__(self, scores: dict[str, float]):
-        self.scores = scores
-        self.longest = max(map(len, scores), default=0)
+        #: Ends of pieces, with the score of those that are pieces: what no piece ends in is not looked at further.
+        self.ends: dict[str, float | None] = {p[i:]: None for p in scores for i in range(len(p))} | scores
         self.unknown = min(scores.values(), default=0.0) - FALLBACK
         self.clear()
 
@@ -67,7 +70,7 @@ class Trie:
         return found
 
     def _insert(self, word: str) -> int:
-        nxt, scores, longest = self.next, self.scores, self.longest
+        nxt, ends = self.next, self.ends
         best, tokens = [0.0], [0]
         stored = len(word) <= LONGEST
         node = at = 0
@@ -79,8 +82,10 @@ class Trie:
                 at += 1
         for j in range(at + 1, len(word) + 1):
             top, few = best[j - 1] + self.unknown, tokens[j - 1] + len(word[j - 1].encode())
-            for k in range(max(0, j - longest), j):
-                score = scores.get(word[k:j])
+            for k in range(j - 1, -1, -1):
+                score = ends.get(word[k:j], _NO_END)
+                if score is _NO_END:
+                    break
                 if score is not None:
                     score += best[k]
                     if score > top or (score == top and tokens[k] + 1 < few):
