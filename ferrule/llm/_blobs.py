@@ -35,3 +35,12 @@ def unpress(blob: bytes) -> dict[str, np.ndarray]:
         out[name] = np.cumsum(a, dtype=np.uint64) if name == "key" else a
         at += size
     return out
+
+
+#: A small input is still dealt to so many buckets, of about a megabyte at least.
+FEWEST_BUCKETS = 64
+
+
+def bucket_count(size: int, target: int) -> int:
+    """Buckets for so many bytes of texts: of ``target`` bytes, or more and smaller ones where that would leave tasks idle."""
+    return max(1, -(-size // target), min(FEWEST_BUCKETS, size >> 20))

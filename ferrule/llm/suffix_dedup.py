@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._blobs import press, unpress
+from ._blobs import bucket_count, press, unpress
 from ._scratch import materialise
 from ._text import PrefixHash, flat, mixed, slices
 
@@ -394,7 +394,7 @@ def suffix_dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), "text")
     size = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // BUCKET_BYTES))
+    n = bucket_count(size, BUCKET_BYTES)
     kind = "bucket int, blob binary"
     sent = narrow.select("_id", "text").mapInArrow(lambda b: _send_anchors(b, n), kind)
     found = materialise(sent.groupBy("bucket").applyInArrow(lambda t: _resolve(t, n), kind), "anchors")
