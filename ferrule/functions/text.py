@@ -173,4 +173,4 @@ def round4(c: Column) -> Column:
 def words(c: Column) -> Column:
     """Lower-case words; ideographs and kana singly, as no dictionary is at hand to join them."""
     single = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
-    return F.regexp_extract_all(F.lower(c), F.lit(rf"[{single}]|[\p{{L}}\p{{N}}_&&[^{single}]]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(c), F.lit(rf"[a-z0-9_[\p{{L}}\p{{N}}&&[^{single}]]]+|[{single}]"), F.lit(0))

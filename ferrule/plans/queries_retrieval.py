@@ -11,11 +11,11 @@ from ferrule.plans import search as plans
 from ferrule.plans.fixtures import ORDER_LINES, order_lines
 from ferrule.plans.registry import query
 from ferrule.plans.slots import Slots
-from ferrule.sources.tables import table
+from ferrule.sources.tables import spread, table
 
 
 def doc_chunks(spark, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("ord"), "text")
+    return spread(table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("ord"), "text"))
 
 
 def questions(spark, d: str) -> DataFrame:

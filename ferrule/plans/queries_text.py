@@ -10,7 +10,7 @@ from ferrule.functions import text as T
 from ferrule.operators import chunking
 from ferrule.plans.registry import query
 from ferrule.plans.slots import caption_prompt
-from ferrule.sources.tables import pages_of, table
+from ferrule.sources.tables import pages_of, spread, table
 
 
 def clauses(spark, d: str) -> DataFrame:
@@ -153,7 +153,7 @@ def caption_prompts(spark, d):
   FROM r WHERE stop < length(text))
 SELECT doc_id, start, substr(text, start + 1, stop - start) AS piece FROM r""")
 def split_long(spark, d):
-    rows = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.explode(chunking.split_long(F.col("text"))).alias("p"))
+    rows = spread(table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text")).select("doc_id", F.explode(chunking.split_long(F.col("text"))).alias("p"))
     return rows.select("doc_id", F.col("p.start").alias("start"), F.col("p.text").alias("piece"))
 
 
