@@ -6,6 +6,11 @@ visits every later shard that its ball of the link radius overlaps by the
 triangle inequality, so that each linked pair meets exactly once.  Within a
 shard a second tree finds the pairs; only a spanning forest of them leaves it.
 Forests are joined by star contraction.
+
+The pipeline's stage asks for more than fingerprints can tell apart: texts of
+Jaccard similarity 0.8 differ in about ten of 64 bits, and balls of such a radius
+overlap nearly every shard.  There candidates come from bands of minima, and
+each link is an exact comparison of shingle sets.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._scratch import materialise
-from ._text import slices, space_words, texts_of
+from ._text import LOWER, PrefixHash, flat, mixed, slices, space_words, texts_of, word_bounds
 
 SHINGLE = 3
 SEED = 42
@@ -30,6 +35,11 @@ SAMPLE = 16_384
 #: Fingerprints to a shard, about.
 SHARD_ROWS = 8_192
 LEAF = 128
+#: Near copies of the pipeline's stage: words to a shingle, and the least Jaccard similarity in hundredths.
+NEAR_SHINGLE, SIMILARITY = 5, 80
+#: Candidates share all ``ROWS`` minima of one of ``BANDS`` bands.
+BANDS, ROWS = 24, 5
+_LOWER = np.frombuffer(LOWER, np.uint8)
 
 
 def fingerprint(text: bytes) -> int:
@@ -252,15 +262,122 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     return marks.join(linked, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _hashes(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors and summands of ``n`` 32-bit hash functions, each a column."""
+    x = mixed(np.arange(1, 2 * n + 1, dtype=np.uint64) + np.uint64(SEED << 32)).astype(np.uint32)
+    return x[:n, None] | np.uint32(1), x[n:, None]
+
+
+_FUNCTIONS = _hashes(BANDS * ROWS)
+
+
+def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
+    """For each text the ascending hashes of its distinct runs of ``NEAR_SHINGLE`` words; of all its words if it has fewer."""
+    raw, starts = flat(column)
+    raw = _LOWER[raw]
+    first, last = word_bounds(raw, starts)
+    spans = PrefixHash(PrefixHash(raw).spans(first, last))
+    cuts = np.searchsorted(first, starts)
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        begins = np.arange(a, max(b - NEAR_SHINGLE, a) + 1 if b > a else a)
+        yield np.unique(spans.spans(begins, np.minimum(begins + NEAR_SHINGLE, b)))
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """A key for each band of ``ROWS`` minima of hash functions; the empty set has no keys."""
+    if not len(shingles):
+        return np.zeros(0, np.int64)
+    factors, summands = _FUNCTIONS
+    short = (shingles >> np.uint64(32)).astype(np.uint32)
+    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(short), 4096):
+        np.minimum(least, (short[None, at : at + 4096] * factors + summands).min(axis=1), out=least)
+    out = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + column)
+    return out.view(np.int64)
+
+
+def _near_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text"):
+        sets = list(shingle_sets(batch.column("text")))
+        fp = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+        keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("copy"), pa.array(fp), keys], names=["doc_id", "copy", "fp", "keys"])
+
+
+def _near_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text"):
+        yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array([s.tobytes() for s in shingle_sets(batch.column("text"))], pa.binary())], names=["fp", "shingles"])
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose shingle sets have at least ``SIMILARITY`` of their union in common."""
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = np.sort(np.concatenate([x, y]))
+            common = int((both[1:] == both[:-1]).sum())
+            keep.append(100 * common >= SIMILARITY * (len(both) - common))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def near_components(docs: DataFrame) -> DataFrame:
+    """``doc_id, copy, root, component_id`` for the distinct ids and texts of ``docs`` (``doc_id, copy, text``; ``copy`` is a hash of the text).
+
+    Texts link when the Jaccard similarity of their sets of five-word shingles is
+    0.8 or more.  Sets that share a band of minima are candidates (at 0.8 a pair
+    is one with probability 0.99993) and are compared in full: first
+    each with one member of each of its buckets, then all pairs of a bucket that
+    no chain of links joins yet, so that a large group of near copies costs no
+    pair of each two.  ``root`` names the component, ``component_id`` is its
+    smallest ``doc_id``.
+    """
+    marks = materialise(docs.mapInArrow(_near_marks, "doc_id long, copy long, fp long, keys array<long>"), "near-marks")
+    least = F.min(F.struct("doc_id", "copy")).alias("least")
+    distinct = materialise(marks.groupBy("fp").agg(least, F.first("keys").alias("keys")).select("fp", "least.*", "keys"), "near-distinct")
+    keyed = distinct.select("fp", F.explode("keys").alias("key"))
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("fp", "key"), "fp")).getField("fp").alias("leader")).where("n > 1")
+    keyed = materialise(keyed.join(buckets.select("key", "leader"), "key"), "near-keyed")
+
+    wanted = keyed.select("fp").distinct().join(distinct, "fp").select("fp", "doc_id", "copy")
+    sets = materialise(docs.join(wanted, ["doc_id", "copy"]).select("fp", "text").mapInArrow(_near_sets, "fp long, shingles binary").groupBy("fp").agg(F.first("shingles").alias("shingles")), "near-sets")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        one = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a")
+        two = one.join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
+        return two.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long")
+
+    led = keyed.where("fp <> leader").select(F.greatest("fp", "leader").alias("a"), F.least("fp", "leader").alias("b")).distinct()
+    roots = materialise(_contract(verified(materialise(led, "near-led"))), "near-roots")
+    labelled = keyed.join(roots.withColumnRenamed("v", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
+    mixed_keys = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    open_ = materialise(labelled.join(mixed_keys, "key"), "near-open")
+    other = open_.select("key", F.col("fp").alias("b"), F.col("root").alias("root_b"))
+    across = open_.withColumnRenamed("fp", "a").join(other, "key").where("a > b AND root <> root_b").select("a", "b").distinct()
+    more = verified(materialise(across.join(led, ["a", "b"], "left_anti"), "near-across"))
+    roots = materialise(_contract(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(more)), "near-roots")
+
+    nodes = roots.unionByName(roots.select(F.col("root").alias("v"), "root").distinct())
+    members = distinct.select("fp", "doc_id").join(nodes.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
+    lowest = members.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    linked = materialise(members.join(lowest, "root").select("fp", "root", "component_id"), "near-linked")
+    return marks.join(linked, "fp").select("doc_id", "copy", "root", "component_id")
+
+
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs``, with all its columns, less all but the smallest ``doc_id`` of each component.
+    """``docs``, with all its columns, less all but the smallest ``doc_id`` of each component of near copies.
 
-    Of rows that repeat an id one stays, the first by text; rows without an id stay.
+    Of rows that repeat an id one stays, the first by text; rows without an id
+    stay and link nothing.
     """
-    kept = simhash_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"))
+    known = rows.where("_id IS NOT NULL").withColumn("_copy", F.xxhash64("_text"))
+    linked = near_components(known.select(F.col("_id").alias("doc_id"), F.col("_copy").alias("copy"), F.col("_text").alias("text")))
+    kept = linked.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
     first = F.row_number().over(Window.partitionBy("_id").orderBy("_text"))
-    one = rows.where("_id IS NOT NULL").join(kept, F.col("_id") == F.col("_kept"), "left_semi").withColumn("_n", first).where("_n = 1")
+    one = known.join(kept, "_id").withColumn("_n", first).where("_n = 1")
     return one.select("_doc").unionByName(rows.where("_id IS NULL").select("_doc")).select("_doc.*")
 
 

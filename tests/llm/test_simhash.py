@@ -100,3 +100,56 @@ def test_tree_finds_all_neighbours():
         found |= set(zip(which[i].tolist(), own[j].tolist()))
     i, j = np.nonzero(np.bitwise_count(points[:, None] ^ points[None, :]) <= 2)
     assert found == set(zip(i.tolist(), j.tolist()))
+
+
+def brute_near(texts):
+    """The least place reachable by links of five-word Jaccard similarity 0.8 or more."""
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))})
+    out = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if out[i] != out[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                low, high = sorted((out[i], out[j]))
+                out = [low if x == high else x for x in out]
+    return out
+
+
+def edited(words, rng, n):
+    words = list(words)
+    for at in rng.choice(len(words), n, replace=False):
+        words[at] = f"new{rng.integers(1 << 30)}"
+    return " ".join(words)
+
+
+def test_near_copies_go(spark):
+    """Groups of texts with 0 to 12 of 150 words changed, from equal to well below the similarity; one text changed bit by bit."""
+    rng = np.random.default_rng(8)
+    texts = []
+    for _ in range(12):
+        words = [f"w{x}" for x in rng.integers(0, 3000, 150)]
+        texts += [edited(words, rng, n) for n in range(13)]
+    words = [f"w{x}" for x in rng.integers(0, 3000, 150)]
+    texts += [edited(words, rng, 2) for _ in range(60)]
+    chain = [f"c{x}" for x in range(100)]
+    for i in range(30):
+        chain[3 * i] = f"d{i}"
+        texts.append(" ".join(chain))
+    texts += ["", "  ", "one two", "ONE two", "one", "a b c d e", "a b c d e f"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    expected = sorted({*brute_near(texts)})
+    assert sorted(r["doc_id"] for r in simhash.keep_one_of_each(df).collect()) == expected
+    assert 100 < len(texts) - len(expected)
+
+
+def test_bands_miss_few():
+    """Of pairs at similarity 0.80 to 0.82 nearly all share a band."""
+    rng = np.random.default_rng(5)
+    missed = 0
+    for _ in range(1500):
+        pool = rng.integers(0, 1 << 63, 110, dtype=np.uint64)
+        a, b = np.unique(pool[:99]), np.unique(pool[11:])  # 88 of 110
+        missed += not (simhash.band_keys(a) == simhash.band_keys(b)).any()
+    assert missed <= 3
