@@ -367,17 +367,17 @@ def near_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs``, with all its columns, less all but the smallest ``doc_id`` of each component of near copies.
+    """``docs``, with all its columns, less all but one row of each component of near copies.
 
-    Of rows that repeat an id one stays, the first by text; rows without an id
-    stay and link nothing.
+    The row with the smallest ``doc_id`` stays; of several the first by text.
+    Rows without an id stay and link nothing.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"))
     known = rows.where("_id IS NOT NULL").withColumn("_copy", F.xxhash64("_text"))
     linked = near_components(known.select(F.col("_id").alias("doc_id"), F.col("_copy").alias("copy"), F.col("_text").alias("text")))
-    kept = linked.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    first = F.row_number().over(Window.partitionBy("_id").orderBy("_text"))
-    one = known.join(kept, "_id").withColumn("_n", first).where("_n = 1")
+    kept = linked.where("doc_id = component_id").select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"), "root").distinct()
+    first = F.row_number().over(Window.partitionBy("_id", "root").orderBy("_text"))
+    one = known.join(kept, ["_id", "_copy"]).withColumn("_n", first).where("_n = 1")
     return one.select("_doc").unionByName(rows.where("_id IS NULL").select("_doc")).select("_doc.*")
 
 

@@ -153,3 +153,10 @@ def test_bands_miss_few():
         a, b = np.unique(pool[:99]), np.unique(pool[11:])  # 88 of 110
         missed += not (simhash.band_keys(a) == simhash.band_keys(b)).any()
     assert missed <= 3
+
+
+def test_repeated_id_keeps_its_unique_text(spark):
+    """Of an id with two texts, the copy of a smaller id goes and the unique text stays."""
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    df = spark.createDataFrame([(1, a), (2, b), (2, a), (3, b), (None, a)], "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, simhash.keep_one_of_each(df).collect()), key=repr) == sorted([(1, a), (2, b), (None, a)], key=repr)
