@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 _UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 #: A-Z to a-z, all else as it is.
@@ -81,44 +82,44 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_MULTIPLIER = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+#: The first 0 to 8 bytes of a little-endian number.
+_HEAD = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Longer spans are hashed one by one.
+_LONG_SPAN = 512
 
 
-_known: dict[int, np.ndarray] = {}
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the spans ``[start, end)`` of an array of bytes; the same content has the same hash anywhere.
 
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """The first ``n`` powers; kept for the next call."""
-    if base not in _known or len(_known[base]) < n:
-        out = np.full(max(n, 1), base, np.uint64)
-        out[0] = 1
-        np.multiply.accumulate(out, out=out)
-        if n > 1 << 24:  # not worth the memory
-            return out
-        _known[base] = out
-    return _known[base][:n]
-
-
-_BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64))
-
-
-class PrefixHash:
-    """64-bit polynomial hashes of any spans of an array, by prefix sums.
-
-    ``values`` are bytes, or 64-bit identifiers of words.
+    Eight bytes at a time are scrambled into the hash, all spans at once, so
+    that no two contents collide by their form; spans of over 512 bytes take XXH3.
     """
-
-    def __init__(self, values: np.ndarray):
-        coded = _BYTE_VALUES[values] if values.dtype == np.uint8 else mixed(values)
-        coded = coded * _powers(_MULTIPLIER, len(coded))
-        self._sums = np.zeros(len(coded) + 1, np.uint64)
-        np.cumsum(coded, out=self._sums[1:])
-        self._back = _powers(_INVERSE, len(coded) + 1)
-
-    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The hash of each span ``[start, end)``; the same content has the same hash anywhere."""
-        return mixed((self._sums[ends] - self._sums[starts]) * self._back[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    sizes = ends - starts
+    out = mixed(sizes.astype(np.uint64) + np.uint64(seed) * _FACTOR)
+    if not len(sizes):
+        return out
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    words = np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))
+    which = np.flatnonzero((sizes > 0) & (sizes <= _LONG_SPAN))
+    at, left = starts[which], sizes[which]
+    while len(which):
+        out[which] = mixed((out[which] ^ (words[at] & _HEAD[np.minimum(left, 8)])) * _FACTOR)
+        more = left > 8
+        which, at, left = which[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(sizes > _LONG_SPAN).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]], seed)
+    return out
+
+
+def runs_of(hashes: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each ``n`` hashes in a row, by doubling: those of shorter runs at two offsets make up a longer one's."""
+    out, size = mixed(hashes ^ _FACTOR), 1
+    while size < n and len(out):
+        step = min(size, n - size)
+        out = mixed(mixed(out[: max(0, len(out) - step)]) * _FACTOR + out[step:])
+        size += step
+    return out
 
 
 _SPACE = np.zeros(256, bool)

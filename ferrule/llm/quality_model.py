@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._scratch import materialise
-from ._text import PrefixHash, flat, slices, word_bounds
+from ._text import flat, slices, span_hashes, word_bounds
 from .quality_rules import _sums, measure
 
 COSINES = 256
@@ -48,7 +48,7 @@ def statistics(column: pa.Array) -> np.ndarray:
     words = np.maximum(m["n_words"], 1)
     first, last = word_bounds(raw, starts)
     doc_of = np.repeat(np.arange(docs), m["n_words"])
-    keys = np.sort(PrefixHash(raw).spans(first, last) >> np.uint64(24) | doc_of.astype(np.uint64) << np.uint64(40))
+    keys = np.sort(span_hashes(raw, first, last) >> np.uint64(24) | doc_of.astype(np.uint64) << np.uint64(40))
     fresh = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     group_doc = (keys[fresh] >> np.uint64(40)).astype(np.int64)
     counts = np.diff(np.concatenate([fresh, [len(keys)]]))

@@ -1,7 +1,7 @@
 """Quality rules: how much of a text lies inside repeated n-grams and lines.
 
-Words and lines become 64-bit polynomial hashes; an n-gram's hash rolls out of
-prefix sums over the word hashes, for all texts of a batch at once in numpy.
+Words and lines become 64-bit hashes; those of n-grams roll along the words' by
+doubling, for all texts of a batch at once in numpy.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._text import _SPACE, PrefixHash, flat, mixed, slices, word_bounds
+from ._text import _SPACE, flat, mixed, runs_of, slices, span_hashes, word_bounds
 
 #: Largest share of a text's word characters inside n-grams found twice or more, by n.
 NGRAM_SHARES = {5: 0.25, 6: 0.24, 7: 0.23, 8: 0.22, 9: 0.21, 10: 0.20}
@@ -68,7 +68,6 @@ def measure(column: pa.Array) -> dict[str, np.ndarray]:
     of_word = np.searchsorted(first, starts)
     n_words = np.diff(of_word)
     doc_of = np.repeat(np.arange(docs), n_words)
-    hashes = PrefixHash(raw)
     out = {"n_words": n_words, "word_chars": np.diff(chars[starts]), "n_symbols": np.diff(_sums(_SYMBOL[raw])[starts])}
 
     breaks = np.flatnonzero(raw == 10)
@@ -83,21 +82,20 @@ def measure(column: pa.Array) -> dict[str, np.ndarray]:
     line_chars = chars[line_to] - chars[line_from]
     full = line_chars > 0
     line_doc, line_chars = line_doc[full], line_chars[full]
-    keys = hashes.spans(line_from[full], line_to[full]) ^ mixed(line_doc.astype(np.uint64))
+    keys = span_hashes(raw, line_from[full], line_to[full]) ^ mixed(line_doc.astype(np.uint64))
     repeated, later = _groups(keys)
     out["n_dup_lines"] = np.bincount(line_doc[later], minlength=docs)
     whole = np.maximum(out["word_chars"], 1)
     out["line_share"] = np.bincount(line_doc[repeated], weights=line_chars[repeated], minlength=docs) / whole
 
-    word_hash = hashes.spans(first, last)
-    grams = PrefixHash(word_hash)
+    word_hash = span_hashes(raw, first, last)
     word_chars = chars[last] - chars[first]
     salt = mixed(doc_of.astype(np.uint64))
     worst = np.zeros(docs)
     for n in sorted({BASE_N, *NGRAM_SHARES}):
         at = np.arange(max(0, len(first) - n + 1))
         at = at[doc_of[at] == doc_of[at + n - 1]] if len(at) else at
-        repeated, _ = _groups(grams.spans(at, at + n) ^ salt[at])
+        repeated, _ = _groups(runs_of(word_hash, n)[at] ^ salt[at])
         inside = _covered(repeated, at, n, len(first))
         if n == BASE_N:
             out["n_repeat_words"] = np.bincount(doc_of[inside], minlength=docs)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._scratch import materialise
-from ._text import LOWER, PrefixHash, flat, mixed, slices, space_words, texts_of, word_bounds
+from ._text import LOWER, flat, mixed, runs_of, slices, space_words, span_hashes, texts_of, word_bounds
 
 SHINGLE = 3
 SEED = 42
@@ -276,11 +276,11 @@ def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
     raw, starts = flat(column)
     raw = _LOWER[raw]
     first, last = word_bounds(raw, starts)
-    spans = PrefixHash(PrefixHash(raw).spans(first, last))
+    words = span_hashes(raw, first, last)
+    runs = runs_of(words, NEAR_SHINGLE)
     cuts = np.searchsorted(first, starts)
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        begins = np.arange(a, max(b - NEAR_SHINGLE, a) + 1 if b > a else a)
-        yield np.unique(spans.spans(begins, np.minimum(begins + NEAR_SHINGLE, b)))
+        yield np.unique(runs[a : b - NEAR_SHINGLE + 1] if b - a >= NEAR_SHINGLE else runs_of(words[a:b], max(b - a, 1)))
 
 
 def band_keys(shingles: np.ndarray) -> np.ndarray:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ._blobs import bucket_count, press, unpress
 from ._scratch import materialise
-from ._text import PrefixHash, flat, mixed, slices
+from ._text import flat, mixed, slices, span_hashes
 
 LENGTH = 100
 Q = 24
@@ -164,9 +164,8 @@ def _send_anchors(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[p
         ids, marks = _texts(batch)
         at, key, first, last = anchors(raw, starts)
         doc = np.searchsorted(starts, at, side="right") - 1
-        hashes = PrefixHash(raw)
         low, high = np.maximum(at - _SPAN, starts[doc]), np.minimum(at + LENGTH, starts[doc + 1])
-        around = mixed(hashes.spans(low, at) * np.uint64(3) + hashes.spans(at, high))
+        around = mixed(span_hashes(raw, low, at) * np.uint64(3) + span_hashes(raw, at, high))
         held.append({
             "key": key, "around": around, "at": (at - starts[doc]).astype(np.uint32), "back": (at - first).astype(np.uint8),
             "strings": (last - first).astype(np.uint8), "doc": doc + docs, "ids": ids, "marks": marks,

@@ -3,12 +3,13 @@
 from collections import Counter
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from ferrule.llm import decontaminate, packing, simhash, suffix_dedup
 from ferrule.llm._blobs import press, unpress
-from ferrule.llm._text import PrefixHash, flat, space_words, word_bounds
+from ferrule.llm._text import flat, runs_of, space_words, span_hashes, word_bounds
 
 words = st.lists(st.sampled_from([b"a", b"b", b"c"]), max_size=14)
 quick = settings(max_examples=150, deadline=None)
@@ -39,7 +40,7 @@ def test_words_and_hashes(texts):
     first, last = word_bounds(raw, starts)
     found = [bytes(raw[a:b]) for a, b in zip(first, last)]
     assert found == [w for t in texts for w in space_words(t.encode())]
-    hashes = PrefixHash(raw).spans(first, last)
+    hashes = span_hashes(raw, first, last)
     assert len(set(zip(found, hashes.tolist()))) == len(set(found)) == len(set(hashes.tolist()))
 
 
@@ -88,3 +89,42 @@ def test_bins_keep_their_limits(items, most):
         rest = [i for size, i in content if size < 20]
         assert sum(size for size, _ in content) <= 20
         assert max(Counter(s for _, s, _ in rest).values(), default=0) <= most and max(Counter(c for _, _, c in rest).values(), default=0) <= 1
+
+
+def test_hashes_of_spans():
+    """All spans of a text, short and long: equal hashes for equal contents alone."""
+    rng = np.random.default_rng(0)
+    raw = rng.integers(97, 99, 1200).astype(np.uint8)
+    starts, ends = (x.ravel() for x in np.meshgrid(np.arange(0, 1200, 7), np.arange(0, 1201, 11)))
+    starts, ends = starts[starts <= ends], ends[starts <= ends]
+    for seed in (0, 1):
+        by = {}
+        for a, b, h in zip(starts.tolist(), ends.tolist(), span_hashes(raw, starts, ends, seed).tolist()):
+            by.setdefault(raw[a:b].tobytes(), set()).add(h)
+        assert all(len(v) == 1 for v in by.values()) and len(set().union(*by.values())) == len(by)
+    values = rng.integers(0, 3, 500).astype(np.uint64)
+    for n in (1, 2, 3, 5, 10):
+        by = {}
+        for i, h in enumerate(runs_of(values, n).tolist()):
+            by.setdefault(values[i : i + n].tobytes(), set()).add(h)
+        assert all(len(v) == 1 for v in by.values()) and len(set().union(*by.values())) == len(by)
+
+
+def thue_morse(n):
+    out = "a"
+    while len(out) < n:
+        out += out.translate({97: "b", 98: "a"})
+    return out
+
+
+@pytest.mark.parametrize("n", [512, 1024, 2048, 4096, 8192])
+def test_lines_that_collide_in_polynomials(n):
+    """A Thue-Morse line and its complement differ, whatever their length."""
+    import pyarrow as pa
+
+    from ferrule.llm.quality_rules import measure
+
+    line = thue_morse(n)
+    other = line.translate({97: "b", 98: "a"})
+    got = measure(pa.array([f"{line}\n{other}", f"{line}\n{line}", " ".join([*line, *other])], pa.string()))
+    assert got["n_dup_lines"].tolist() == [0, 1, 0] and got["line_share"].tolist() == [0, 1, 0]
