@@ -22,7 +22,9 @@ COSINES = 256
 #: Width of the Gaussian kernel, in standard deviations of the statistics.
 WIDTH = 4.0
 RIDGE = 1e-3
-#: Partitions whose sums the driver adds up.
+#: Labelled documents that are learned from, at most: those with the least hashes of their ids.
+LABELLED = 65_536
+#: Partitions of these, whose sums the driver adds up.
 SUMS = 32
 BINS = 4096
 SEED = 20_261
@@ -156,15 +158,21 @@ def held_out(column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def fit(stats: DataFrame, labels: DataFrame) -> Model:
-    """Learn from the labelled rows that are not held out.
-
-    The driver gets at most ``SUMS`` partial sums of fixed size, and a histogram
-    of ``BINS`` bins.
-    """
+def learned_from(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``doc_id, quality`` of at most ``LABELLED`` labelled documents that are not held out."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("quality"))
-    rows = materialise(stats.join(known, "doc_id").select("stats", "quality").repartition(SUMS), "labelled")
+    found = known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
+    return materialise(found.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED), "labels")
+
+
+def fit(stats: DataFrame, known: DataFrame) -> Model:
+    """Learn from the rows of ``stats`` (``doc_id, stats``) that ``known`` (``doc_id, quality``) has a label of.
+
+    ``known`` has at most ``LABELLED`` rows and is broadcast.  The driver gets at
+    most ``SUMS`` partial sums of fixed size, and a histogram of ``BINS`` bins.
+    """
+    rows = materialise(stats.join(F.broadcast(known), "doc_id").select("stats", "quality").repartition(SUMS), "labelled")
 
     def summed(df: DataFrame) -> np.ndarray:
         parts = [np.frombuffer(r["sums"]) for r in df.toLocalIterator()]
@@ -181,8 +189,7 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
 
 
 def _stats(docs: DataFrame) -> DataFrame:
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return materialise(narrow.mapInArrow(_measured, "doc_id long, stats binary"), "stats")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_measured, "doc_id long, stats binary")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -192,10 +199,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     as empty.  Null ids are never held out nor learned from.  Labels of null
     quality count for nothing; several labels of a document count as their
     mean; a repeated document counts again for each row.  Without any label to
-    learn from every score is 0.5.  Other columns are not read.
+    learn from every score is 0.5; of more than ``LABELLED`` labels a sample is
+    learned from.  Other columns are not read.  An empty table gives an empty
+    table.  A text is measured in one piece, with some 60 bytes of memory a byte.
     """
-    stats = _stats(docs)
-    model = fit(stats, labels)
+    stats = materialise(_stats(docs), "stats")
+    model = fit(stats, learned_from(docs, labels))
     scored = stats.mapInArrow(lambda b: _scored(b, model), "doc_id long, score double, predicted int")
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
@@ -209,8 +218,11 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, that ``quality_scores`` predicts to be good.
 
     Rows are judged one by one: nulls, repeats and an empty table as there.
+    Texts are measured as they are filtered; beforehand only those learned from.
     """
-    model = fit(_stats(docs), labels)
+    known = learned_from(docs, labels)
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")
+    model = fit(_stats(some), known)
     return docs.mapInArrow(lambda b: _good(b, model), docs.schema)
 
 

@@ -16,12 +16,14 @@ each link is an exact comparison of shingle sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._scratch import materialise
@@ -39,6 +41,8 @@ LEAF = 128
 NEAR_SHINGLE, SIMILARITY = 5, 80
 #: Candidates share all ``ROWS`` minima of one of ``BANDS`` bands.
 BANDS, ROWS = 24, 5
+#: 64-bit words of a map of shingles, a power of two.
+MAP_WORDS = 8
 _LOWER = np.frombuffer(LOWER, np.uint8)
 
 
@@ -323,16 +327,40 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        column = batch.column("shingles")
+        sizes = [len(x) // 8 for x in column.to_pylist()]
+        shingles = np.frombuffer(b"".join(column.to_pylist()), np.int64)
+        fp = np.repeat(batch.column("fp").to_numpy(), sizes)
+        for at in range(0, len(fp), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(fp[at : at + (1 << 16)]), pa.array(shingles[at : at + (1 << 16)])], names=["fp", "shingle"])
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The size of each set, and the map whose bits its shingles toggle."""
+    for batch in batches:
+        sets = [np.frombuffer(x, np.uint64) for x in batch.column("shingles").to_pylist()]
+        maps = np.zeros((len(sets), MAP_WORDS), np.uint64)
+        for i, x in enumerate(sets):
+            np.bitwise_xor.at(maps[i], (x >> np.uint64(6)) % np.uint64(MAP_WORDS), np.uint64(1) << (x & np.uint64(63)))
+        columns = [pa.array(np.ascontiguousarray(maps[:, i]).view(np.int64)) for i in range(MAP_WORDS)]
+        yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array([len(x) for x in sets], pa.int64()), *columns], names=["fp", "size", *(f"w{i}" for i in range(MAP_WORDS))])
+
+
 def near_components(docs: DataFrame) -> DataFrame:
     """``doc_id, copy, root, component_id`` for the distinct ids and texts of ``docs`` (``doc_id, copy, text``; ``copy`` is a hash of the text).
 
     Texts link when the Jaccard similarity of their sets of five-word shingles is
     0.8 or more.  Sets that share a band of minima are candidates (at 0.8 a pair
-    is one with probability 0.99993) and are compared in full: first
-    each with one member of each of its buckets, then all pairs of a bucket that
-    no chain of links joins yet, so that a large group of near copies costs no
-    pair of each two.  ``root`` names the component, ``component_id`` is its
-    smallest ``doc_id``.
+    is one with probability 0.99993) and are compared in full, in rounds: each
+    set with one random member of each of its buckets; then with the member that
+    shares most of its shingles with others; then all pairs of a bucket that no
+    chain of links joins yet.  After the first round sets are left out that
+    cannot link: of x's shingles only those that another open set has too can be
+    common to x and y, so that the similarity is at most m / (|x| + |y| - m), m
+    being the smaller number of these.  ``root`` names the component,
+    ``component_id`` is its smallest ``doc_id``.
     """
     marks = materialise(docs.mapInArrow(_near_marks, "doc_id long, copy long, fp long, keys array<long>"), "near-marks")
     least = F.min(F.struct("doc_id", "copy")).alias("least")
@@ -342,22 +370,54 @@ def near_components(docs: DataFrame) -> DataFrame:
     keyed = materialise(keyed.join(buckets.select("key", "leader"), "key"), "near-keyed")
 
     wanted = keyed.select("fp").distinct().join(distinct, "fp").select("fp", "doc_id", "copy")
-    sets = materialise(docs.join(wanted, ["doc_id", "copy"]).select("fp", "text").mapInArrow(_near_sets, "fp long, shingles binary").groupBy("fp").agg(F.first("shingles").alias("shingles")), "near-sets")
+    sets = docs.join(wanted, ["doc_id", "copy"]).select("fp", "text").mapInArrow(_near_sets, "fp long, shingles binary")
+    sets = materialise(sets.groupBy("fp").agg(F.first("shingles").alias("shingles")), "near-sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         one = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a")
         two = one.join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
         return two.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long")
 
-    led = keyed.where("fp <> leader").select(F.greatest("fp", "leader").alias("a"), F.least("fp", "leader").alias("b")).distinct()
-    roots = materialise(_contract(verified(materialise(led, "near-led"))), "near-roots")
-    labelled = keyed.join(roots.withColumnRenamed("v", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
-    mixed_keys = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    open_ = materialise(labelled.join(mixed_keys, "key"), "near-open")
-    other = open_.select("key", F.col("fp").alias("b"), F.col("root").alias("root_b"))
-    across = open_.withColumnRenamed("fp", "a").join(other, "key").where("a > b AND root <> root_b").select("a", "b").distinct()
-    more = verified(materialise(across.join(led, ["a", "b"], "left_anti"), "near-across"))
-    roots = materialise(_contract(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(more)), "near-roots")
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.greatest("fp", "leader").alias("a"), F.least("fp", "leader").alias("b")).distinct()
+
+    def joined(roots: DataFrame, pairs: DataFrame) -> DataFrame:
+        return materialise(_contract(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(verified(pairs))), "near-roots")
+
+    def apart(keyed: DataFrame, roots: DataFrame) -> DataFrame:
+        """The rows of buckets whose members are not all of one component."""
+        labelled = keyed.join(roots.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        several = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+        return labelled.join(several, "key")
+
+    led = materialise(ordered(keyed.where("fp <> leader")), "near-led")
+    roots = materialise(_contract(verified(led)), "near-roots")
+    open_ = materialise(apart(keyed.select("key", "fp"), roots), "near-open")
+
+    members = materialise(open_.select("fp").distinct().join(sets, "fp"), "near-members")
+    shingles = members.mapInArrow(_shingle_rows, "fp long, shingle long")
+    words = [f"w{i}" for i in range(MAP_WORDS)]
+    toggled = [F.bit_xor(F.when(F.shiftright("shingle", 6).bitwiseAND(MAP_WORDS - 1) == i, F.expr("shiftleft(1L, int(shingle & 63))")).otherwise(F.lit(0).cast("long"))).alias(w) for i, w in enumerate(words)]
+    lone = shingles.groupBy("shingle").agg(F.min("fp").alias("fp"), F.max("fp").alias("other")).where("fp = other")
+    lone = lone.groupBy("fp").agg(F.count("*").alias("lone"), *toggled)
+    sketch = members.mapInArrow(_sketches, "fp long, size long, " + ", ".join(f"{w} long" for w in words)).alias("s").join(lone.alias("l"), "fp", "left")
+    shared = sketch.select("fp", "size", F.coalesce("lone", F.lit(0)).alias("lone"), *(F.col(f"s.{w}").bitwiseXOR(F.coalesce(f"l.{w}", F.lit(0).cast("long"))).alias(w) for w in words))
+    shared = materialise(shared.where((100 - SIMILARITY) * F.col("size") >= 100 * F.col("lone")), "near-shared")
+
+    def may_link(x: str, y: str) -> Column:
+        differ = reduce(add, (F.bit_count(F.col(f"{x}.{w}").bitwiseXOR(F.col(f"{y}.{w}"))) for w in words), F.col(f"{x}.lone") + F.col(f"{y}.lone"))
+        return (100 + SIMILARITY) * differ <= (100 - SIMILARITY) * (F.col(f"{x}.size") + F.col(f"{y}.size"))
+
+    held = materialise(open_.select("key", "fp").join(shared, "fp"), "near-held")
+    central = held.groupBy("key").agg(F.min(F.struct(F.col("lone") / F.col("size"), "fp", "size", "lone", *words)).alias("m")).select("key", "m.size", "m.lone", *(f"m.{w}" for w in words), F.col("m.fp").alias("leader"))
+    around = apart(held, roots).alias("x").join(central.alias("y"), "key").where(may_link("x", "y")).where("fp <> leader").select("fp", "leader")
+    around = materialise(ordered(around).join(led, ["a", "b"], "left_anti"), "near-around")
+    roots = joined(roots, around)
+
+    rest = materialise(apart(held, roots), "near-rest")
+    pair = rest.alias("x").join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") > F.col("y.fp")) & (F.col("x.root") != F.col("y.root")) & may_link("x", "y"))
+    across = pair.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct().join(led, ["a", "b"], "left_anti").join(around, ["a", "b"], "left_anti")
+    roots = joined(roots, materialise(across, "near-across"))
 
     nodes = roots.unionByName(roots.select(F.col("root").alias("v"), "root").distinct())
     members = distinct.select("fp", "doc_id").join(nodes.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
@@ -369,15 +429,17 @@ def near_components(docs: DataFrame) -> DataFrame:
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """``docs``, with all its columns, less all but one row of each component of near copies.
 
-    The row with the smallest ``doc_id`` stays; of several the first by text.
-    Rows without an id stay and link nothing.
+    The row with the smallest ``doc_id`` stays; of several the one whose text has
+    the smallest hash, and of rows that repeat id and text any one.  Rows without
+    an id stay and link nothing.  Empty texts have no shingles and are copies of
+    each other.  An empty table stays empty.  A text is handled in one piece.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"))
     known = rows.where("_id IS NOT NULL").withColumn("_copy", F.xxhash64("_text"))
     linked = near_components(known.select(F.col("_id").alias("doc_id"), F.col("_copy").alias("copy"), F.col("_text").alias("text")))
-    kept = linked.where("doc_id = component_id").select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"), "root").distinct()
-    first = F.row_number().over(Window.partitionBy("_id", "root").orderBy("_text"))
-    one = known.join(kept, ["_id", "_copy"]).withColumn("_n", first).where("_n = 1")
+    kept = linked.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_id"), "root").agg(F.min("copy").alias("_copy")).select("_id", "_copy")
+    first = F.row_number().over(Window.partitionBy("_id", "_copy").orderBy("_id"))  # as the join leaves them: no text is sorted
+    one = known.select("_id", "_copy", "_doc").join(kept, ["_id", "_copy"]).withColumn("_n", first).where("_n = 1")
     return one.select("_doc").unionByName(rows.where("_id IS NULL").select("_doc")).select("_doc.*")
 
 
