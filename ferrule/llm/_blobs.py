@@ -20,7 +20,7 @@ def press(**arrays: np.ndarray) -> bytes:
         head.append(f"{name}:{kind}:{len(a)}")
         parts.append(body)
     title = ",".join(head).encode()
-    return zstandard.ZstdCompressor(level=1).compress(len(title).to_bytes(4, "little") + title + b"".join(parts))
+    return zstandard.ZstdCompressor(level=3).compress(len(title).to_bytes(4, "little") + title + b"".join(parts))
 
 
 def unpress(blob: bytes) -> dict[str, np.ndarray]:
