@@ -15,9 +15,11 @@ def press(**arrays: np.ndarray) -> bytes:
         if name == "key":
             a = np.diff(a, prepend=np.uint64(0))
         kind = next(k for k, t in _NUMBERS.items() if a.dtype == t)
+        if kind[0] == "u" and len(a):  # in the narrowest type that holds them
+            a = a.astype(np.min_scalar_type(a.max()))
         # bytes of the same weight stand together, so that small numbers shrink
         body = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes()
-        head.append(f"{name}:{kind}:{len(a)}")
+        head.append(f"{name}:{kind}:{len(a)}:{a.dtype.itemsize}")
         parts.append(body)
     title = ",".join(head).encode()
     return zstandard.ZstdCompressor(level=3).compress(len(title).to_bytes(4, "little") + title + b"".join(parts))
@@ -28,10 +30,9 @@ def unpress(blob: bytes) -> dict[str, np.ndarray]:
     at = 4 + int.from_bytes(raw[:4], "little")
     out = {}
     for entry in raw[4:at].decode().split(","):
-        name, kind, n = entry.split(":")
-        width = np.dtype(_NUMBERS[kind]).itemsize
-        size = int(n) * width
-        a = np.ascontiguousarray(np.frombuffer(raw, np.uint8, size, at).reshape(width, int(n)).T).view(_NUMBERS[kind]).ravel()
+        name, kind, n, width = entry.split(":")
+        size = int(n) * int(width)
+        a = np.ascontiguousarray(np.frombuffer(raw, np.uint8, size, at).reshape(int(width), int(n)).T).view(f"{kind[0]}{width}").ravel().astype(_NUMBERS[kind], copy=False)
         out[name] = np.cumsum(a, dtype=np.uint64) if name == "key" else a
         at += size
     return out
