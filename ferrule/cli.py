@@ -82,16 +82,26 @@ def eval_compare(a: argparse.Namespace) -> None:
 
 
 def batch_ingest(a: argparse.Namespace) -> None:
+    """Phase A reads pages into the cache, phase B ingests all that is cached."""
     spark = _spark()
     pages = sources.read_text_files(spark, a.path)
-    files = pages.groupBy("file").agg(F.max("page_num").alias("n_pages"))
-    work = batch.work_list(files, sources.read_checkpoint(spark, a.checkpoint))
-    cost = pages.select("file", F.col("page_num").alias("page"), F.when(F.length("text") > 0, a.cost).otherwise(0.0).alias("cost_usd"))
-    todo = work.join(cost, ["file", "page"]).withColumns({"lane": F.col("file"), "seq": F.col("page")})
-    started = batch.within_budget(todo, a.budget)
-    progress = started.select("file", "page", F.lit("done").alias("status"), F.lit(None).cast("string").alias("error_msg"), "cost_usd")
-    sources.append_checkpoint(progress, a.checkpoint)
+    contents = pages.select("file", F.col("page_num").alias("page"), F.col("text").cast("binary").alias("content"))
+    folder = f"{a.checkpoint}-cache"
+    cache = sources.read_cache(spark, folder)
+    progress = batch.run_batch(contents, sources.read_checkpoint(spark, a.checkpoint), cache, lambda content: (content or b"").decode(), a.cost, a.budget)
+    progress.where("status = 'done'").select("key", "text").dropDuplicates(["key"]).write.mode("append").parquet(folder)
+    sources.append_checkpoint(progress.select("file", "page", "status", "error_msg", "cost_usd"), a.checkpoint)
     _show(batch.summary(sources.read_checkpoint(spark, a.checkpoint)))
+    if a.collection:
+        keys = contents.select("file", "page", F.sha2("content", 256).alias("key"))
+        found = keys.join(sources.read_cache(spark, folder).dropDuplicates(["key"]), "key").withColumn("status", F.lit("done"))
+        c = plans.ingest_read(pages, found, load_profile(a.profile).structure)
+        c.chunks.write.mode("overwrite").parquet(f"{a.collection}/chunks")
+        c.edges.write.mode("overwrite").parquet(f"{a.collection}/edges")
+        pages.write.mode("overwrite").parquet(f"{a.collection}/pages")
+        sources.set_profile(a.collection, a.profile)
+        _show(plans.counters(c.chunks))
+    batch.check_errors(progress)
 
 
 def refs(a: argparse.Namespace) -> None:
@@ -186,7 +196,7 @@ def parser() -> argparse.ArgumentParser:
     command(ask, where, ("question", {}))
     command(evaluate, where, ("cases", {}), ("--out", {"default": "reports"}), ("--answer", {"action": "store_true"}))
     command(eval_compare, ("a", {}), ("b", {}))
-    command(batch_ingest, ("path", {}), ("checkpoint", {}), ("--budget", {"type": float, "default": 100.0}), ("--cost", {"type": float, "default": 0.002}))
+    command(batch_ingest, ("path", {}), ("checkpoint", {}), ("--budget", {"type": float, "default": 100.0}), ("--cost", {"type": float, "default": 0.002}), ("--collection", {}), ("--profile", {"default": "contract", "choices": available_profiles()}))
     command(refs, where, ("--type", {"choices": graph.TYPES}), ("--value", {}), ("--chunk", {}))
     command(migrate_layout, ("root", {}), where, ("--apply", {"action": "store_true"}))
     command(show_chunks, where, ("--n", {"type": int, "default": 10}))

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ferrule.sources.scratch import materialise
+
+PROGRESS = "file string, page int, status string, error_msg string, text string, cost_usd double"
+
 
 def done(checkpoint: DataFrame) -> DataFrame:
     """The pages that a checkpoint says are done or need not be."""
@@ -27,10 +34,72 @@ def within_budget(work: DataFrame, cap: float, by: str = "lane", order: tuple[st
     return work.withColumn("spent_before", spent / 1_000_000.0).where(F.col("spent_before") < cap)
 
 
+def within_run_budget(work: DataFrame, cap: float, order: tuple[str, ...] = ("file", "page")) -> DataFrame:
+    """The rows that are started before the whole run's spending (``cost_usd``) reaches its one cap, in ``order``.
+
+    The running sum goes over ranges of the order: each range is summed, the
+    ranges' offsets are added to running sums within them, so that no task holds
+    all rows.
+    """
+    micro = F.round(F.col("cost_usd") * 1_000_000).cast("long")
+    dealt = materialise(work.withColumn("_micro", micro).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "budget")
+    sums = dealt.groupBy("_range").agg(F.sum("_micro").alias("_sum"))  # a row a range
+    offsets = sums.select("_range", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
+    earlier = F.sum("_micro").over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    rows = dealt.withColumn("_earlier", F.coalesce(earlier, F.lit(0))).join(F.broadcast(offsets), "_range")
+    spent = (F.col("_offset") + F.col("_earlier")) / 1_000_000.0
+    return rows.withColumn("spent_before", spent).where(F.col("spent_before") < cap).select(*work.columns, "spent_before")
+
+
+def run_pages(pages: DataFrame, read: Callable[[bytes], str], cost: float = 0.0) -> DataFrame:
+    """``PROGRESS`` of ``pages`` (``file, page, content``) that ``read`` has gone over, a page at a time within Arrow batches.
+
+    A page that fails is a row of status ``error`` and costs nothing; a page
+    costs ``cost`` if it has text.  As many pages are in flight as there are tasks.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for file, page, content in zip(batch["file"], batch["page"], batch["content"], strict=True):
+                try:
+                    text = read(None if content is None else bytes(content))
+                    rows.append((file, page, "done", None, text, cost if (text or "").strip() else 0.0))
+                except Exception as e:  # one page must not fail the run
+                    rows.append((file, page, "error", f"{type(e).__name__}: {e}", None, 0.0))
+            yield pd.DataFrame(rows, columns=[f.split()[0] for f in PROGRESS.split(", ")])
+
+    return pages.select("file", F.col("page").cast("int").alias("page"), F.col("content").cast("binary").alias("content")).mapInPandas(run, PROGRESS)
+
+
+def run_batch(pages: DataFrame, checkpoint: DataFrame, cache: DataFrame, read: Callable[[bytes], str], cost: float, cap: float) -> DataFrame:
+    """A resumable run over ``pages`` (``file, page, content``): ``PROGRESS`` with the content's ``key`` of the pages that were still to do.
+
+    What the checkpoint calls done is left out, errors are tried again; what the
+    cache (``key, text``) holds is ``skipped_cached``; of the rest pages start, in order,
+    until ``cap`` is spent at ``cost`` a page.  Stored before it is returned, so
+    that each page is read once.
+    """
+    todo = pages.join(done(checkpoint), ["file", "page"], "left_anti").withColumn("key", F.sha2(F.col("content").cast("binary"), 256))
+    known = todo.select("file", "page", "key").join(cache.select("key", "text").dropDuplicates(["key"]), "key")
+    skipped = known.select("file", F.col("page").cast("int").alias("page"), F.lit("skipped_cached").alias("status"), F.lit(None).cast("string").alias("error_msg"), "text", F.lit(0.0).alias("cost_usd"), "key")
+    fresh = within_run_budget(todo.join(cache.select("key"), "key", "left_anti").withColumn("cost_usd", F.lit(float(cost))), cap)
+    ran = run_pages(fresh.select("file", "page", "content"), read, cost).join(fresh.select("file", F.col("page").cast("int").alias("page"), "key"), ["file", "page"])
+    return materialise(skipped.unionByName(ran), "progress")
+
+
+def check_errors(progress: DataFrame) -> None:
+    """Raise if pages of a run failed; to be called once progress is written."""
+    n = progress.where("status = 'error'").count()
+    if n:
+        first = progress.where("status = 'error'").orderBy("file", "page").first()
+        raise RuntimeError(f"{n} pages failed, first {first['file']} p.{first['page']}: {first['error_msg']}")
+
+
 def summary(progress: DataFrame) -> DataFrame:
-    """One row: pages done, skipped, failed, and their cost."""
+    """One row: pages done, skipped, failed, their cost, and the seconds of the run if rows tell them (``elapsed_s`` so far)."""
     one = lambda s: F.count_if(F.col("status") == s)
-    return progress.agg(one("done").alias("n_done"), one("skipped_cached").alias("n_skipped"), one("error").alias("n_error"), F.round(F.coalesce(F.sum("cost_usd"), F.lit(0.0)), 6).alias("cost_usd"))
+    return progress.agg(one("done").alias("n_done"), one("skipped_cached").alias("n_skipped"), one("error").alias("n_error"), F.round(F.coalesce(F.sum("cost_usd"), F.lit(0.0)), 6).alias("cost_usd"), *([F.round(F.max("elapsed_s"), 3).alias("elapsed_s")] if "elapsed_s" in progress.columns else []))
 
 
 def progress_marks(progress: DataFrame, every: int, by: str = "lane") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.functions.text import contains_folded
+from ferrule.functions.text import contains_folded, words
 
 
 def in_sources(file: Column, page: Column, sources: Column) -> Column:
@@ -57,6 +57,12 @@ def compare(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("category", "me
     return both.select(*(F.coalesce(f"_a_{k}", f"_b_{k}").alias(k) for k in keys), "a", "b", F.round(F.col("b") - F.col("a"), 6).alias("delta"))
 
 
+def question_share(question: Column, answer: Column) -> Column:
+    """A deterministic stand-in for a judge of relevancy: the share of the question's words that the answer takes up; null without any."""
+    asked = F.array_distinct(words(question))
+    return F.size(F.array_intersect(asked, words(answer))) / F.nullif(F.size(asked), F.lit(0))
+
+
 def supported_share(answer_sentences: Column, passages: Column) -> Column:
     """A deterministic stand-in for a judge: sentences that some passage holds; null without any."""
     held = F.size(F.filter(answer_sentences, lambda s: F.exists(passages, lambda p: contains_folded(p, s))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.config import Policy
@@ -30,8 +30,9 @@ def page_metrics(boxes: DataFrame, texts: DataFrame) -> DataFrame:
 def report_rows(metrics: DataFrame) -> DataFrame:
     """Metrics as a report shows them: four decimals, ``non_alnum_ratio`` in place of the alnum share; signals a record lacks are null."""
     has = lambda c: F.col(c) if c in metrics.columns else F.lit(None).cast("double")
+    error = F.col("engine_error") if "engine_error" in metrics.columns else F.lit(None).cast("string")
     rounded = [round4(has(c)).alias(c) for c in ("mean_score", "min_score", "low_score_ratio", "garbled_ratio", "max_band_gap", "box_coverage", "order_divergence")]
-    return metrics.select("page_key", "boxes", round4(1 - F.col("alnum_ratio")).alias("non_alnum_ratio"), has("n_columns").cast("int").alias("n_columns"), *rounded)
+    return metrics.select("page_key", "boxes", round4(1 - F.col("alnum_ratio")).alias("non_alnum_ratio"), has("n_columns").cast("int").alias("n_columns"), *rounded, error.alias("engine_error"))
 
 
 @dataclass(frozen=True)
@@ -194,10 +195,38 @@ def rescue(pairs: DataFrame, policy: Policy = Policy()) -> DataFrame:  # noqa: B
 
 
 def scan(metrics: DataFrame, sidecars: DataFrame) -> DataFrame:
-    """Stored metrics where there are any, fresh ones elsewhere."""
-    return sidecars.unionByName(metrics.join(sidecars.select("page_key"), "page_key", "left_anti"), allowMissingColumns=True)
+    """Stored metrics where there are any, fresh ones elsewhere; of a page that its engine failed on (``engine_error``) no signal counts."""
+    fresh = metrics.join(sidecars.select("page_key"), "page_key", "left_anti")
+    if "engine_error" in metrics.columns:
+        rest = [c for c in metrics.columns if c not in ("page_key", "file", "page", "engine_error")]
+        fresh = fresh.withColumns({c: F.when(F.col("engine_error").isNull(), F.col(c)) for c in rest})
+    return sidecars.unionByName(fresh, allowMissingColumns=True)
 
 
-def ordered_rank(rows: DataFrame) -> DataFrame:
-    """``rank`` of pages within their file, worst first."""
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("file").orderBy(F.desc("margin"), "page_key")))
+def storable(scanned: DataFrame, sidecars: DataFrame) -> DataFrame:
+    """The rows of a scan that sidecars are to be written of: fresh ones without an error, so that failures are tried again."""
+    rows = scanned.join(sidecars.select("page_key"), "page_key", "left_anti")
+    return rows.where("engine_error IS NULL") if "engine_error" in rows.columns else rows
+
+
+VERSIONS = ("v1", "v2")
+
+
+def classifier_version(given: str | None = None, environment: str | None = None) -> str:
+    """The classifier's version: the given one, else the environment's, else v1; an unknown one is an error."""
+    version = given or environment or VERSIONS[0]
+    if version not in VERSIONS:
+        raise ValueError(f"the classifier's version must be one of {VERSIONS}, not {version!r}")
+    return version
+
+
+def classify(signals: DataFrame, version: str, policy: Policy = Policy()) -> DataFrame:  # noqa: B008
+    """``signals`` (``dark_ratio, strong_rows, boxes, box_coverage``) with the ``route`` by either version.
+
+    v1 goes by ink alone, and takes a page without readable pixels as text; v2 by
+    boxes, with v1 where there are none.
+    """
+    ink = F.when(F.col("dark_ratio").isNull() | F.col("strong_rows").isNull(), "text").otherwise(classify_pixels(F.col("dark_ratio"), F.col("strong_rows")))
+    if classifier_version(version) == "v1":
+        return signals.withColumn("route", ink)
+    return signals.withColumn("route", classify_boxes(F.col("boxes"), F.col("box_coverage"), F.col("dark_ratio"), policy, ink)["route"])

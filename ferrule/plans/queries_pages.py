@@ -175,7 +175,7 @@ def trace(spark, d):
     return quality.trace(signals(spark, d), Policy()).select("page_num", "route", F.coalesce("boxes", F.lit(-1)).alias("boxes"), "mean_box_area")
 
 
-@query("pol_trace_reasons")
+@query("pol_trace_reasons", f"WITH {SIGNALS}, {routes('t', 0.1, 0.001)} SELECT page_num, route, reason, FALSE AS v2_toggle FROM t")
 def trace_reasons(spark, d):
     return quality.trace(signals(spark, d), Policy()).select("page_num", "route", "reason", "v2_toggle")
 
@@ -263,7 +263,8 @@ def markdown(spark, d):
     return tables.markdown(tables.cells(page_tables(spark, d)))
 
 
-@query("tbl_elements")
+@query("tbl_elements", f"""WITH {TABLE_ROWS}, b AS (SELECT *, row * 2 + col AS i FROM c), n AS (SELECT *, round(least(i * 10, 100) / 100.0::DOUBLE, 4) AS x, round((i * 5) / 200.0::DOUBLE, 4) AS y, round((least(i * 10 + 60, 100) - least(i * 10, 100)) / 100.0::DOUBLE, 4) AS w, round(30 / 200.0::DOUBLE, 4) AS h FROM b)
+SELECT table_id, '{{"rotation":0,"cells":' || count(*) || '}}' || chr(10) || string_agg('{{"row":' || row || ',"row_end":' || row || ',"col":' || col || ',"col_end":' || col || ',"x":' || x || ',"y":' || y || ',"w":' || w || ',"h":' || h || ',"text":"' || text || '"}}', chr(10) ORDER BY row, col) AS jsonl FROM n GROUP BY table_id""")
 def elements(spark, d):
     return tables.elements(tables.cells(page_tables(spark, d)))
 
@@ -275,3 +276,29 @@ def table_regions(spark, d):
     box = F.array(x0, F.lit(20.0), x1, F.lit(120.0))
     found = li.select(F.col("l_orderkey").alias("page_key"), F.when(F.col("l_returnflag") == "R", "table").otherwise("figure").alias("label"), (1 - F.col("l_discount") * 8).alias("score"), box.alias("box"), F.lit(1000).alias("page_w"), F.lit(1000).alias("page_h"))
     return tables.regions(found)
+
+
+_INK = "CASE WHEN dark IS NULL OR strong IS NULL THEN 'text' WHEN dark < 0.005 OR dark > 0.5 OR strong < 0.08 THEN 'drawing' ELSE 'text' END"
+
+
+@query("cls_versions", f"""WITH s AS (SELECT l_orderkey * 100 + l_partkey % 100 AS page_num, CASE WHEN l_linenumber % 5 <> 0 THEN CAST(l_discount AS DOUBLE) * 6 END AS dark, CAST(l_tax AS DOUBLE) * 2 AS strong,
+  CASE WHEN l_partkey % 7 <> 0 THEN CAST(l_quantity AS INTEGER) - 1 END AS boxes, CAST(l_extendedprice AS DOUBLE) / 1000000 AS cover FROM lineitem)
+SELECT page_num, {_INK} AS v1, CASE WHEN boxes IS NULL THEN {_INK} WHEN boxes = 0 OR dark > 0.5 THEN 'drawing' WHEN cover < 0.1 AND dark < 0.02 THEN 'text' WHEN cover / boxes < 0.001 THEN 'drawing' ELSE 'text' END AS v2 FROM s""")
+def versions(spark, d):
+    s = table(spark, d, "lineitem").select(
+        (F.col("l_orderkey") * 100 + F.col("l_partkey") % 100).alias("page_num"), F.when(F.col("l_linenumber") % 5 != 0, F.col("l_discount").cast("double") * 6).alias("dark_ratio"),
+        (F.col("l_tax").cast("double") * 2).alias("strong_rows"), F.when(F.col("l_partkey") % 7 != 0, F.col("l_quantity").cast("int") - 1).alias("boxes"), (F.col("l_extendedprice").cast("double") / 1000000).alias("box_coverage"),
+    )
+    return quality.classify(quality.classify(s, "v1").withColumnRenamed("route", "v1"), "v2").select("page_num", "v1", F.col("route").alias("v2"))
+
+
+@query("qlt_engine_errors", """WITH m AS (SELECT o_orderkey AS page_key, CASE WHEN o_custkey % 9 = 0 THEN 'timeout' END AS engine_error, CAST(o_totalprice AS DOUBLE) / 1000000 AS mean_score FROM orders)
+SELECT page_key, engine_error, CASE WHEN page_key % 4 = 0 THEN 0.5 WHEN engine_error IS NULL THEN round(mean_score, 4) END AS mean_score, page_key % 4 <> 0 AND engine_error IS NULL AS stored
+FROM (SELECT page_key, CASE WHEN page_key % 4 <> 0 THEN engine_error END AS engine_error, mean_score FROM m)""")
+def engine_errors(spark, d):
+    """A scan over pages of which some are stored and some failed; and what is to be stored of it."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("page_key"), F.lit(1).alias("boxes"), F.lit(0.5).alias("alnum_ratio"), (F.col("o_totalprice").cast("double") / 1000000).alias("mean_score"), F.when(F.col("o_custkey") % 9 == 0, "timeout").alias("engine_error"))
+    sidecars = o.where("page_key % 4 = 0").select("page_key", "boxes", "alnum_ratio", F.lit(0.5).alias("mean_score"))
+    scanned = quality.scan(o, sidecars)
+    kept = quality.storable(scanned, sidecars).select("page_key", F.lit(True).alias("stored"))
+    return quality.report_rows(scanned).join(kept, "page_key", "left").select("page_key", "engine_error", "mean_score", F.coalesce("stored", F.lit(False)).alias("stored"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ferrule.operators import batch, dispatch, redaction
 from ferrule.plans.registry import query
+from ferrule.plans.slots import Slots, cached_captions
 from ferrule.sources import tables as sources
 from ferrule.sources.tables import table
 
@@ -62,6 +63,45 @@ def budget(spark, d):
     return batch.within_budget(work, 100.0).select("lane", "seq")
 
 
+@query("bat_run_budget", """WITH w AS (SELECT o_orderpriority AS file, o_orderkey AS page, CAST(round(o_totalprice * 10) AS BIGINT) AS c FROM orders), s AS (SELECT *, coalesce(sum(c) OVER (ORDER BY file, page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM w)
+SELECT file, page, before / 1000000.0::DOUBLE AS spent_before FROM s WHERE before < 1000000000""")
+def run_budget(spark, d):
+    """One cap for the whole run, in the order of files and pages."""
+    work = table(spark, d, "orders").select(F.col("o_orderpriority").alias("file"), F.col("o_orderkey").alias("page"), (F.round(F.col("o_totalprice").cast("double") * 10) / 1_000_000).alias("cost_usd"))
+    return batch.within_run_budget(work, 1000.0).select("file", "page", "spent_before")
+
+
+@query("bat_run", """WITH p AS (SELECT source AS file, CAST(doc_id AS INTEGER) AS page, coalesce(text, '') AS t, sha256(coalesce(text, '')) AS key FROM documents),
+cached AS (SELECT DISTINCT key FROM p WHERE page % 3 = 0), todo AS (SELECT * FROM p WHERE page % 5 <> 0)
+SELECT file, page, CASE WHEN key IN (SELECT key FROM cached) THEN 'skipped_cached' WHEN contains(t, 'q') THEN 'error' ELSE 'done' END AS status,
+  CASE WHEN key NOT IN (SELECT key FROM cached) AND contains(t, 'q') THEN 'ValueError: unreadable' END AS error_msg,
+  CASE WHEN key IN (SELECT key FROM cached) THEN 'cached' WHEN NOT contains(t, 'q') THEN t END AS text,
+  CASE WHEN key IN (SELECT key FROM cached) OR contains(t, 'q') OR trim(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' THEN 0.0::DOUBLE ELSE 0.002::DOUBLE END AS cost_usd FROM todo""")
+def run(spark, d):
+    """A resumed run: some pages are done, some contents are cached, some pages fail."""
+
+    def read(content: bytes) -> str:
+        text = content.decode()
+        if "q" in text:
+            raise ValueError("unreadable")
+        return text
+
+    pages = table(spark, d, "documents").select(F.col("source").alias("file"), F.col("doc_id").cast("int").alias("page"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    seen = pages.where("page % 5 = 0").select("file", "page", F.lit("done").alias("status"))
+    cached = pages.where("page % 3 = 0").select(F.sha2("content", 256).alias("key"), F.lit("cached").alias("text")).distinct()
+    return batch.run_batch(pages, seen, cached, read, 0.002, 1e9).select("file", "page", "status", "error_msg", "text", "cost_usd")
+
+
+@query("src_captions", """SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'old' WHEN doc_id % 4 = 1 THEN '' WHEN doc_id % 3 <> 0 THEN 'new' END AS caption FROM documents""")
+def captions(spark, d):
+    """Captions through a cache that holds some, empty ones too, and some payloads that are no text; a captioner that fails on some pages."""
+    wanted = table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("key"), F.lit(None).cast("binary").alias("image"), F.when(F.col("doc_id") % 3 != 0, "x").alias("nearby"))
+    payload = F.when(F.col("doc_id") % 4 == 0, F.lit("old").cast("binary")).when(F.col("doc_id") % 4 == 1, F.lit("").cast("binary")).otherwise(F.unhex(F.lit("FFFE")))
+    cache = wanted.where("doc_id % 4 < 3").select("key", payload.alias("payload"))
+    out, _ = cached_captions(wanted, cache, Slots(caption=lambda image, nearby: F.when(nearby.isNotNull(), F.lit("new"))))
+    return out.select("doc_id", "caption")
+
+
 @query("bat_progress", """WITH e AS (SELECT user_id AS lane, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, count(*) OVER (PARTITION BY user_id) AS total FROM events)
 SELECT lane, n, total, round((n * 2.0::DOUBLE) / n * (total - n), 3) AS eta_s FROM e WHERE n % 5 = 0 OR n = total""")
 def progress(spark, d):

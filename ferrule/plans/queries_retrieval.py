@@ -300,13 +300,13 @@ def ingest(spark, d):
 
 @query("plan_search")
 def search(spark, d):
-    asked = table(spark, d, "part").where("p_partkey < 20").select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("What does Question ACME "), F.col("p_partkey"), F.lit(" require?")).alias("text"))
+    asked = table(spark, d, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("What does Question ACME "), F.col("p_partkey"), F.lit(" require?")).alias("text"))
     return plans.search(collection(spark, d), asked).select("query_id", "rank", "score", "chunk_id", "preview")
 
 
 @query("plan_ask")
 def ask(spark, d):
-    asked = table(spark, d, "part").where("p_partkey < 20").select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("What does Question ACME "), F.col("p_partkey"), F.lit(" require?")).alias("text"))
+    asked = table(spark, d, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("What does Question ACME "), F.col("p_partkey"), F.lit(" require?")).alias("text"))
     return plans.ask(collection(spark, d), asked, Slots())
 
 

@@ -86,10 +86,10 @@ def sentences(spark, d):
     return table(spark, d, "documents").select("doc_id", T.sentences(F.col("text")).alias("sentences"))
 
 
-@query("str_citations", """WITH a AS (SELECT doc_id, '[' || source || ' p.' || (doc_id % 90) || '] ' || substr(text, 1, 30) || ' [x y.pdf p.7] [bad] [no p.x]' AS t FROM documents)
+@query("str_citations", """WITH a AS (SELECT doc_id, '[' || source || ' p.' || (doc_id % 90) || '] ' || coalesce(text, '') || ' [x y.pdf p.7] [bad] [no p.x]' AS t FROM documents)
 SELECT doc_id, regexp_extract_all(t, '\\[([^\\[\\]]+?)\\s+p\\.(\\d+)\\]', 1) AS files, list_transform(regexp_extract_all(t, '\\[([^\\[\\]]+?)\\s+p\\.(\\d+)\\]', 2), lambda x: CAST(x AS INTEGER)) AS cited FROM a""")
 def citations(spark, d):
-    t = F.concat(F.lit("["), F.col("source"), F.lit(" p."), F.col("doc_id") % 90, F.lit("] "), F.substring("text", 1, 30), F.lit(" [x y.pdf p.7] [bad] [no p.x]"))
+    t = F.concat(F.lit("["), F.col("source"), F.lit(" p."), F.col("doc_id") % 90, F.lit("] "), F.coalesce("text", F.lit("")), F.lit(" [x y.pdf p.7] [bad] [no p.x]"))
     c = T.citations(t)
     return table(spark, d, "documents").select("doc_id", F.transform(c, lambda x: x["file"]).alias("files"), F.transform(c, lambda x: x["page"]).alias("cited"))
 

@@ -44,6 +44,27 @@ def collect(chunks: DataFrame, slots: Slots = Slots()) -> Collection:  # noqa: B
     return Collection(rows, vectors, bm25.build(rows.select("chunk_id", "ord", text.alias("text")), slots.tokenise), graph.mentions(rows))
 
 
+def ingest_read(pages: DataFrame, progress: DataFrame, structure: Structure = CONTRACT_STRUCTURE, slots: Slots = Slots()) -> Collection:  # noqa: B008
+    """The second phase of a batch: ``pages`` with the text that its first phase read or found cached, as a collection."""
+    texts = progress.where("status IN ('done', 'skipped_cached')").select("file", F.col("page").alias("page_num"), F.col("text").alias("_read"))
+    read = pages.join(texts, ["file", "page_num"]).withColumn("text", F.coalesce("_read", F.lit(""))).select(*pages.columns)
+    return ingest(read, structure, slots)
+
+
+def counters(chunks: DataFrame) -> DataFrame:
+    """One row: chunks, drawing chunks and drawn pages, and pages of a collection."""
+    page = F.struct("file", "page")
+    return chunks.agg(
+        F.count("*").alias("n_chunks"), F.count_if(F.col("chunk_type") == "drawing").alias("n_drawings"),
+        F.countDistinct(F.when(F.col("chunk_type") == "drawing", page)).alias("n_drawn_pages"), F.countDistinct(page).alias("n_pages"),
+    )
+
+
+def degraded(n_chunks: int, n_vectors: int) -> bool:
+    """Whether a collection has vectors but no chunks: its keyword search finds nothing, and hybrid search is by vectors alone."""
+    return n_chunks == 0 and n_vectors > 0
+
+
 def check_request(question: str, k: int = RETRIEVED) -> None:
     if not 1 <= len(question) <= MOST_QUESTION:
         raise ValueError(f"a question has 1 to {MOST_QUESTION} characters")
@@ -80,7 +101,7 @@ def evaluate(c: Collection, cases: DataFrame, slots: Slots | None = None) -> tup
     """Per-case metrics and their means; all cases are searched at once."""
     queries = cases.select(F.col("case_id").alias("query_id"), F.col("question").alias("text"))
     hits = search(c, queries, RETRIEVED, slots=slots or Slots()).withColumnRenamed("query_id", "case_id")
-    rows = cases.select("case_id", "category", "expected_sources", "expected_keywords")
+    rows = cases.select("case_id", "category", "question", "expected_sources", "expected_keywords")
     for k in (5, 10):
         rows = rows.join(evaluation.recall(cases, hits, k).withColumnRenamed("recall", f"recall_{k}"), "case_id")
     rows = rows.join(hits.groupBy("case_id").agg(F.count("*").alias("n_retrieved")), "case_id", "left").fillna(0, ["n_retrieved"])
@@ -93,8 +114,9 @@ def evaluate(c: Collection, cases: DataFrame, slots: Slots | None = None) -> tup
             "citation_accuracy": evaluation.citation_accuracy(F.col("citations"), F.col("expected_sources")),
             "keyword_rate": evaluation.keyword_rate(F.col("answer"), F.col("expected_keywords")),
             "faithfulness": slots.faithfulness(F.col("answer"), F.col("passages")),
+            "answer_relevancy": slots.relevancy(F.col("question"), F.col("answer")),
         })
-        metrics += ["citation_accuracy", "keyword_rate", "faithfulness"]
+        metrics += ["citation_accuracy", "keyword_rate", "faithfulness", "answer_relevancy"]
     return rows, evaluation.means(rows, metrics)
 
 

@@ -14,10 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.functions.text import sentences, words
-from ferrule.operators import vector
+from ferrule.operators import images, vector
 from ferrule.operators.citations import extractive_answer
-from ferrule.operators.evaluation import supported_share
+from ferrule.operators.evaluation import question_share, supported_share
 from ferrule.operators.fusion import overlap_score
+from ferrule.sources.scratch import materialise
 
 
 def no_caption(image: Column, nearby: Column) -> Column:
@@ -36,6 +37,12 @@ class Slots:
     tokenise: Callable[[Column], Column] = words
     rerank: Callable[[Column, Column], Column] = overlap_score
     answer: Callable[[DataFrame, DataFrame], DataFrame] = extractive_answer
+    #: The structure of a table image: cells as ``tables.cells`` takes them.
+    structure: Callable[[Column], Column] | None = None
+    #: An image of a page of a file.
+    render: Callable[[Column, Column], Column] | None = None
+    turn: Callable[[Column, Column], Column] = images.turn
+    relevancy: Callable[[Column, Column], Column] = question_share
     faithfulness: Callable[[Column, Column], Column] = field(default=lambda answer, passages: supported_share(sentences(answer), passages))
 
 
@@ -55,10 +62,39 @@ def row_udf(f: Callable[..., object], kind: str) -> Callable[..., Column]:
     return F.pandas_udf(run, kind)
 
 
-def attach_captions(chunks: DataFrame, images: DataFrame, slots: Slots) -> DataFrame:
-    """Drawing chunks with a caption, each page read once (``images``: ``file, page, image``); other chunks keep theirs."""
+def base_url(address: str) -> str:
+    """The root of a model server's interface: its address with one ``/v1`` at the end."""
+    bare = address.rstrip("/")
+    return bare if bare.endswith("/v1") else bare + "/v1"
+
+
+def upright(images: DataFrame, rotations: DataFrame | None, slots: Slots) -> DataFrame:
+    """Page images (``file, page, image``), turned by what is known of their pages (``file, page, rotation``)."""
+    if rotations is None:
+        return images
+    known = rotations.select("file", "page", "rotation").dropDuplicates(["file", "page"])
+    joined = images.join(known, ["file", "page"], "left")
+    return joined.withColumn("image", F.when(F.coalesce("rotation", F.lit(0)) == 0, F.col("image")).otherwise(slots.turn(F.col("image"), F.col("rotation")))).drop("rotation")
+
+
+def cached_captions(wanted: DataFrame, cache: DataFrame, slots: Slots) -> tuple[DataFrame, DataFrame]:
+    """``wanted`` (``key, image, nearby``) with ``caption``, and the cache's new rows (``key, payload``).
+
+    A cached payload is UTF-8; an empty one is a caption like any other, one that
+    is not UTF-8 is a miss.  A caption that failed is null, and not cached.
+    """
+    held = cache.select("key", F.try_validate_utf8(F.col("payload").cast("string")).alias("_held")).where("_held IS NOT NULL").dropDuplicates(["key"])
+    joined = wanted.join(held, "key", "left")
+    hits = joined.where("_held IS NOT NULL").select(*wanted.columns, F.col("_held").alias("caption"))
+    fresh = materialise(joined.where("_held IS NULL").select(*wanted.columns, slots.caption(F.col("image"), F.substring("nearby", 1, 1500)).alias("caption")), "captions")
+    new = fresh.where("caption IS NOT NULL").select("key", F.col("caption").cast("binary").alias("payload")).dropDuplicates(["key"])
+    return hits.unionByName(fresh), new
+
+
+def attach_captions(chunks: DataFrame, images: DataFrame, slots: Slots, rotations: DataFrame | None = None) -> DataFrame:
+    """Drawing chunks with a caption, each page read once and upright (``images``: ``file, page, image``); other chunks keep theirs."""
     drawn = chunks.where("chunk_type = 'drawing'").select("file", "page", F.col("text").alias("nearby")).dropDuplicates(["file", "page"])
-    captions = drawn.join(images, ["file", "page"], "left").select("file", "page", F.coalesce(slots.caption(F.col("image"), F.substring("nearby", 1, 1500)), F.lit("")).alias("_caption"))
+    captions = drawn.join(upright(images, rotations, slots), ["file", "page"], "left").select("file", "page", F.coalesce(slots.caption(F.col("image"), F.substring("nearby", 1, 1500)), F.lit("")).alias("_caption"))
     joined = chunks.join(captions, ["file", "page"], "left")
     return joined.withColumn("caption", F.when(F.col("chunk_type") == "drawing", F.col("_caption")).otherwise(F.col("caption"))).select(*chunks.columns)
 

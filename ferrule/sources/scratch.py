@@ -3,24 +3,31 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
+#: The temporary folder of a single machine, once there is one.
+_own: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests, a single machine) a temporary
-    folder takes its place.
+    Only on a single machine, as in tests, a temporary folder takes its place:
+    on a cluster machines would each write to a folder of their own.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="ferrule-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
+        if not _own:
+            _own.append("file://" + tempfile.mkdtemp(prefix="ferrule-"))
+        named = _own[0]
     return named.rstrip("/")
 
 

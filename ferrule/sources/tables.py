@@ -70,6 +70,11 @@ def read_checkpoint(spark: SparkSession, path: str) -> DataFrame:
     return raw.where("r IS NOT NULL AND r._corrupt IS NULL AND r.file IS NOT NULL").select("r.*").drop("_corrupt")
 
 
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """``key, text`` of the pages that have been read; empty if there is no cache yet."""
+    return spark.read.parquet(path) if _exists(spark, path) else spark.createDataFrame([], "key string, text string")
+
+
 def append_checkpoint(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path, ignoreNullFields=False)
 

@@ -72,11 +72,14 @@ def test_providers(spark, pool, expected):
     digests = [hashlib.sha256(t.encode()).hexdigest() for t in ("", "page-1", "page-2", "page-3")]
     assert [one(spark, f" {x.upper()} ", lambda c: dispatch.provider(c, pool)) for x in digests] == expected
     assert [pool[int(x, 16) % len(pool)] for x in digests] == expected
-    assert one(spark, "abc", lambda c: dispatch.provider(c, pool)) is None
+    assert one(spark, digests[0], lambda c: dispatch.provider(c, [f" {p} " for p in pool])) == expected[0]
+    for bad in ("abc", digests[0] + "0", None):
+        with pytest.raises(Exception, match="SHA-256"):
+            one(spark, bad, lambda c: dispatch.provider(c, pool))
 
 
 def test_pools_are_checked(spark):
-    for bad in ([], ["a", "a"]):
+    for bad in ([], ["a", "a"], ["a", " a"], ["a", " "]):
         with pytest.raises(ValueError, match="pool"):
             dispatch.provider(F.lit("x"), bad)
 
