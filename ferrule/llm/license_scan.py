@@ -1,7 +1,7 @@
-"""License scans: TF-IDF cosine of lines to license templates, and inheritance along directories.
+"""License scans: TF-IDF cosine of headers and files to license templates, and inheritance along directories.
 
-DataFrame functions only.  Every line of every file is held against all
-templates; a file without a license of its own takes that of the nearest
+DataFrame functions only.  Every line, paragraph and whole text of every file is
+held against all templates; a file without a license of its own takes that of the nearest
 directory above it that has a license file.
 """
 
@@ -9,19 +9,21 @@ from __future__ import annotations
 
 import math
 import re
-from functools import reduce
-from operator import add, or_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._scratch import materialise
 
 LEAST_COSINE = 0.8
+#: What a license was found in.
+KINDS = ("line", "paragraph", "file")
 #: A file whose license lines make up such a share of its words is a license file, whatever its name.
 FILE_SHARE = 0.5
 FILE_NAME = r"(?i)^(licen[sc]e|copying|unlicense|notice)([.-].*)?$"
 
+#: Parts paragraphs.
+PARAGRAPH = r"\n[\x20\x09-\x0D]*\n"
+
 #: Statements by which files and license files name their license.
 TEMPLATES = [
     ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
@@ -56,6 +58,96 @@ TEMPLATES = [
 ]
 
 
+#: Identifiers that files name a license by.
+SPDX = """
+0BSD AFL-3.0 AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSD-4-Clause BSL-1.0 CC-BY-3.0 CC-BY-4.0
+CC-BY-NC-4.0 CC-BY-NC-SA-4.0 CC-BY-ND-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CC0-1.0 CDDL-1.0 EPL-1.0 EPL-2.0 EUPL-1.2 GFDL-1.3 GPL-1.0 GPL-2.0 GPL-2.0-only GPL-2.0-or-later
+GPL-3.0 GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.0 LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later LPPL-1.3c MIT MIT-0 MPL-1.1 MPL-2.0
+MS-PL NCSA ODbL-1.0 OFL-1.1 OSL-3.0 PostgreSQL PSF-2.0 Python-2.0 Unlicense UPL-1.0 Vim W3C WTFPL Zlib ZPL-2.1
+""".split()
+
+_AS_IS = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY,
+WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the
+Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"""
+_MIT_NOTICE = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+_ISC_AS_IS = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.
+IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS,
+WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"""
+_BSD_2 = """1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
+materials provided with the distribution."""
+_BSD_3 = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without
+specific prior written permission."""
+_BSD_AS_IS = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT,
+INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR
+BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY
+OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_GNU = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} General Public License as published by the Free Software
+Foundation, either version {version} of the License, or (at your option) any later version."""
+_GNU_AS_IS = """This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A
+PARTICULAR PURPOSE. See the GNU {name} General Public License for more details."""
+_FAMILIES = [
+    ("GPL", "", (("2", "June 1991"), ("3", "29 June 2007"))), ("LGPL", "Lesser", (("2.1", "February 1999"), ("3", "29 June 2007"))), ("AGPL", "Affero", (("3", "19 November 2007"),)),
+]
+
+
+def _gnu() -> list[tuple[str, str]]:
+    out = []
+    for family, name, versions in _FAMILIES:
+        for version, day in versions:
+            label = f"{family}-{version if '.' in version else version + '.0'}"
+            notice = _GNU.format(name=name, version=version)
+            out += [
+                (f"{label}-or-later", notice),
+                (f"{label}-or-later", notice + " " + _GNU_AS_IS.format(name=name)),
+                (f"{label}-only", notice.replace("either version", "version").replace(", or (at your option) any later version.", ".")),
+                (label, f"GNU {name} GENERAL PUBLIC LICENSE Version {version}"),
+                (label, f"GNU {name} GENERAL PUBLIC LICENSE Version {version}, {day}"),
+                (label, f"Licensed under the GNU {name} General Public License, version {version}."),
+                (label, f"Released under the terms of the GNU {name} General Public License version {version}."),
+            ]
+        out.append((family, f"GNU {name} GENERAL PUBLIC LICENSE"))
+    return out
+
+
+#: Identifiers, titles, standard headers, and texts of license files: paragraph by paragraph and, for short licenses, whole.
+TEMPLATES += [
+    *((x, f"SPDX-License-Identifier: {x}") for x in SPDX if f"SPDX-License-Identifier: {x}" not in {t for _, t in TEMPLATES}),
+    *_gnu(),
+    ("MIT", "MIT License"), ("MIT", "The MIT License (MIT)"), ("MIT", _MIT), ("MIT", _MIT_NOTICE), ("MIT", "\n\n".join([_MIT, _MIT_NOTICE, _AS_IS])),
+    ("ISC", "ISC License"), ("ISC", _ISC + ", provided that the above copyright notice and this permission notice appear in all copies."), ("ISC", _ISC_AS_IS),
+    ("ISC", _ISC + ", provided that the above copyright notice and this permission notice appear in all copies.\n\n" + _ISC_AS_IS),
+    ("0BSD", _ISC + "."), ("0BSD", _ISC + ".\n\n" + _ISC_AS_IS),
+    ("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-2-Clause", "\n\n".join([_BSD, _BSD_2, _BSD_AS_IS])),
+    ("BSD-3-Clause", "BSD 3-Clause License"), ("BSD-3-Clause", _BSD_3), ("BSD-3-Clause", "\n\n".join([_BSD, _BSD_2, _BSD_3, _BSD_AS_IS])),
+    ("Apache-2.0", "Apache License"), ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("Apache-2.0", "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"""),
+    ("Apache-2.0", """Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS
+OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at http://www.eclipse.org/legal/epl-2.0"),
+    ("BSL-1.0", "Boost Software License - Version 1.0"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)"),
+    ("Zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."""),
+    ("Zlib", """Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"""),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Unlicense", """Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
+non-commercial, and by any means."""),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+]
+
+#: A template of more distinct terms than this is found by how many of them a unit has.
+SHORT = 12
+
+
 def model(templates: list[tuple[str, str]] = TEMPLATES) -> tuple[dict[str, float], list[tuple[str, str, float]], float]:
     """Inverse document frequencies; unit weights ``template, term, weight``; the frequency of unknown terms."""
     terms = [re.findall(r"[a-z0-9]+", text.lower()) for _, text in templates]
@@ -70,37 +162,51 @@ def model(templates: list[tuple[str, str]] = TEMPLATES) -> tuple[dict[str, float
     return idf, weights, math.log(1 + n) + 1
 
 
-def candidate_lines(text: Column, idf: dict[str, float], weights: list[tuple[str, str, float]], unknown: float, least_cosine: float) -> Column:
-    """``line, words`` of the lines of a text that leave room for the cosine: the others cannot reach it.
+def candidate_units(text: Column, idf: dict[str, float], weights: list[tuple[str, str, float]], unknown: float, least_cosine: float) -> Column:
+    """``kind, line, words`` of the units of a text that leave room for the cosine: the others cannot reach it.
 
-    A cosine is at most the norm of the template's weights on the line's own
-    terms, and at most the share that known terms have of the line's norm: of k
-    distinct known terms in n words their squares are at most (n - k + 1)**2 + k - 1
-    times the greatest known frequency's, those of unknown words at least their
-    number times theirs.
+    Units are the lines (kind 0), the paragraphs of several lines (1), and the
+    whole text if it has several paragraphs (2).  A cosine is at most the norm of
+    the template's weights on the unit's own terms, so that a unit has one of the
+    template's heaviest terms, whose rest would fall short, and for a template of
+    many terms so many as make up that norm.  And it is at most the share that
+    known terms have of the unit's norm: of k distinct known terms in n words
+    their squares are at most (n - k + 1)**2 + k - 1 times the greatest known
+    frequency's, those of unknown words at least their number times theirs.
 
     Each step hands its result to the next one's lambda, so that nothing is
     worked out twice.
     """
     most, least = least_cosine**2 * (1 + 1e-9), least_cosine**2 * (1 - 1e-9)
-    templates: dict[str, list[tuple[str, float]]] = {}
+    templates: dict[str, list[tuple[float, str]]] = {}
     for template, term, w in weights:
-        templates.setdefault(template, []).append((term, w))
-    fewest = min(next(k for k in range(1, len(t) + 1) if sum(sorted((w * w for _, w in t), reverse=True)[:k]) >= least) for t in templates.values())
-
-    split = F.transform(F.split(text, "\n"), lambda t, i: F.struct(i.alias("line"), F.array_remove(F.split(F.lower(t), "[^a-z0-9]+"), "").alias("words")))
-    keep = lambda x, *more: F.struct(x["line"].alias("line"), x["words"].alias("words"), *more)
+        templates.setdefault(template, []).append((w * w, term))
+    cues: set[str] = set()
+    fewest = {True: 10**9, False: 10**9}
+    for terms in templates.values():
+        terms.sort(reverse=True)
+        covered = [sum(w for w, _ in terms[:k]) for k in range(len(terms) + 1)]
+        short = len(terms) <= SHORT
+        fewest[short] = min(fewest[short], next(k for k, c in enumerate(covered) if c >= least))
+        if short:
+            cues |= {t for _, t in terms[: next(k for k, c in enumerate(covered) if covered[-1] - c < least)]}
+
+    def units(kind: int, parts: Column) -> Column:
+        return F.transform(parts, lambda t, i: F.struct(F.lit(kind).alias("kind"), i.alias("line"), F.array_remove(F.split(F.lower(t), "[^a-z0-9]+"), "").alias("words")))
+
+    paragraphs = F.split(text, PARAGRAPH)
+    several = F.when(F.size(paragraphs) > 1, F.array(text)).otherwise(F.array().cast("array<string>"))
+    split = F.concat(units(0, F.split(text, "\n")), units(1, F.filter(paragraphs, lambda p: F.contains(p, F.lit("\n")))), units(2, several))
+    keep = lambda x, *more: F.struct(x["kind"].alias("kind"), x["line"].alias("line"), x["words"].alias("words"), *more)
     known = F.transform(split, lambda x: keep(x, F.filter(x["words"], lambda w: w.isin(sorted(idf))).alias("known")))
     sized = F.transform(known, lambda x: keep(x, F.size(x["known"]).alias("n"), F.array_distinct(x["known"]).alias("d")))
 
-    def covered(d: Column, template: list[tuple[str, float]]) -> Column:
-        return reduce(add, (F.when(F.array_contains(d, t), w * w).otherwise(0.0) for t, w in template)) >= least
-
     def room(x: Column) -> Column:
         k = F.size(x["d"])
         squares = F.pow(x["n"] - k + 1, F.lit(2)) + k - 1
         share = squares * max(idf.values()) ** 2 * (1 - least) >= (F.size(x["words"]) - x["n"]) * unknown**2 * most * (1 - 1e-6)
-        return (k >= fewest) & share & reduce(or_, (covered(x["d"], t) for t in templates.values()))
+        enough = (k >= fewest[False]) | ((k >= fewest[True]) & F.exists(x["d"], lambda t: t.isin(sorted(cues))))
+        return share & enough
 
     return F.filter(sized, room)
 
@@ -108,16 +214,17 @@ def candidate_lines(text: Column, idf: dict[str, float], weights: list[tuple[str
 def license_scan(files: DataFrame, least_cosine: float = LEAST_COSINE) -> DataFrame:
     """``doc_id, path, license, how, cosine`` for each row of ``files`` (``doc_id, path, text``).
 
-    ``how`` is ``line`` for a license found in the file itself (the line with the
-    highest cosine; of equal ones the first line, then the first template),
-    ``directory`` for an inherited one, null without any.  A directory's license is that of
+    ``how`` is ``line``, ``paragraph`` or ``file`` for a license found in the file itself
+    (by the unit with the highest cosine; of equal ones versions come before a
+    mere family, lines before paragraphs, then the first of these, then the first template), ``directory`` for an inherited one, null without any.  A directory's license is that of
     the first of its license files by path that has one; a license file is
-    named like one, or has ``FILE_SHARE`` of its words in license lines.
+    named like one, or has ``FILE_SHARE`` of its words in units that name a license.
 
     Null and empty texts have no lines of their own and may inherit.  A null path
     lies in no directory.  Rows that repeat ``doc_id`` and ``path`` have one license
-    between them and stay, row by row.  Other columns are not read.  The
-    templates, which are fixed, are all that is broadcast.
+    between them and stay, row by row.  Other columns are not read.  An empty
+    table gives an empty table; very long texts have more units, one row at a
+    time.  The templates, which are fixed, are all that is broadcast.
     """
     spark = files.sparkSession
     idf, weights, unknown = model()
@@ -127,23 +234,25 @@ def license_scan(files: DataFrame, least_cosine: float = LEAST_COSINE) -> DataFr
     keys = ["doc_id", "path"]
 
     n_words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    near = files.select(*keys, n_words.alias("n_words"), F.explode(candidate_lines(F.col("text"), idf, weights, unknown, least_cosine)).alias("x"))
-    lines = near.select(*keys, "n_words", "x.line", "x.words")
-    terms = lines.select(*keys, "line", "n_words", F.explode("words").alias("term"))
-    counted = terms.groupBy(*keys, "line", "term").agg(F.count("*").cast("double").alias("tf"), F.max("n_words").alias("n_words")).join(rarity, "term", "left")
+    near = files.select(*keys, n_words.alias("n_words"), F.explode(candidate_units(F.col("text"), idf, weights, unknown, least_cosine)).alias("x"))
+    lines = near.select(*keys, "n_words", "x.kind", "x.line", "x.words")
+    terms = lines.select(*keys, "kind", "line", "n_words", F.explode("words").alias("term"))
+    counted = terms.groupBy(*keys, "kind", "line", "term").agg(F.count("*").cast("double").alias("tf"), F.max("n_words").alias("n_words")).join(rarity, "term", "left")
     counted = counted.withColumn("v", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
     counted = materialise(counted, "license-terms")  # few lines are left, and both sums below read them
-    norms = counted.groupBy(*keys, "line").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"), F.sum("tf").alias("size"), F.max("n_words").alias("n_words"))
-    dots = counted.where("idf IS NOT NULL").join(weight, "term").groupBy(*keys, "line", "template").agg(F.sum(F.col("v") * F.col("weight")).alias("dot"))
-    same = lambda a, b: [a[k].eqNullSafe(b[k]) for k in (*keys, "line")]
-    scored = dots.join(norms, same(dots, norms)).select(*(dots[k] for k in (*keys, "line")), "template", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine"), "size", "n_words")
+    norms = counted.groupBy(*keys, "kind", "line").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"), F.sum("tf").alias("size"), F.max("n_words").alias("n_words"))
+    dots = counted.where("idf IS NOT NULL").join(weight, "term").groupBy(*keys, "kind", "line", "template").agg(F.sum(F.col("v") * F.col("weight")).alias("dot"))
+    same = lambda a, b: [a[k].eqNullSafe(b[k]) for k in (*keys, "kind", "line")]
+    scored = dots.join(norms, same(dots, norms)).select(*(dots[k] for k in (*keys, "kind", "line")), "template", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine"), "size", "n_words")
     matched = materialise(scored.where(F.col("cosine") >= least_cosine), "license-lines")
-    best = F.struct((-F.col("cosine")).alias("low"), F.col("line"), F.col("template"))
+    family = F.substring_index("template", "|", -1).isin(*(f for f, _, _ in _FAMILIES))  # a license's name alone, without its version
+    best = F.struct((-F.col("cosine")).alias("low"), family.alias("family"), F.col("kind"), F.col("line"), F.col("template"))
     own = matched.groupBy(*keys).agg(F.min(best).alias("best"), F.max("n_words").alias("n_words"))
-    sizes = matched.select(*keys, "line", "size").distinct().groupBy(*keys).agg(F.sum("size").alias("license_words"))
+    sizes = matched.select(*keys, "kind", "line", "size").distinct().groupBy(*keys, "kind").agg(F.sum("size").alias("size"))
+    sizes = sizes.groupBy(*keys).agg(F.max("size").alias("license_words"))  # units of several kinds overlap
 
     own = own.join(sizes, [own[k].eqNullSafe(sizes[k]) for k in keys]).select(
-        *(own[k].alias(f"_{k}") for k in keys), F.substring_index("best.template", "|", -1).alias("own"), (-F.col("best.low")).alias("cosine"), "license_words", "n_words"
+        *(own[k].alias(f"_{k}") for k in keys), F.substring_index("best.template", "|", -1).alias("own"), F.element_at(F.array(*map(F.lit, KINDS)), F.col("best.kind") + 1).alias("kind"), (-F.col("best.low")).alias("cosine"), "license_words", "n_words"
     )
     held = files.select(*keys)
     found = held.join(own, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("path").eqNullSafe(F.col("_path")), "left").drop("_doc_id", "_path")
@@ -159,7 +268,7 @@ def license_scan(files: DataFrame, least_cosine: float = LEAST_COSINE) -> DataFr
     nearest = dirs.join(declared, "above").groupBy("dir").agg(F.max(F.struct(F.length("above").alias("depth"), "inherited")).alias("near"))
     nearest = nearest.select("dir", F.col("near.inherited").alias("inherited"))
     return found.join(nearest, "dir", "left").select(
-        "doc_id", "path", F.coalesce("own", "inherited").alias("license"), F.when(F.col("own").isNotNull(), "line").when(F.col("inherited").isNotNull(), "directory").alias("how"), "cosine"
+        "doc_id", "path", F.coalesce("own", "inherited").alias("license"), F.when(F.col("own").isNotNull(), F.col("kind")).when(F.col("inherited").isNotNull(), "directory").alias("how"), "cosine"
     )
 
 
@@ -182,20 +291,22 @@ WITH weights(template, term, weight) AS (VALUES {values(weights)}),
 idfs(term, idf) AS (VALUES {values(sorted(idf.items()))}),
 files AS (SELECT doc_id, concat_ws('/', source, CAST(doc_id // 4000 AS VARCHAR), CAST(doc_id // 400 AS VARCHAR), CASE WHEN doc_id // 20 % 20 = 0 THEN 'LICENSE' ELSE doc_id || '.txt' END) AS path,
   text, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS n_words FROM documents),
-lines AS (SELECT doc_id, path, i - 1 AS line, list_extract(ls, i) AS t FROM (SELECT doc_id, path, string_split(text, chr(10)) AS ls FROM files), UNNEST(range(1, len(ls) + 1)) AS u(i)),
-terms AS (SELECT doc_id, path, line, unnest(regexp_split_to_array(lower(t), '[^a-z0-9]+')) AS term FROM lines),
-tfs AS (SELECT doc_id, path, line, term, count(*) AS tf FROM terms WHERE term <> '' GROUP BY ALL),
-counted AS (SELECT doc_id, path, line, term, tf, tf * coalesce(idf, CAST({unknown!r} AS DOUBLE)) AS v FROM tfs LEFT JOIN idfs USING (term)),
-norms AS (SELECT doc_id, path, line, sqrt(sum(v * v)) AS norm, sum(tf) AS size FROM counted GROUP BY ALL),
-dots AS (SELECT doc_id, path, line, template, sum(v * weight) AS dot FROM counted JOIN weights USING (term) GROUP BY doc_id, path, line, template),
-matched AS (SELECT doc_id, path, line, template, size, round(dot / norm, 6) AS cosine FROM dots JOIN norms USING (doc_id, path, line) WHERE round(dot / norm, 6) >= {LEAST_COSINE}),
-own AS (SELECT doc_id, path, string_split(template, '|')[2] AS own, cosine FROM matched QUALIFY row_number() OVER (PARTITION BY doc_id, path ORDER BY cosine DESC, line, template) = 1),
-sizes AS (SELECT doc_id, path, sum(size) AS license_words FROM (SELECT DISTINCT doc_id, path, line, size FROM matched) GROUP BY ALL),
-found AS (SELECT f.doc_id, f.path, own, cosine, regexp_replace(f.path, '/[^/]*$', '') AS dir, f.path LIKE '%/LICENSE' OR license_words >= {FILE_SHARE} * n_words AS is_file
+parts AS (SELECT doc_id, path, text, string_split(text, chr(10)) AS ls, regexp_split_to_array(text, '{PARAGRAPH}') AS ps FROM files),
+units AS (SELECT doc_id, path, 0 AS kind, ls AS us FROM parts UNION ALL SELECT doc_id, path, 1, list_filter(ps, lambda p: contains(p, chr(10))) FROM parts UNION ALL SELECT doc_id, path, 2, [text] FROM parts WHERE len(ps) > 1),
+lines AS (SELECT doc_id, path, kind, i - 1 AS line, list_extract(us, i) AS t FROM units, UNNEST(range(1, len(us) + 1)) AS u(i)),
+terms AS (SELECT doc_id, path, kind, line, unnest(regexp_split_to_array(lower(t), '[^a-z0-9]+')) AS term FROM lines),
+tfs AS (SELECT doc_id, path, kind, line, term, count(*) AS tf FROM terms WHERE term <> '' GROUP BY ALL),
+counted AS (SELECT doc_id, path, kind, line, term, tf, tf * coalesce(idf, CAST({unknown!r} AS DOUBLE)) AS v FROM tfs LEFT JOIN idfs USING (term)),
+norms AS (SELECT doc_id, path, kind, line, sqrt(sum(v * v)) AS norm, sum(tf) AS size FROM counted GROUP BY ALL),
+dots AS (SELECT doc_id, path, kind, line, template, sum(v * weight) AS dot FROM counted JOIN weights USING (term) GROUP BY doc_id, path, kind, line, template),
+matched AS (SELECT doc_id, path, kind, line, template, size, round(dot / norm, 6) AS cosine FROM dots JOIN norms USING (doc_id, path, kind, line) WHERE round(dot / norm, 6) >= {LEAST_COSINE}),
+own AS (SELECT doc_id, path, string_split(template, '|')[2] AS own, ['line', 'paragraph', 'file'][kind + 1] AS kind, cosine FROM matched QUALIFY row_number() OVER (PARTITION BY doc_id, path ORDER BY cosine DESC, string_split(template, '|')[2] IN ({', '.join(repr(f) for f, _, _ in _FAMILIES)}), matched.kind, line, template) = 1),
+sizes AS (SELECT doc_id, path, max(size) AS license_words FROM (SELECT doc_id, path, kind, sum(size) AS size FROM (SELECT DISTINCT doc_id, path, kind, line, size FROM matched) GROUP BY ALL) GROUP BY doc_id, path),
+found AS (SELECT f.doc_id, f.path, own, kind, cosine, regexp_replace(f.path, '/[^/]*$', '') AS dir, f.path LIKE '%/LICENSE' OR license_words >= {FILE_SHARE} * n_words AS is_file
   FROM files f LEFT JOIN own o ON o.doc_id = f.doc_id AND o.path = f.path LEFT JOIN sizes s ON s.doc_id = f.doc_id AND s.path = f.path),
 declared AS (SELECT dir, arg_min(own, path) AS inherited FROM found WHERE own IS NOT NULL AND is_file GROUP BY dir),
 nearest AS (SELECT d.dir, arg_max(inherited, length(c.dir)) AS inherited FROM (SELECT DISTINCT dir FROM found) d JOIN declared c ON d.dir = c.dir OR starts_with(d.dir, c.dir || '/') GROUP BY d.dir)
-SELECT doc_id, path, coalesce(own, inherited) AS license, CASE WHEN own IS NOT NULL THEN 'line' WHEN inherited IS NOT NULL THEN 'directory' END AS how, cosine
+SELECT doc_id, path, coalesce(own, inherited) AS license, CASE WHEN own IS NOT NULL THEN kind WHEN inherited IS NOT NULL THEN 'directory' END AS how, cosine
 FROM found LEFT JOIN nearest USING (dir)
 """
 

@@ -258,7 +258,56 @@ def test_inheritance(spark, empty):
 
 def test_licenses_awkward(awkward):
     out = license_scan.license_scan(license_scan.as_files(awkward)).collect()
-    assert len(out) == awkward.count() and {r["doc_id"]: r["license"] for r in out}[15] == "MIT"
+    assert len(out) == awkward.count() and {r["doc_id"]: (r["license"], r["how"]) for r in out if r["how"] not in (None, "directory")} == {15: ("MIT", "line")}
+
+
+def wrapped(text, mark, width=60):
+    import textwrap
+
+    return "\n".join(mark + x for x in textwrap.wrap(" ".join(text.split()), width))
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software
+without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+persons to whom the Software is furnished to do so, subject to the following conditions:"""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source
+code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this
+list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+BSD_3 = "Neither the name of Acme nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"""
+GPL = """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either
+version 2 of the License, or (at your option) any later version."""
+AGPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation,
+either version 3 of the License, or (at your option) any later version."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at
+https://mozilla.org/MPL/2.0/."""
+REAL = [
+    ("MIT", "Copyright (c) 2019 Jane Roe\n\n" + wrapped(MIT, "")),
+    ("MIT", "/*\n" + wrapped(MIT, " * ") + "\n */\nint main() { return 0; }\n" + "\nint f(int xyzzy) { return xyzzy; }" * 30),
+    ("MIT", "The MIT License (MIT)\n\nCopyright (c) 2001"),
+    ("BSD-3-Clause", "Copyright 2020\n\n" + wrapped(BSD, "") + "\n\n" + wrapped("3. " + BSD_3.replace("Acme", "the copyright holder"), "")),
+    ("Apache-2.0", wrapped(APACHE, "# ", 70) + "\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n"),
+    ("Apache-2.0", "                                 Apache License\n                           Version 2.0, January 2004"),
+    ("GPL-2.0-or-later", wrapped(GPL, "// ")),
+    ("AGPL-3.0-or-later", "<!--\n" + wrapped(AGPL, "  ") + "\n-->"),
+    ("GPL-3.0", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999"),
+    ("MPL-2.0", wrapped(MPL, "/* ")),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."),
+    ("GPL-3.0-or-later", "#!/bin/sh\n# SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("LGPL-2.1-only", "// SPDX-License-Identifier: LGPL-2.1-only"),
+    ("ISC", "/* SPDX-License-Identifier: ISC */"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain.\n\nAnyone is free"),
+    (None, "The license of this house permits the use of the garden, and the permission is granted to any person without charge."),
+    (None, "def permission(copy, software):\n    return copy + software"),
+]
+
+
+def test_real_headers_and_files(spark):
+    """Usual headers and license texts, wrapped, commented and embedded in code."""
+    df = spark.createDataFrame([(i, f"d{i}/x", t) for i, (_, t) in enumerate(REAL)], "doc_id long, path string, text string")
+    got = {r["doc_id"]: r["license"] for r in license_scan.license_scan(df).collect()}
+    assert [got[i] for i in range(len(REAL))] == [x for x, _ in REAL]
 
 
 def test_bound_loses_no_line(spark):
@@ -283,6 +332,6 @@ def test_bound_loses_no_line(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame([("\n".join(" ".join(x) for x in lines),)], "text string")
-    kept = {r["line"] for r in df.select(F.inline(license_scan.candidate_lines(F.col("text"), idf, weights, unknown, license_scan.LEAST_COSINE))).collect()}
+    kept = {r["line"] for r in df.select(F.inline(license_scan.candidate_units(F.col("text"), idf, weights, unknown, license_scan.LEAST_COSINE))).collect() if r["kind"] == 0}
     good = {i for i, x in enumerate(lines) if cosine(x) >= license_scan.LEAST_COSINE}
     assert good <= kept and len(good) > 100
