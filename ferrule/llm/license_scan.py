@@ -146,17 +146,23 @@ non-commercial, and by any means."""),
 
 #: A template of more distinct terms than this is found by how many of them a unit has.
 SHORT = 12
+#: Terms in so many templates or more are bounded by the weight of those in so many.
+COMMON = (24, 6)
 
 
 def model(templates: list[tuple[str, str]] = TEMPLATES) -> tuple[dict[str, float], list[tuple[str, str, float]], float]:
-    """Inverse document frequencies; unit weights ``template, term, weight``; the frequency of unknown terms."""
+    """Inverse document frequencies; unit weights ``template, term, weight``; the frequency of unknown terms.
+
+    A term counts once, however often a text has it: common words of a long text
+    weigh no more than in a header.
+    """
     terms = [re.findall(r"[a-z0-9]+", text.lower()) for _, text in templates]
     df = {t: sum(t in x for x in terms) for x in terms for t in x}
     n = len(templates)
     idf = {t: math.log((1 + n) / (1 + k)) + 1 for t, k in df.items()}
     weights = []
     for i, ((name, _), words) in enumerate(zip(templates, terms, strict=True)):
-        raw = {t: words.count(t) * idf[t] for t in words}
+        raw = {t: idf[t] for t in words}
         norm = math.sqrt(sum(v * v for v in raw.values()))
         weights += [(f"{i:03d}|{name}", t, v / norm) for t, v in sorted(raw.items())]
     return idf, weights, math.log(1 + n) + 1
@@ -170,14 +176,14 @@ def candidate_units(text: Column, idf: dict[str, float], weights: list[tuple[str
     the template's weights on the unit's own terms, so that a unit has one of the
     template's heaviest terms, whose rest would fall short, and for a template of
     many terms so many as make up that norm.  And it is at most the share that
-    known terms have of the unit's norm: of k distinct known terms in n words
-    their squares are at most (n - k + 1)**2 + k - 1 times the greatest known
-    frequency's, those of unknown words at least their number times theirs.
+    known terms have of the unit's norm; these are bounded by how many of them
+    are in as many templates as ``COMMON`` says.
 
     Each step hands its result to the next one's lambda, so that nothing is
     worked out twice.
     """
     most, least = least_cosine**2 * (1 + 1e-9), least_cosine**2 * (1 - 1e-9)
+    n_templates = len({template for template, _, _ in weights})
     templates: dict[str, list[tuple[float, str]]] = {}
     for template, term, w in weights:
         templates.setdefault(template, []).append((w * w, term))
@@ -198,17 +204,25 @@ def candidate_units(text: Column, idf: dict[str, float], weights: list[tuple[str
     several = F.when(F.size(paragraphs) > 1, F.array(text)).otherwise(F.array().cast("array<string>"))
     split = F.concat(units(0, F.split(text, "\n")), units(1, F.filter(paragraphs, lambda p: F.contains(p, F.lit("\n")))), units(2, several))
     keep = lambda x, *more: F.struct(x["kind"].alias("kind"), x["line"].alias("line"), x["words"].alias("words"), *more)
-    known = F.transform(split, lambda x: keep(x, F.filter(x["words"], lambda w: w.isin(sorted(idf))).alias("known")))
-    sized = F.transform(known, lambda x: keep(x, F.size(x["known"]).alias("n"), F.array_distinct(x["known"]).alias("d")))
+    distinct = F.transform(split, lambda x: keep(x, F.array_distinct(x["words"]).alias("all")))
+    known = F.transform(distinct, lambda x: keep(x, F.size(x["all"]).alias("n"), F.filter(x["all"], lambda w: w.isin(sorted(idf))).alias("d")))
+    levels = [math.log((1 + n_templates) / (1 + df)) + 1 for df in (*COMMON, 1)]
+    classes = [sorted(t for t, f in idf.items() if f <= level + 1e-12) for level in levels[:-1]]
+
+    def among(terms: list[str]):
+        return lambda t: t.isin(terms)
 
     def room(x: Column) -> Column:
         k = F.size(x["d"])
-        squares = F.pow(x["n"] - k + 1, F.lit(2)) + k - 1
-        share = squares * max(idf.values()) ** 2 * (1 - least) >= (F.size(x["words"]) - x["n"]) * unknown**2 * most * (1 - 1e-6)
+        squares, before = F.lit(0.0), F.lit(0)
+        for level, terms in zip(levels, [*classes, None], strict=True):  # the most common terms first
+            upto = k if terms is None else F.size(F.filter(x["d"], among(terms)))
+            squares, before = squares + (upto - before) * level**2, upto
+        share = squares * (1 - least) * (1 + 1e-6) >= (x["n"] - k) * unknown**2 * most
         enough = (k >= fewest[False]) | ((k >= fewest[True]) & F.exists(x["d"], lambda t: t.isin(sorted(cues))))
-        return share & enough
+        return enough & share
 
-    return F.filter(sized, room)
+    return F.filter(known, room)
 
 
 def license_scan(files: DataFrame, least_cosine: float = LEAST_COSINE) -> DataFrame:
@@ -238,7 +252,7 @@ def license_scan(files: DataFrame, least_cosine: float = LEAST_COSINE) -> DataFr
     lines = near.select(*keys, "n_words", "x.kind", "x.line", "x.words")
     terms = lines.select(*keys, "kind", "line", "n_words", F.explode("words").alias("term"))
     counted = terms.groupBy(*keys, "kind", "line", "term").agg(F.count("*").cast("double").alias("tf"), F.max("n_words").alias("n_words")).join(rarity, "term", "left")
-    counted = counted.withColumn("v", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
+    counted = counted.withColumn("v", F.coalesce("idf", F.lit(unknown)))
     counted = materialise(counted, "license-terms")  # few lines are left, and both sums below read them
     norms = counted.groupBy(*keys, "kind", "line").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"), F.sum("tf").alias("size"), F.max("n_words").alias("n_words"))
     dots = counted.where("idf IS NOT NULL").join(weight, "term").groupBy(*keys, "kind", "line", "template").agg(F.sum(F.col("v") * F.col("weight")).alias("dot"))
@@ -296,7 +310,7 @@ units AS (SELECT doc_id, path, 0 AS kind, ls AS us FROM parts UNION ALL SELECT d
 lines AS (SELECT doc_id, path, kind, i - 1 AS line, list_extract(us, i) AS t FROM units, UNNEST(range(1, len(us) + 1)) AS u(i)),
 terms AS (SELECT doc_id, path, kind, line, unnest(regexp_split_to_array(lower(t), '[^a-z0-9]+')) AS term FROM lines),
 tfs AS (SELECT doc_id, path, kind, line, term, count(*) AS tf FROM terms WHERE term <> '' GROUP BY ALL),
-counted AS (SELECT doc_id, path, kind, line, term, tf, tf * coalesce(idf, CAST({unknown!r} AS DOUBLE)) AS v FROM tfs LEFT JOIN idfs USING (term)),
+counted AS (SELECT doc_id, path, kind, line, term, tf, coalesce(idf, CAST({unknown!r} AS DOUBLE)) AS v FROM tfs LEFT JOIN idfs USING (term)),
 norms AS (SELECT doc_id, path, kind, line, sqrt(sum(v * v)) AS norm, sum(tf) AS size FROM counted GROUP BY ALL),
 dots AS (SELECT doc_id, path, kind, line, template, sum(v * weight) AS dot FROM counted JOIN weights USING (term) GROUP BY doc_id, path, kind, line, template),
 matched AS (SELECT doc_id, path, kind, line, template, size, round(dot / norm, 6) AS cosine FROM dots JOIN norms USING (doc_id, path, kind, line) WHERE round(dot / norm, 6) >= {LEAST_COSINE}),
