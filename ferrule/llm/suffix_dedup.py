@@ -2,22 +2,23 @@
 
 A byte goes if a 100-byte string that covers it also starts earlier.  As in a
 suffix array built by bucket pointers, positions fall into buckets by their
-first bytes, and buckets are refined by the identifiers of later offsets:
-``identifiers`` doubles the identifiers of shorter strings, each pass reusing
-the last one's.  An identifier is a 64-bit hash of the string it stands for,
-so that all tasks agree on it without sorting positions against each other.
-
-Not all positions take part.  Each 100-byte string has among its 24-byte
-q-grams one with the least identifier, the first of them its anchor; equal
-strings have equal anchors.  About one position in 34 is an anchor.
-
-1. Anchors are dealt to buckets by q-gram.  Within a bucket they are refined by
-   all the bytes that strings with this anchor can hold.  If these agree with an
-   earlier anchor's, all the anchor's strings go.
+first q bytes; a bucket is refined by sorting its positions on the identifiers
+of the buckets at a later offset, and each pass reuses the identifiers that the
+last one gave (``refined``).  Positions alone in their bucket drop out.
+
+Positions that cannot share a bucket are kept apart, so that buckets fit tasks.
+Each 100-byte string has among its 24-byte q-grams one with the least
+identifier, the first of them its anchor; equal strings have equal anchors.
+About one position in 34 is an anchor.
+
+1. Anchors are dealt to tasks by q-gram, with 128 bits of XXH3 of all the bytes
+   that strings with this anchor can hold.  If these agree with an earlier
+   anchor's, all the anchor's strings go.  Those that agree with an earlier one
+   of their own run of documents are settled there and not dealt.
 2. Of a q-gram with several such surroundings, one anchor for each is left to
-   refine: the bytes of its strings are dealt to buckets and each 100-byte
-   string gets its identifier; the earliest of a bucket stays.  Of very common
-   q-grams the identifiers alone are dealt, by themselves.
+   refine: the bytes of its strings are dealt by q-gram and refined byte by
+   byte; the earliest string of a bucket stays.  Strings of very common q-grams
+   are dealt one by one, as 128 bits of XXH3.
 3. Documents meet what was found in them, and the bytes are cut.
 
 Tasks exchange compressed arrays, one for each bucket and run of documents.
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from ._blobs import bucket_count, press, unpress
 from ._scratch import materialise
-from ._text import flat, mixed, slices, span_hashes
+from ._text import flat, mixed, slices
 
 LENGTH = 100
 Q = 24
@@ -45,6 +46,10 @@ Q = 24
 BUCKET_BYTES = 12 << 20
 #: Bytes of texts whose anchors are sent together.
 RUN_BYTES = 32 << 20
+#: Bytes of an initial bucket's strings.
+FIRST = 8
+#: Positions that are refined together, about.
+PART = 4 << 20
 #: A q-gram with so many different surroundings is refined string by string.
 COMMON = 5_000
 #: Stands for a null id: earlier than all others.
@@ -54,18 +59,53 @@ _SPAN = LENGTH - Q  # how far an anchor may lie from its string's start
 
 
 def identifiers(raw: np.ndarray, length: int) -> np.ndarray:
-    """The identifier of the string of ``length`` bytes at each position, by doubling.
+    """A hash of the ``length`` bytes at each position (of the last axis), by doubling.
 
-    Shorter strings' identifiers at two offsets make up the longer string's.
+    Shorter strings' hashes at two offsets make up the longer string's.
     """
     out, size = mixed(raw.astype(np.uint64) + np.uint64(1)), 1
-    while size < length and len(out):
+    while size < length and out.size:
         step = min(size, length - size)
-        out = mixed(out[: max(0, len(out) - step)] * np.uint64(0x9E3779B97F4A7C15) + out[step:])
+        out = mixed(out[..., : max(0, out.shape[-1] - step)] * np.uint64(0x9E3779B97F4A7C15) + out[..., step:])
         size += step
     return out
 
 
+def _split(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in buckets of equal values, and their buckets' numbers from 1; those alone in a bucket drop out."""
+    order = np.argsort(values)
+    values = values[order]
+    fresh = np.ones(len(order) + 1, bool)
+    fresh[1:-1] = values[1:] != values[:-1]
+    shared = ~(fresh[:-1] & fresh[1:])
+    return at[order[shared]], np.cumsum(fresh[:-1], dtype=np.uint32)[shared]
+
+
+def refined(raw: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions whose string of ``length`` bytes occurs elsewhere too, and its bucket, by bucket-pointer refinement.
+
+    ``raw`` is made of pieces of ``sizes`` bytes; strings lie within a piece.
+    Buckets are exact: those of ``FIRST`` bytes hold equal bytes, and a longer
+    string's is the pair of its two parts' buckets.
+    """
+    room = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(raw))
+    words = np.ndarray(len(raw), "<u8", np.concatenate([raw, np.zeros(FIRST, np.uint8)]), strides=(1,))
+    at = np.flatnonzero(room >= FIRST)
+    at, bucket = _split(at, words[at])
+    size = FIRST
+    while size < length:
+        step = min(size, length - size)
+        pointers = np.zeros(len(raw), np.uint32)
+        pointers[at] = bucket
+        at = np.sort(at)
+        at = at[room[at] >= size + step]
+        later = pointers[at + step]
+        at, later = at[later > 0], later[later > 0]
+        at, bucket = _split(at, pointers[at].astype(np.uint64) << np.uint64(32) | later)
+        size += step
+    return at, bucket
+
+
 def _sliding(values: np.ndarray, n: int, least=np.minimum) -> np.ndarray:
     """The least of each ``n`` values in a row."""
     size = 1
@@ -139,6 +179,13 @@ def _dealt(buckets: np.ndarray, order_by: np.ndarray, docs: dict[str, np.ndarray
     return out
 
 
+def _digests(text: bytes, first: np.ndarray, stop: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of XXH3 of spans of a text, as two numbers."""
+    digest, view = xxhash.xxh3_128_digest, memoryview(text)
+    both = np.frombuffer(b"".join([digest(view[a:b], c) for a, b, c in zip(first.tolist(), stop.tolist(), seeds.tolist(), strict=True)]), np.uint64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
 def _texts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Ids and content hashes: together they name a document."""
     ids = batch.column("_id").to_numpy(zero_copy_only=False)
@@ -146,6 +193,17 @@ def _texts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return ids.astype(np.int64), marks
 
 
+def _equal(r: dict[str, np.ndarray], ids: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of anchors by q-gram, surroundings and place; in it, which repeat a row, and which have no equal one before."""
+    order = np.lexsort((r["at"], marks, ids, r["around2"], r["around"], r["key"]))
+    first, again = np.ones(len(order), bool), np.zeros(len(order), bool)
+    a, b = order[1:], order[:-1]
+    first[1:] = np.logical_or.reduce([r[k][a] != r[k][b] for k in ("key", "around", "around2")])
+    # a document that repeats with its id is one document: its rows fold
+    again[1:] = ~first[1:] & (ids[a] == ids[b]) & (marks[a] == marks[b]) & (r["at"][a] == r["at"][b])
+    return order, again, first
+
+
 def _send_anchors(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Step 1, by documents: anchors and hashes of their surroundings, to the buckets of their q-grams."""
     held: list[dict[str, np.ndarray]] = []
@@ -154,10 +212,16 @@ def _send_anchors(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[p
     def flush() -> pa.RecordBatch:
         h = {k: np.concatenate([x[k] for x in held]) for k in held[0]}
         names = {"ids": h.pop("ids"), "marks": h.pop("marks")}
-        # of equal anchors within the run all but the earliest are settled: they are sent with a flag
-        order = np.lexsort((h["at"], names["marks"][h["doc"]], names["ids"][h["doc"]], h["around"], h["key"]))
-        h = {k: a[order] for k, a in h.items()}
-        return _batch(_dealt(_bucket_of(h["key"], buckets), h["key"], names, h.pop("doc"), **h))
+        order, again, first = _equal(h, names["ids"][h["doc"]], names["marks"][h["doc"]])
+        h = {k: a[order][~again] for k, a in h.items()}
+        first = first[~again]
+        reps, rest = ({k: a[which] for k, a in h.items()} for which in (first, ~first))
+        rows = _dealt(_bucket_of(reps["key"], buckets), reps["key"], names, reps.pop("doc"), **reps)
+        # all but the earliest of equal anchors are settled: they go where their documents go
+        doc = rest["doc"]
+        kind = np.zeros(len(doc), np.uint8)
+        rows += _dealt(_home_of(names["ids"], buckets)[doc], rest["at"], names, doc, at=rest["at"], back=rest["back"], strings=rest["strings"], kind=kind)
+        return _batch(rows)
 
     for batch in slices(batches, "text"):
         raw, starts = flat(batch.column("text"))
@@ -165,9 +229,9 @@ def _send_anchors(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[p
         at, key, first, last = anchors(raw, starts)
         doc = np.searchsorted(starts, at, side="right") - 1
         low, high = np.maximum(at - _SPAN, starts[doc]), np.minimum(at + LENGTH, starts[doc + 1])
-        around = mixed(span_hashes(raw, low, at) * np.uint64(3) + span_hashes(raw, at, high))
+        around, around2 = _digests(raw.tobytes(), low, high, at - low)
         held.append({
-            "key": key, "around": around, "at": (at - starts[doc]).astype(np.uint32), "back": (at - first).astype(np.uint8),
+            "key": key, "around": around, "around2": around2, "at": (at - starts[doc]).astype(np.uint32), "back": (at - first).astype(np.uint8),
             "strings": (last - first).astype(np.uint8), "doc": doc + docs, "ids": ids, "marks": marks,
         })
         docs += len(ids)
@@ -198,20 +262,23 @@ def _named(rows: dict[str, np.ndarray], keep: np.ndarray) -> tuple[dict[str, np.
 
 
 def _resolve(table: pa.Table, homes: int) -> pa.Table:
-    """Step 1, by buckets: settled anchors (kind 0), those to refine (1), those of common q-grams (2), to the documents' homes."""
-    r = _gathered(table.column("blob").to_pylist())
-    order = np.lexsort((r["at"], r["marks"], r["ids"], r["around"], r["key"]))
-    r = {k: a[order] for k, a in r.items()}
-    n = len(order)
-    new_key = np.ones(n, bool)
+    """Step 1, by buckets: settled anchors (kind 0), those to refine (1), those of common q-grams (2), to the documents' homes.
+
+    Anchors that their run settled have come to the home's bucket already.
+    """
+    blobs = {True: [], False: []}
+    for blob in table.column("blob").to_pylist():
+        blobs["key" in unpress(blob)].append(blob)
+    here = table.column("bucket")[0].as_py()
+    settled = [(here, blob) for blob in blobs[False]]
+    if not blobs[True]:
+        return pa.Table.from_batches([_batch(settled)])
+    r = _gathered(blobs[True])
+    order, again, first = _equal(r, r["ids"], r["marks"])
+    r = {k: a[order][~again] for k, a in r.items()}
+    first = first[~again]
+    new_key = np.ones(len(first), bool)
     new_key[1:] = r["key"][1:] != r["key"][:-1]
-    first = new_key.copy()
-    first[1:] |= r["around"][1:] != r["around"][:-1]
-    # a document that repeats with its id is one document: its rows fold
-    again = np.zeros(n, bool)
-    again[1:] = ~first[1:] & (r["ids"][1:] == r["ids"][:-1]) & (r["marks"][1:] == r["marks"][:-1]) & (r["at"][1:] == r["at"][:-1])
-    r = {k: a[~again] for k, a in r.items()}
-    new_key, first = new_key[~again], first[~again]
     group = np.cumsum(new_key) - 1
     several = np.bincount(group, weights=first)[group] if len(group) else np.zeros(0)
     kind = np.where(first, np.where(several > COMMON, 2, 1), 0).astype(np.uint8)
@@ -219,7 +286,7 @@ def _resolve(table: pa.Table, homes: int) -> pa.Table:
     names, doc = _named(r, keep)
     home = _home_of(names["ids"], homes)[doc] if len(keep) else np.zeros(0, np.int64)
     rows = _dealt(home, r["at"][keep], names, doc, at=r["at"][keep], back=r["back"][keep], strings=r["strings"][keep], kind=kind[keep])
-    return pa.Table.from_batches([_batch(rows)])
+    return pa.Table.from_batches([_batch(settled + rows)])
 
 
 def _homed(batches: Iterator[pa.RecordBatch], homes: int) -> Iterator[pa.RecordBatch]:
@@ -252,7 +319,7 @@ def _by_document(r: dict[str, np.ndarray]) -> dict[tuple[int, int], np.ndarray]:
 
 
 def _send_strings(docs: pa.Table, found: pa.Table, buckets: int) -> pa.Table:
-    """Step 2, by documents: the bytes of strings to refine, or their identifiers where the q-gram is common."""
+    """Step 2, by documents: the bytes of strings to refine, or their digests where the q-gram is common."""
     if not found.num_rows:
         return pa.Table.from_batches([_batch([])])
     r = _gathered(found.column("blob").to_pylist())
@@ -261,7 +328,7 @@ def _send_strings(docs: pa.Table, found: pa.Table, buckets: int) -> pa.Table:
     of = _by_document(r)
     seen = set()
     names_ids, names_marks = [], []
-    text_parts, rows = [], []
+    text_parts, grams, rows = [], [], []
     common_keys, common_rows = [], []
     for _, i, mark, text in _opened(docs):
         places = of.get((i, mark))
@@ -275,20 +342,20 @@ def _send_strings(docs: pa.Table, found: pa.Table, buckets: int) -> pa.Table:
         at = r["at"][places].astype(np.int64)
         first = at - r["back"][places]
         strings = r["strings"][places].astype(np.int64)
-        keys = None
-        for place, a, f, s in zip(places.tolist(), at.tolist(), first.tolist(), strings.tolist(), strict=True):
-            if r["kind"][place] == 1:
-                key = int(identifiers(raw[a : a + Q], Q)[0]) if keys is None else int(keys[a])
-                text_parts.append(text[f : f + s + LENGTH])
-                rows.append((key, number, f, s))
-            else:
-                common_keys.append(identifiers(raw[f : f + s + LENGTH], LENGTH))
-                common_rows.append(np.column_stack([np.full(s + 1, number), np.arange(f, f + s + 1)]))
+        whole = r["kind"][places] == 1
+        grams.append(raw[at[whole][:, None] + np.arange(Q)])
+        rows.append(np.column_stack([np.full(whole.sum(), number), first[whole], strings[whole]]))
+        text_parts += [text[f : f + n + LENGTH] for f, n in zip(first[whole].tolist(), strings[whole].tolist(), strict=True)]
+        n = strings[~whole] + 1
+        starts = np.repeat(first[~whole] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        if len(starts):
+            common_keys.append(_digests(text, starts, starts + LENGTH, np.zeros_like(starts)))
+            common_rows.append(np.column_stack([np.full(len(starts), number), starts]))
     names = {"ids": np.array(names_ids, np.int64), "marks": np.array(names_marks, np.uint64)}
     out: list[tuple[int, bytes]] = []
-    if rows:
-        keys = np.array([x[0] for x in rows], np.uint64)
-        doc, first, strings = (np.array([x[i] for x in rows], np.int64) for i in (1, 2, 3))
+    if text_parts:
+        keys = identifiers(np.concatenate(grams), Q)[:, 0]
+        doc, first, strings = np.concatenate(rows).T
         bucket = _bucket_of(keys, buckets)
         order = np.lexsort((keys, bucket))
         for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
@@ -299,36 +366,59 @@ def _send_strings(docs: pa.Table, found: pa.Table, buckets: int) -> pa.Table:
             )
             out.append((int(bucket[part[0]]), blob))
     if common_keys:
-        keys, pairs = np.concatenate(common_keys), np.concatenate(common_rows)
-        out += _dealt(_bucket_of(keys, buckets), keys, names, pairs[:, 0], key=keys, at=pairs[:, 1].astype(np.uint32))
+        keys, keys2 = map(np.concatenate, zip(*common_keys, strict=True))
+        pairs = np.concatenate(common_rows)
+        out += _dealt(_bucket_of(keys, buckets), keys, names, pairs[:, 0], key=keys, key2=keys2, at=pairs[:, 1].astype(np.uint32))
     return pa.Table.from_batches([_batch(out)])
 
 
+def _later(ids: np.ndarray, marks: np.ndarray, at: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of the strings with equal keys all but the earliest."""
+    order = np.lexsort((at, marks, ids, *keys))
+    later = np.zeros(len(order), bool)
+    later[1:] = np.logical_and.reduce([k[order[1:]] == k[order[:-1]] for k in keys])
+    keep = order[later]
+    return ids[keep], marks[keep], at[keep]
+
+
+def _refine_pieces(blobs: list[dict[str, np.ndarray]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The later ones of equal strings in pieces of text, some q-grams at a time."""
+    text = np.concatenate([a["text"] for a in blobs])
+    r = {k: np.concatenate([a[k] for a in blobs]) for k in ("key", "at", "strings")}
+    r |= {k: np.concatenate([a[k][a["doc"]] for a in blobs]) for k in ("ids", "marks")}
+    sizes = r["strings"].astype(np.int64) + LENGTH
+    begins = np.cumsum(sizes) - sizes
+    order = np.argsort(r["key"], kind="stable")
+    key, done = r["key"][order], np.cumsum(sizes[order])
+    # parts end where a q-gram ends
+    ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
+    part = done[ends - 1] // PART
+    ends = ends[np.append(part[1:] != part[:-1], True)]
+    for rows in np.split(order, ends[:-1]):
+        n = sizes[rows]
+        own = np.cumsum(n) - n
+        at, bucket = refined(text[np.repeat(begins[rows] - own, n) + np.arange(n.sum())], n, LENGTH)
+        piece = np.searchsorted(own, at, side="right") - 1
+        row = rows[piece]
+        yield _later(r["ids"][row], r["marks"][row], r["at"][row].astype(np.int64) + at - own[piece], bucket)
+
+
 def _refine(table: pa.Table, homes: int) -> pa.Table:
     """Step 2, by buckets: the strings that also start earlier, to the documents' homes."""
-    whole = []
+    pieces, common = [], []
     for blob in table.column("blob").to_pylist():
         a = unpress(blob)
-        ids, marks = a["ids"][a["doc"]], a["marks"][a["doc"]]
-        if "text" in a:
-            n = a["strings"].astype(np.int64) + 1
-            sizes = n + LENGTH - 1
-            begins = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else sizes
-            offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            keys = identifiers(a["text"], LENGTH)[np.repeat(begins, n) + offset] if len(n) else np.zeros(0, np.uint64)
-            whole.append((keys, np.repeat(ids, n), np.repeat(marks, n), np.repeat(a["at"].astype(np.int64), n) + offset))
-        else:
-            whole.append((a["key"], ids, marks, a["at"].astype(np.int64)))
-    keys, ids, marks, at = map(np.concatenate, zip(*whole, strict=True))
-    order = np.lexsort((at, marks, ids, keys))
-    keys, ids, marks, at = keys[order], ids[order], marks[order], at[order]
-    later = np.zeros(len(keys), bool)
-    later[1:] = keys[1:] == keys[:-1]
-    keep = np.flatnonzero(later)
-    rows = {"ids": ids, "marks": marks}
-    names, doc = _named(rows, keep)
+        (pieces if "text" in a else common).append(a)
+    found = list(_refine_pieces(pieces)) if pieces else []
+    if common:
+        c = {k: np.concatenate([a[k] for a in common]) for k in ("key", "key2", "at")}
+        c |= {k: np.concatenate([a[k][a["doc"]] for a in common]) for k in ("ids", "marks")}
+        found.append(_later(c["ids"], c["marks"], c["at"].astype(np.int64), c["key"], c["key2"]))
+    ids, marks, at = map(np.concatenate, zip(*found, strict=True))
+    keep = np.arange(len(at))
+    names, doc = _named({"ids": ids, "marks": marks}, keep)
     home = _home_of(names["ids"], homes)[doc] if len(keep) else np.zeros(0, np.int64)
-    begins = at[keep]
+    begins = at
     # runs of neighbouring strings go as one row
     by = np.lexsort((begins, doc))
     doc, begins, home = doc[by], begins[by], home[by]

@@ -73,3 +73,42 @@ def test_identifiers():
     raw = np.frombuffer(b"abcabcabd", np.uint8)
     ids = suffix_dedup.identifiers(raw, 3)
     assert ids[0] == ids[3] and ids[0] != ids[6] and len(ids) == 7
+
+
+def test_refined():
+    rng = np.random.default_rng(1)
+    for length in (8, 9, 24, 100):
+        sizes = rng.integers(0, 300, 40)
+        base = rng.integers(97, 99, 400).astype(np.uint8)
+        pieces = [base[(a := int(rng.integers(0, 100))) : a + n] for n in sizes.tolist()]
+        raw = np.concatenate(pieces)
+        at, bucket = suffix_dedup.refined(raw, sizes, length)
+        starts = np.cumsum(sizes) - sizes
+        strings = {int(b + p): piece[p : p + length].tobytes() for b, piece in zip(starts, pieces) for p in range(len(piece) - length + 1)}
+        groups = {}
+        for p, t in strings.items():
+            groups.setdefault(t, set()).add(p)
+        found = {}
+        for p, b in zip(at.tolist(), bucket.tolist()):
+            found.setdefault(b, set()).add(p)
+        assert sorted(map(sorted, found.values())) == sorted(sorted(g) for g in groups.values() if len(g) > 1)
+
+
+def test_refined_nothing():
+    at, bucket = suffix_dedup.refined(np.zeros(0, np.uint8), np.zeros(0, np.int64), 100)
+    assert len(at) == len(bucket) == 0
+
+
+@pytest.mark.parametrize("part", [1, 1000])
+def test_parts(spark, small_tasks, monkeypatch, part):
+    """Some q-grams at a time; a passage shared at many offsets, with copies in other runs."""
+    monkeypatch.setattr(suffix_dedup, "PART", part)
+    rng = np.random.default_rng(2)
+    shared = bytes(rng.integers(97, 123, 400).astype(np.uint8)).decode()
+    rows = []
+    for i in range(120):
+        a, b = sorted(rng.integers(0, 400, 2).tolist())
+        own = bytes(rng.integers(97, 123, 300).astype(np.uint8)).decode()
+        rows.append((i, own + shared[a:b] + own[:150]))
+    rows += rows[::9] + [(None, rows[3][1])]
+    check(spark.createDataFrame(rows, "doc_id long, text string"), rows)
