@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ferrule.config import DOCUMENT
 from ferrule.functions.text import sentences
-from ferrule.operators import bm25, citations, evaluation, fusion, graph, vector
+from ferrule.operators import bm25, chunking, citations, evaluation, fusion, graph, vector
 from ferrule.plans import search as plans
 from ferrule.plans.fixtures import ORDER_LINES, order_lines
+from ferrule.plans.queries_text import NEUTRAL
 from ferrule.plans.registry import query
 from ferrule.plans.slots import Slots
-from ferrule.sources.tables import spread, table
+from ferrule.sources.tables import pages_of, spread, table
 
 
 def doc_chunks(spark, d: str) -> DataFrame:
@@ -238,7 +240,7 @@ def cases(spark, d: str) -> DataFrame:
     source = F.struct(F.concat(F.lit("src"), F.col("item_id") % 20).alias("file"), (F.col("item_id") % 7).cast("int").alias("page_min"), (F.col("item_id") % 7 + 40).cast("int").alias("page_max"))
     return b.select(
         F.col("item_id").alias("case_id"), F.col("text").alias("question"), F.when(F.col("item_id") % 9 == 0, F.array().cast("array<struct<file:string,page_min:int,page_max:int>>")).otherwise(F.array(source)).alias("expected_sources"),
-        F.array(F.substring("text", 1, 4), F.lit("ZZZ")).alias("expected_keywords"), F.when(F.col("item_id") % 5 > 0, F.concat(F.lit("c"), F.col("item_id") % 5)).alias("category"),
+        F.array(F.lit("the"), F.lit("que"), (F.col("item_id") % 10).cast("string")).alias("expected_keywords"), F.when(F.col("item_id") % 5 > 0, F.concat(F.lit("c"), F.col("item_id") % 5)).alias("category"),
     )
 
 
@@ -264,11 +266,14 @@ def eval_means(spark, d):
     return evaluation.means(both, ["recall_5", "recall_10"])
 
 
-@query("evl_citations", "SELECT item_id AS case_id, CASE WHEN item_id % 9 = 0 THEN 0.0 ELSE 0.5 END::DOUBLE AS accuracy, 0.5::DOUBLE AS keywords FROM benchmark")
+@query("evl_citations", """WITH c AS (SELECT item_id, lower(text) AS q, item_id % 7 AS low, item_id * 13 % 60 AS a, item_id * 29 % 60 AS b FROM benchmark)
+SELECT item_id AS case_id, CASE WHEN item_id % 9 = 0 THEN 0.0 ELSE ((a BETWEEN low AND low + 40)::INT + (b BETWEEN low AND low + 40)::INT) / 3.0::DOUBLE END AS accuracy,
+  (contains(q, 'the')::INT + contains(q, 'que')::INT + contains(q, CAST(item_id % 10 AS VARCHAR))::INT) / 3.0::DOUBLE AS keywords FROM c""")
 def citation_accuracy(spark, d):
-    cited = F.array(
-        F.struct(F.concat(F.lit("src"), F.col("case_id") % 20).alias("file"), (F.col("case_id") % 7 + 3).cast("int").alias("page")), F.struct(F.lit("other").alias("file"), F.lit(1).alias("page")),
-    )
+    """Two citations of the expected file at pages in and out of its range, and one of another."""
+    page = lambda n: (F.col("case_id") * n % 60).cast("int")
+    file = F.concat(F.lit("src"), F.col("case_id") % 20)
+    cited = F.array(*(F.struct(f.alias("file"), page(n).alias("page")) for f, n in ((file, 13), (file, 29), (F.lit("other"), 1))))
     return cases(spark, d).select("case_id", evaluation.citation_accuracy(cited, F.col("expected_sources")).alias("accuracy"), evaluation.keyword_rate(F.upper("question"), F.col("expected_keywords")).alias("keywords"))
 
 
@@ -280,10 +285,14 @@ def compare(spark, d):
     return evaluation.compare(mean(o.where("o_orderstatus <> 'F' AND category < '4'")), mean(o.where("category > '2'")))
 
 
-@query("evl_judge", """WITH s AS (SELECT conv_id, turn, text FROM conversations) SELECT conv_id || '-' || turn AS key, 1.0::DOUBLE AS score FROM s WHERE regexp_matches(text, '\\S')""")
+@query("evl_judge", """WITH s AS (SELECT conv_id, turn, left(text, length(text) // 2) AS half, list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '([.!?。！？])\\s+', '\\1' || chr(1), 'g'), '\\n+', chr(1), 'g'), chr(1)),
+  lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '') AS said FROM conversations WHERE regexp_matches(text, '\\S'))
+SELECT conv_id || '-' || turn AS key, len(list_filter(said, lambda x: contains(lower(half), lower(x)))) / len(said)::DOUBLE AS score FROM s""")
 def judge(spark, d):
+    """The share of a turn's sentences that its first half holds."""
     c = table(spark, d, "conversations").where(F.col("text").rlike(r"\S"))
-    return c.select(F.concat_ws("-", "conv_id", "turn").alias("key"), evaluation.supported_share(sentences(F.col("text")), F.array("text")).alias("score"))
+    half = F.left("text", F.floor(F.length("text") / 2).cast("int"))
+    return c.select(F.concat_ws("-", "conv_id", "turn").alias("key"), evaluation.supported_share(sentences(F.col("text")), F.array(half)).alias("score"))
 
 
 def collection(spark, d: str) -> plans.Collection:
@@ -310,11 +319,24 @@ def ask(spark, d):
     return plans.ask(collection(spark, d), asked, Slots())
 
 
-@query("plan_show", """SELECT count(*) AS total FROM documents""")
+@query("plan_show", f"SELECT id AS chunk_id, page, count(*) OVER () AS total, CAST(row_number() OVER (ORDER BY file, CAST(regexp_extract(id, '[0-9]+$') AS BIGINT)) AS INTEGER) AS n FROM ({NEUTRAL}) QUALIFY n <= 20")
 def show(spark, d):
-    from ferrule.sources.tables import pages_of
-
-    return pages_of(table(spark, d, "documents")).agg(F.count("*").alias("total"))
+    chunks = chunking.chunk_pages(pages_of(table(spark, d, "documents")), DOCUMENT.structure).select(F.col("id").alias("chunk_id"), "page", F.struct("file", "ord").alias("ord"))
+    return plans.snapshot(plans.Collection(chunks, None, None, None), 20).select("chunk_id", "page", "total", "n")
+
+
+@query("evl_run")
+def run_cases(spark, d):
+    """Per-case metrics of questions that ask for a page's own question, over the collection of these pages."""
+    o = table(spark, d, "orders").where("o_orderkey % 100 = 0")
+    page = F.pmod("o_orderkey", F.lit(8)).cast("int")
+    source = F.struct(F.concat(F.lit("c"), F.floor(F.col("o_orderkey") / 8), F.lit(".pdf")).alias("file"), page.alias("page_min"), page.alias("page_max"))
+    asked = o.select(
+        F.col("o_orderkey").alias("case_id"), F.concat(F.lit("Question No. ACME/"), F.upper("o_orderstatus"), F.lit("/"), F.col("o_custkey")).alias("question"), F.array(source).alias("expected_sources"),
+        F.array(F.concat(F.lit("T/P/"), F.col("o_custkey"))).alias("expected_keywords"), F.col("o_orderstatus").alias("category"),
+    )
+    rows, _ = plans.evaluate(collection(spark, d), asked, Slots())
+    return rows.select("case_id", "category", "recall_5", "recall_10", "n_retrieved", "citation_accuracy", "keyword_rate", "faithfulness", "answer_relevancy")
 
 
 @query("fus_hybrid_vectors", f"""WITH {RANKED}, {COSINES.replace("WHERE q.vec_id % 25 = 0", "JOIN documents ON c.vec_id = doc_id WHERE q.vec_id IN (SELECT item_id FROM benchmark)")},

@@ -195,7 +195,11 @@ def neutral_pieces(spark, d):
     return chunking.chunk_pages(pages_of(table(spark, d, "documents")), DOCUMENT.structure).select("id", "file", "page", "chunk_type", "text")
 
 
-@query("chk_neutral")
+_NEUTRAL_REFERENCES = """SELECT *, list_sort(list_distinct(regexp_extract_all(text, '(?i)(?:Drawing\\s*No\\.?\\s*|Dwg\\.?\\s*)([\\w/\\-]+/\\d+[A-Z]?)', 1))) AS drawing_refs,
+  list_sort(list_distinct(regexp_extract_all(text, '(?i)(?:Clause|Cl\\.?)\\s+(\\d+(?:\\.\\d+)*)', 1))) AS clause_refs, CAST(regexp_extract(id, '[0-9]+$') AS BIGINT) AS ord"""
+
+
+@query("chk_neutral", f"{_NEUTRAL_REFERENCES} FROM ({NEUTRAL})")
 def neutral(spark, d):
     return chunking.chunk_pages(pages_of(table(spark, d, "documents")), DOCUMENT.structure).select("id", "file", "page", "chunk_type", "text", "drawing_refs", "clause_refs", "ord")
 
