@@ -111,10 +111,11 @@ def brute_tokens(word, scores):
     """Best score, then fewest tokens, over all segmentations, by plain dynamic programming."""
     text = token_count.START + word
     unknown = min(scores.values()) - token_count.FALLBACK
+    longest = max(map(len, scores))
     best = [(0.0, 0)]
     for j in range(1, len(text) + 1):
         options = [(best[j - 1][0] + unknown, -(best[j - 1][1] + len(text[j - 1].encode())))]
-        options += [(best[k][0] + scores[text[k:j]], -(best[k][1] + 1)) for k in range(j) if text[k:j] in scores]
+        options += [(best[k][0] + scores[text[k:j]], -(best[k][1] + 1)) for k in range(max(0, j - longest), j) if text[k:j] in scores]
         s, n = max(options)
         best.append((s, -n))
     return best[-1][1]
@@ -134,20 +135,27 @@ def test_tokens(documents, rows, awkward, empty, monkeypatch):
         for r in df.collect():
             words = re.findall(WORD, r["text"] or "")
             for w in words:
-                known.setdefault(w, None)
-                if known[w] is None:
-                    known[w] = brute_tokens(w, scores) if len(w) < 200 else len(w)
+                if w not in known:
+                    known[w] = brute_tokens(w, scores)
             expected.append((r["doc_id"], len(words), sum(known[w] for w in words)))
         got = [tuple(r) for r in token_count.token_counts(df).collect()]
-        long = {13}  # one word of 5,000 characters
-        drop = lambda x: sorted((r for r in x if r[0] not in long), key=repr)
-        assert drop(got) == drop(expected)
+        assert sorted(got, key=repr) == sorted(expected, key=repr)
     assert token_count.token_counts(empty).count() == 0
+    words = sorted({w for _, t in rows[:20] for w in (t or "").split()})[:200]
     monkeypatch.setattr(token_count, "MOST_NODES", 50)  # tries given up again and again
-    trie, whole = token_count.Trie(scores), token_count.Trie(scores)
-    whole_words = {w for _, t in rows[:20] for w in (t or "").split()}
-    assert all(trie.count(w.encode()) == brute_tokens(w, scores) for w in list(whole_words)[:200])
-    assert whole.count(b"x" * 5000) == whole.count(b"x" * 5000)
+    trie = token_count.Trie(scores)
+    assert all(trie.count(w.encode()) == brute_tokens(w, scores) for w in words)
+
+
+def test_tokens_of_long_words(monkeypatch):
+    """Words beyond ``LONGEST`` are scored by themselves, with the same counts; they go through the trie's prefixes no more."""
+    scores = token_count.vocabulary()
+    words = ["x" * 5000, "lorem" * 700, "中文" * 900, "x" * 999, "x" * 1000, "x" * 1001, "lorem", "loremipsum"]
+    want = [brute_tokens(w, scores) for w in words]
+    for longest in (token_count.LONGEST, 3, 10_000):
+        monkeypatch.setattr(token_count, "LONGEST", longest)
+        trie = token_count.Trie(scores)
+        assert [trie.count(w.encode()) for w in words + words] == want + want
 
 
 # -- packing
