@@ -212,7 +212,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
     Null and empty texts have no words, of documents or items; such items match
     nothing.  Items without an id hit but are not listed; items that repeat an id
     are listed once.  Repeated rows and null ids of documents pass through, row
-    by row; other columns are not read.  Without items nothing is hit.
+    by row; other columns are not read.  Without items nothing is hit; an empty
+    table of documents gives an empty table.  A text's words are matched one
+    after the other, and held in one piece, whatever their number.
 
     The automaton of at most ``block_words`` words (some 60 MB at the default; one
     longer item is a block of its own) is sent to each executor, block by block.

@@ -78,7 +78,9 @@ def line_dedup(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int
 
     A null or empty text is one empty line.  Rows that repeat a ``doc_id`` count
     as one document and are cut alike; null ids count together as one document
-    smaller than any other.  Other columns are not read.
+    smaller than any other, as does an id of ``NO_ID`` itself.  Other columns are
+    not read.  An empty table gives an empty table.  A text is split in one
+    piece, whatever its length.
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID)))
     drop = _dropped(narrow, least_chars, least_docs)

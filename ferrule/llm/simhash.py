@@ -258,7 +258,8 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     Null, empty and blank texts have the fingerprint zero and link like others;
     under three words make one shingle.  Null ids have a component but never
     name it (a component of null ids alone has a null name).  Rows that repeat
-    an id are kept, row by row; other columns are not read.
+    an id are kept, row by row; other columns are not read.  An empty table
+    gives an empty table.  A text is handled in one piece, whatever its length.
     """
     marks = materialise(fingerprints(docs), "marks")
     # stored, so that the join below has an exchange on either side and adaptive execution can split a text with very many copies

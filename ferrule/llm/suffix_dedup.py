@@ -476,7 +476,9 @@ def suffix_dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
     earlier: in a smaller ``doc_id``, or earlier in the document.  Strings are
     judged on the input.  ``kept`` is binary, as cuts may part a character.
 
-    Null and empty texts have no bytes.  Null ids come before all others.  Rows
+    Null and empty texts have no bytes.  Null ids come before all others, and an
+    id of ``NO_ID`` itself counts as one.  An empty table gives an empty table.
+    A text is handled in one piece, with some 150 bytes of memory a byte.  Rows
     that repeat an id and a text count as one document and are cut alike; those
     that repeat an id with another text are documents of their own, in the order
     of a hash of their texts.  Other columns are not read.

@@ -121,8 +121,10 @@ def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     that no piece covers takes one token for each of its UTF-8 bytes.
 
     Null, empty and blank texts have no tokens.  Null ids and repeated rows pass
-    through, row by row; other columns are not read.  What is broadcast is the
-    vocabulary, whose size is fixed by its file.
+    through, row by row; other columns are not read.  An empty table gives an
+    empty table.  A text is split in one piece; a word of over ``LONGEST``
+    characters is scored by itself, exactly, and not kept.  What is broadcast is
+    the vocabulary, whose size is fixed by its file.
     """
     scores = docs.sparkSession.sparkContext.broadcast(vocabulary(tokenizer))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda b: _count(b, scores), "doc_id long, n_words long, n_tokens long")

@@ -50,3 +50,12 @@ def test_columns_stay(awkward, empty):
     assert line_dedup.dedup_lines(awkward).dtypes == awkward.dtypes
     assert line_dedup.dedup_lines(awkward).count() == awkward.count()
     assert line_dedup.dedup_lines(empty).count() == 0
+
+
+def test_least_id(spark):
+    """The least possible id counts as null does: the two are one document."""
+    line = "This very line of text is shared by many documents."
+    rows = [(None, line), (line_dedup.NO_ID, line + "\nmore"), *((i, line) for i in range(3))]
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+    rows.append((7, line))
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
