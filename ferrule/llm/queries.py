@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and their SQL where there is any."""
 
-from . import decontaminate, license_scan, line_dedup, packing, pitman_yor, quality_model, quality_rules, simhash, suffix_dedup, token_count
+from . import decontaminate, license_scan, line_dedup, packing, pitman_yor, quality_model, quality_rules, simhash, spelling, suffix_dedup, token_count
 
 QUERIES = {
     "op1_simhash": simhash.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_line_dedup": line_dedup.query,
     "op9_quality_model": quality_model.query,
     "op10_quality_rules": quality_rules.query,
+    "op11_spelling_variants": spelling.query,
 }
 
 ORACLES = {
