@@ -415,3 +415,34 @@ def spelling_variants(docs: DataFrame, least_chars: int = LEAST_CHARS, least_cou
 
 def query(spark, sf_dir: str) -> DataFrame:
     return spelling_variants(spark.read.parquet(f"{sf_dir}/documents.parquet"), typo_every=97)
+
+
+SQL = """
+WITH RECURSIVE
+runs AS (
+  SELECT doc_id, run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\\x{C0}-\\x{FF}]+')) AS run FROM documents)
+  GROUP BY doc_id, run HAVING length(run) >= 5),
+hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(
+           list_concat([4294967295], flatten(list_transform(
+             flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, unicode(c) - 64] END)),
+             lambda b: [CAST(b AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) ELSE xor(c >> 1, 3988292384 * (c & 1)) END)) AS h
+  FROM runs),
+typed AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM typed WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+less AS (SELECT word, n, i, left(word, CAST(i AS INTEGER)) || substr(word, CAST(i AS INTEGER) + 2) AS rest FROM words, UNNEST(range(length(word))) AS u(i)),
+pairs AS (
+  SELECT a.word, b.word AS near, b.n FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i WHERE a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, first(near ORDER BY n DESC, encode(near)) AS form, max(n) AS form_n FROM pairs GROUP BY word),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * w.n THEN form END AS form, CASE WHEN form_n >= 2 * w.n THEN form_n END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word),
+chains AS (
+  SELECT word, word AS root, form AS onward FROM forms
+  UNION ALL SELECT c.word, f.word, f.form FROM chains c JOIN forms f ON f.word = c.onward)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM forms f JOIN chains c ON c.word = f.word WHERE c.onward IS NULL
+"""
