@@ -166,10 +166,6 @@ def gallery_preview(text: Column, size: int = 80) -> Column:
     return markdown_cell(F.substring(squeeze(text), 1, size))
 
 
-def round4(c: Column) -> Column:
-    return F.round(c, 4)
-
-
 def words(c: Column) -> Column:
     """Lower-case words; ideographs and kana singly, as no dictionary is at hand to join them."""
     single = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"

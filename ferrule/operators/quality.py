@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.config import Policy
-from ferrule.functions.text import WS, char_ratios, round4
+from ferrule.functions.numbers import fixed, general, rounded
+from ferrule.functions.text import WS, char_ratios
 
 #: Fixed values.
 LOW_SCORE = 0.7
@@ -31,8 +32,8 @@ def report_rows(metrics: DataFrame) -> DataFrame:
     """Metrics as a report shows them: four decimals, ``non_alnum_ratio`` in place of the alnum share; signals a record lacks are null."""
     has = lambda c: F.col(c) if c in metrics.columns else F.lit(None).cast("double")
     error = F.col("engine_error") if "engine_error" in metrics.columns else F.lit(None).cast("string")
-    rounded = [round4(has(c)).alias(c) for c in ("mean_score", "min_score", "low_score_ratio", "garbled_ratio", "max_band_gap", "box_coverage", "order_divergence")]
-    return metrics.select("page_key", "boxes", round4(1 - F.col("alnum_ratio")).alias("non_alnum_ratio"), has("n_columns").cast("int").alias("n_columns"), *rounded, error.alias("engine_error"))
+    metric = [rounded(has(c), 4).alias(c) for c in ("mean_score", "min_score", "low_score_ratio", "garbled_ratio", "max_band_gap", "box_coverage", "order_divergence")]
+    return metrics.select("page_key", "boxes", rounded(1 - F.col("alnum_ratio"), 4).alias("non_alnum_ratio"), has("n_columns").cast("int").alias("n_columns"), *metric, error.alias("engine_error"))
 
 
 @dataclass(frozen=True)
@@ -69,15 +70,6 @@ def parse_rule(text: str, below: bool) -> Rule:
     return Rule(signal, number, below)
 
 
-def general(c: Column) -> Column:
-    """A number with at most six significant digits and no trailing zeros (for what quality signals can be: 0.0001 to a million)."""
-    digits = F.greatest(F.lit(0), 5 - F.floor(F.log10(F.greatest(F.abs(c), F.lit(1e-4)))).cast("int"))
-    text = F.format_number(c, 10)
-    scaled = F.round(c * F.pow(F.lit(10.0), digits)) / F.pow(F.lit(10.0), digits)
-    text = F.replace(F.format_number(scaled, 10), F.lit(","), F.lit(""))
-    return F.regexp_replace(F.regexp_replace(text, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
-
-
 def flagged(rows: DataFrame, rules: list[Rule]) -> DataFrame:
     """``rows`` with ``flagged``, ``flag_reasons`` and ``margin``, by how much the worst rule is broken."""
     reasons = F.array_compact(F.array(*(F.when(r.hit(), r.reason()) for r in rules))) if rules else F.array().cast("array<string>")
@@ -112,7 +104,6 @@ def classify_boxes(boxes: Column, coverage: Column, dark: Column, policy: Policy
     filled = dark > policy.v2_filled_dark_ratio
     sparse = (coverage < policy.v2_sparse_cover) & (dark < policy.v2_sparse_dark)
     fragments = coverage / F.nullif(boxes, F.lit(0)) < policy.v2_fragment_box_frac
-    fixed = lambda c, n: F.format_string(f"%.{n}f", c)
     route = F.when(none, fallback).when(empty, "drawing").when(filled, "drawing").when(sparse, "text").when(fragments, "drawing").otherwise("text")
     reason = (
         F.when(none, F.concat(F.lit("no-box-signals -> fallback-v1 (v1="), fallback, F.lit(")")))
@@ -128,8 +119,8 @@ def classify_boxes(boxes: Column, coverage: Column, dark: Column, policy: Policy
 def trace(signals: DataFrame, policy: Policy) -> DataFrame:
     """``signals`` (``page_num, boxes, box_coverage, dark_ratio``) with their route, its reason and the derived signals."""
     verdict = classify_boxes(F.col("boxes"), F.col("box_coverage"), F.col("dark_ratio"), policy)
-    area = F.when(F.col("boxes") > 0, F.round(F.col("box_coverage") / F.nullif("boxes", F.lit(0)), 6))
-    return signals.withColumns({"route": verdict["route"], "reason": verdict["reason"], "mean_box_area": area, "dark": round4(F.col("dark_ratio")), "v2_toggle": F.lit(policy.needs_vision_v2)})
+    area = F.when(F.col("boxes") > 0, rounded(F.col("box_coverage") / F.nullif("boxes", F.lit(0)), 6))
+    return signals.withColumns({"route": verdict["route"], "reason": verdict["reason"], "mean_box_area": area, "dark": rounded(F.col("dark_ratio"), 4), "v2_toggle": F.lit(policy.needs_vision_v2)})
 
 
 def trace_counts(traces: DataFrame) -> DataFrame:
@@ -171,8 +162,8 @@ def probe_rows(probes: DataFrame) -> DataFrame:
     n = F.nullif(F.size("scores"), F.lit(0))
     mean = F.aggregate("scores", F.lit(0.0), lambda a, x: a + x) / n
     return probes.select(
-        "page_key", "rotation", F.size("scores").alias("boxes"), solid_chars(F.col("text")).alias("chars"), round4(mean).alias("mean_score"),
-        round4(F.array_min("scores")).alias("min_score"), F.round(mass(F.col("text"), F.col("scores")), 1).alias("mass"),
+        "page_key", "rotation", F.size("scores").alias("boxes"), solid_chars(F.col("text")).alias("chars"), rounded(mean, 4).alias("mean_score"),
+        rounded(F.array_min("scores"), 4).alias("min_score"), rounded(mass(F.col("text"), F.col("scores")), 1).alias("mass"),
     )
 
 

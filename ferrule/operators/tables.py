@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.functions.text import cell_texts, markdown_cell, round4
+from ferrule.functions.numbers import rounded
+from ferrule.functions.text import cell_texts, markdown_cell
 
 #: Fixed value: the least score of a detected table.
 LEAST_SCORE = 0.5
@@ -17,7 +18,7 @@ def normal_box(box: Column, width: Column, height: Column) -> Column:
     clamp = lambda v, most: F.least(F.greatest(v, F.lit(0.0)), most.cast("double"))
     x1, x2 = clamp(F.array_min(at(0)), width), clamp(F.array_max(at(0)), width)
     y1, y2 = clamp(F.array_min(at(1)), height), clamp(F.array_max(at(1)), height)
-    return F.struct(round4(x1 / width).alias("x"), round4(y1 / height).alias("y"), round4((x2 - x1) / width).alias("w"), round4((y2 - y1) / height).alias("h"))
+    return F.struct(rounded(x1 / width, 4).alias("x"), rounded(y1 / height, 4).alias("y"), rounded((x2 - x1) / width, 4).alias("w"), rounded((y2 - y1) / height, 4).alias("h"))
 
 
 def cells(tables: DataFrame) -> DataFrame:

@@ -125,7 +125,7 @@ def rules() -> list[quality.Rule]:
     return [quality.parse_rule("min_score:0.7", True), quality.parse_rule("low_score_ratio:0.5", False)]
 
 
-FLAGS = METRICS + """, r AS (SELECT page_key, boxes, round(1 - alnum_ratio, 4) AS non_alnum_ratio, round(min_score, 4) AS min_score, round(low_score_ratio, 4) AS low_score_ratio FROM m),
+FLAGS = METRICS + """, r AS (SELECT page_key, boxes, CAST(printf('%.4f', 1 - alnum_ratio) AS DOUBLE) AS non_alnum_ratio, CAST(printf('%.4f', min_score) AS DOUBLE) AS min_score, CAST(printf('%.4f', low_score_ratio) AS DOUBLE) AS low_score_ratio FROM m),
 f AS (SELECT *, coalesce(min_score < 0.7, false) AS a, coalesce(low_score_ratio > 0.5, false) AS b FROM r)"""
 
 
@@ -140,7 +140,7 @@ def gallery(spark, d):
     return quality.gallery(quality.report_rows(metrics(spark, d)), rules(), 25).select("page_key", F.round("margin", 6).alias("margin"))
 
 
-@query("qlt_summary", f"""WITH {METRICS}, r AS (SELECT boxes::DOUBLE AS boxes, round(min_score, 4) AS min_score, round(1 - alnum_ratio, 4) AS non_alnum_ratio FROM m), l AS (SELECT 'boxes' AS signal, boxes AS v FROM r UNION ALL SELECT 'min_score', min_score FROM r UNION ALL SELECT 'non_alnum_ratio', non_alnum_ratio FROM r)
+@query("qlt_summary", f"""WITH {METRICS}, r AS (SELECT boxes::DOUBLE AS boxes, CAST(printf('%.4f', min_score) AS DOUBLE) AS min_score, CAST(printf('%.4f', 1 - alnum_ratio) AS DOUBLE) AS non_alnum_ratio FROM m), l AS (SELECT 'boxes' AS signal, boxes AS v FROM r UNION ALL SELECT 'min_score', min_score FROM r UNION ALL SELECT 'non_alnum_ratio', non_alnum_ratio FROM r)
 SELECT signal, round(avg(v), 6) AS mean, min(v) AS min, max(v) AS max, count(v) AS n_defined FROM l GROUP BY signal""")
 def summary(spark, d):
     return quality.summary(quality.report_rows(metrics(spark, d)), ("boxes", "min_score", "non_alnum_ratio"))
@@ -170,7 +170,7 @@ def routes(name: str, cover: float, fragment: float) -> str:
 SIGNALS = """s AS (SELECT l_orderkey AS page_num, CASE WHEN l_orderkey % 13 > 0 THEN CAST(count(*) * (l_orderkey % 5) * 10 AS INTEGER) END AS boxes, sum(l_quantity) / 2048 AS box_coverage, CASE WHEN l_orderkey % 3 > 0 THEN round((l_orderkey % 60) / 100.0::DOUBLE, 3) END AS dark_ratio FROM lineitem GROUP BY l_orderkey)"""
 
 
-@query("pol_trace", f"WITH {SIGNALS}, {routes('t', 0.1, 0.001)} SELECT page_num, route, coalesce(boxes, -1) AS boxes, CASE WHEN boxes > 0 THEN round(box_coverage / boxes, 6) END AS mean_box_area FROM t")
+@query("pol_trace", f"WITH {SIGNALS}, {routes('t', 0.1, 0.001)} SELECT page_num, route, coalesce(boxes, -1) AS boxes, CASE WHEN boxes > 0 THEN CAST(printf('%.6f', box_coverage / boxes) AS DOUBLE) END AS mean_box_area FROM t")
 def trace(spark, d):
     return quality.trace(signals(spark, d), Policy()).select("page_num", "route", F.coalesce("boxes", F.lit(-1)).alias("boxes"), "mean_box_area")
 
@@ -213,7 +213,7 @@ def probes(spark, d: str) -> DataFrame:
 PROBES = f"""{ORDER_LINES}, p AS (SELECT l_orderkey AS page_key, (n - 1) * 90 AS rotation, 2 * CAST(l_quantity AS INTEGER) % 18 AS chars, l_partkey % 17 = 0 AS none, round(1 - l_discount * 5, 4) AS low, CASE WHEN l_partkey % 17 = 0 THEN 0 ELSE (2 * (CAST(l_quantity AS INTEGER) % 9)) * ((1.0::DOUBLE + round(1 - l_discount * 5, 4)) / 2) END AS mass FROM li WHERE n <= 4)"""
 
 
-@query("rot_probe_rows", f"WITH {PROBES} SELECT page_key, rotation, CASE WHEN none THEN 0 ELSE 2 END AS boxes, CAST(2 * ((chars / 2) % 9) AS INTEGER) AS chars, CASE WHEN NOT none THEN round(low, 4) END AS min_score FROM p")
+@query("rot_probe_rows", f"WITH {PROBES} SELECT page_key, rotation, CASE WHEN none THEN 0 ELSE 2 END AS boxes, CAST(2 * ((chars / 2) % 9) AS INTEGER) AS chars, CASE WHEN NOT none THEN CAST(printf('%.4f', low) AS DOUBLE) END AS min_score FROM p")
 def probe_rows(spark, d):
     return quality.probe_rows(probes(spark, d)).select("page_key", "rotation", "boxes", "chars", "min_score")
 
@@ -252,7 +252,7 @@ c AS (SELECT table_id, row, 0 AS col, CAST(l_partkey AS VARCHAR) AS text FROM r
 
 
 @query("tbl_cells", f"""WITH {TABLE_ROWS}, b AS (SELECT *, row * 2 + col AS i FROM c)
-SELECT table_id, row, col, text, round(least(i * 10, 100) / 100.0::DOUBLE, 4) AS x, round((i * 5) / 200.0::DOUBLE, 4) AS y, round((least(i * 10 + 60, 100) - least(i * 10, 100)) / 100.0::DOUBLE, 4) AS w, round(30 / 200.0::DOUBLE, 4) AS h FROM b""")
+SELECT table_id, row, col, text, CAST(printf('%.4f', CAST(least(i * 10, 100) / 100.0::DOUBLE AS DOUBLE)) AS DOUBLE) AS x, CAST(printf('%.4f', CAST((i * 5) / 200.0::DOUBLE AS DOUBLE)) AS DOUBLE) AS y, CAST(printf('%.4f', CAST((least(i * 10 + 60, 100) - least(i * 10, 100)) / 100.0::DOUBLE AS DOUBLE)) AS DOUBLE) AS w, CAST(printf('%.4f', CAST(30 / 200.0::DOUBLE AS DOUBLE)) AS DOUBLE) AS h FROM b""")
 def cells(spark, d):
     return tables.cells(page_tables(spark, d)).select("table_id", "row", "col", "text", "x", "y", "w", "h")
 
@@ -263,13 +263,13 @@ def markdown(spark, d):
     return tables.markdown(tables.cells(page_tables(spark, d)))
 
 
-@query("tbl_elements", f"""WITH {TABLE_ROWS}, b AS (SELECT *, row * 2 + col AS i FROM c), n AS (SELECT *, round(least(i * 10, 100) / 100.0::DOUBLE, 4) AS x, round((i * 5) / 200.0::DOUBLE, 4) AS y, round((least(i * 10 + 60, 100) - least(i * 10, 100)) / 100.0::DOUBLE, 4) AS w, round(30 / 200.0::DOUBLE, 4) AS h FROM b)
+@query("tbl_elements", f"""WITH {TABLE_ROWS}, b AS (SELECT *, row * 2 + col AS i FROM c), n AS (SELECT *, CAST(printf('%.4f', CAST(least(i * 10, 100) / 100.0::DOUBLE AS DOUBLE)) AS DOUBLE) AS x, CAST(printf('%.4f', CAST((i * 5) / 200.0::DOUBLE AS DOUBLE)) AS DOUBLE) AS y, CAST(printf('%.4f', CAST((least(i * 10 + 60, 100) - least(i * 10, 100)) / 100.0::DOUBLE AS DOUBLE)) AS DOUBLE) AS w, CAST(printf('%.4f', CAST(30 / 200.0::DOUBLE AS DOUBLE)) AS DOUBLE) AS h FROM b)
 SELECT table_id, '{{"rotation":0,"cells":' || count(*) || '}}' || chr(10) || string_agg('{{"row":' || row || ',"row_end":' || row || ',"col":' || col || ',"col_end":' || col || ',"x":' || x || ',"y":' || y || ',"w":' || w || ',"h":' || h || ',"text":"' || text || '"}}', chr(10) ORDER BY row, col) AS jsonl FROM n GROUP BY table_id""")
 def elements(spark, d):
     return tables.elements(tables.cells(page_tables(spark, d)))
 
 
-@query("tbl_regions", """SELECT l_orderkey AS page_key, round((l_linenumber * 10) / 1000.0::DOUBLE, 4) AS x, round(20 / 1000.0::DOUBLE, 4) AS y, round(l_quantity / 1000, 4) AS w, round(100 / 1000.0::DOUBLE, 4) AS h, 1 - l_discount * 8 AS score FROM lineitem WHERE l_returnflag = 'R' AND 1 - l_discount * 8 >= 0.5""")
+@query("tbl_regions", """SELECT l_orderkey AS page_key, CAST(printf('%.4f', CAST((l_linenumber * 10) / 1000.0::DOUBLE AS DOUBLE)) AS DOUBLE) AS x, CAST(printf('%.4f', CAST(20 / 1000.0::DOUBLE AS DOUBLE)) AS DOUBLE) AS y, CAST(printf('%.4f', CAST(l_quantity / 1000 AS DOUBLE)) AS DOUBLE) AS w, CAST(printf('%.4f', CAST(100 / 1000.0::DOUBLE AS DOUBLE)) AS DOUBLE) AS h, 1 - l_discount * 8 AS score FROM lineitem WHERE l_returnflag = 'R' AND 1 - l_discount * 8 >= 0.5""")
 def table_regions(spark, d):
     li = table(spark, d, "lineitem")
     x0, x1 = (F.col("l_linenumber") * 10).cast("double"), F.col("l_linenumber") * 10 + F.col("l_quantity")
@@ -293,7 +293,7 @@ def versions(spark, d):
 
 
 @query("qlt_engine_errors", """WITH m AS (SELECT o_orderkey AS page_key, CASE WHEN o_custkey % 9 = 0 THEN 'timeout' END AS engine_error, CAST(o_totalprice AS DOUBLE) / 1000000 AS mean_score FROM orders)
-SELECT page_key, engine_error, CASE WHEN page_key % 4 = 0 THEN 0.5 WHEN engine_error IS NULL THEN round(mean_score, 4) END AS mean_score, page_key % 4 <> 0 AND engine_error IS NULL AS stored
+SELECT page_key, engine_error, CASE WHEN page_key % 4 = 0 THEN 0.5 WHEN engine_error IS NULL THEN CAST(printf('%.4f', mean_score) AS DOUBLE) END AS mean_score, page_key % 4 <> 0 AND engine_error IS NULL AS stored
 FROM (SELECT page_key, CASE WHEN page_key % 4 <> 0 THEN engine_error END AS engine_error, mean_score FROM m)""")
 def engine_errors(spark, d):
     """A scan over pages of which some are stored and some failed; and what is to be stored of it."""
