@@ -24,10 +24,11 @@ def questions(spark, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-TOKENS = """tok AS (SELECT doc_id AS chunk_id, CASE WHEN len(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+')) = 0 THEN ['__empty__'] ELSE regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+') END AS ts FROM documents),
+TOKENS = """found AS MATERIALIZED (SELECT doc_id AS chunk_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+') AS ts FROM documents),
+tok AS MATERIALIZED (SELECT chunk_id, CASE WHEN len(ts) = 0 THEN ['__empty__'] ELSE ts END AS ts FROM found),
 sized AS (SELECT chunk_id, len(ts) AS dl FROM tok), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM sized),
-post AS (SELECT term, chunk_id, count(*) AS tf FROM (SELECT chunk_id, unnest(ts) AS term FROM tok) GROUP BY ALL),
-raw AS (SELECT term, count(*) AS df, ln(max(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post, st GROUP BY term),
+post AS MATERIALIZED (SELECT term, chunk_id, count(*) AS tf FROM (SELECT chunk_id, unnest(ts) AS term FROM tok) GROUP BY ALL),
+raw AS MATERIALIZED (SELECT term, count(*) AS df, ln(max(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post, st GROUP BY term),
 terms AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"""
 SCORED = TOKENS + """,
 q AS (SELECT item_id AS query_id, term, count(*) AS qf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM benchmark) GROUP BY ALL),
@@ -37,8 +38,8 @@ scored AS (SELECT query_id, chunk_id, round(sum(qf * idf * tf * 2.5 / (tf + 1.5
 @query("spx_corpus_stats", f"WITH {TOKENS} SELECT n, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM terms) AS n_terms, (SELECT round(avg(raw), 6) FROM raw) AS mean_idf FROM st")
 def corpus_stats(spark, d):
     i = bm25.build(doc_chunks(spark, d))
-    raw = i.terms.join(F.broadcast(i.stats.select("n")), how="cross").agg(F.count("*").alias("n_terms"), F.round(F.avg(F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)), 6).alias("mean_idf"))
-    return i.stats.select("n", F.round("avgdl", 6).alias("avgdl")).join(raw, how="cross")
+    raw = F.log(i.n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    return i.terms.agg(F.lit(i.n).cast("long").alias("n"), F.lit(round(i.avgdl, 6)).alias("avgdl"), F.count("*").alias("n_terms"), F.round(F.avg(raw), 6).alias("mean_idf"))
 
 
 @query("spx_idf", f"WITH {TOKENS} SELECT term, df, round(idf, 6) AS idf FROM terms")
