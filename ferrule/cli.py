@@ -88,7 +88,11 @@ def batch_ingest(a: argparse.Namespace) -> None:
     contents = pages.select("file", F.col("page_num").alias("page"), F.col("text").cast("binary").alias("content"))
     folder = f"{a.checkpoint}-cache"
     cache = sources.read_cache(spark, folder)
-    progress = batch.run_batch(contents, sources.read_checkpoint(spark, a.checkpoint), cache, lambda content: (content or b"").decode(), a.cost, a.budget)
+    over = None
+    try:
+        progress = batch.run_batch(contents, sources.read_checkpoint(spark, a.checkpoint), cache, lambda content: (content or b"").decode(), a.cost, a.budget)
+    except batch.BudgetExceeded as e:
+        over, progress = e, e.progress
     progress.where("status = 'done'").select("key", "text").dropDuplicates(["key"]).write.mode("append").parquet(folder)
     sources.append_checkpoint(progress.select("file", "page", "status", "error_msg", "cost_usd"), a.checkpoint)
     _show(batch.summary(sources.read_checkpoint(spark, a.checkpoint)))
@@ -101,6 +105,8 @@ def batch_ingest(a: argparse.Namespace) -> None:
         pages.write.mode("overwrite").parquet(f"{a.collection}/pages")
         sources.set_profile(a.collection, a.profile)
         _show(plans.counters(c.chunks))
+    if over:  # what was read is stored by now
+        raise over
     batch.check_errors(progress)
 
 

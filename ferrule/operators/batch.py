@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -51,11 +52,20 @@ def within_run_budget(work: DataFrame, cap: float, order: tuple[str, ...] = ("fi
     return rows.withColumn("spent_before", spent).where(F.col("spent_before") < cap).select(*work.columns, "spent_before")
 
 
-def run_pages(pages: DataFrame, read: Callable[[bytes], str], cost: float = 0.0) -> DataFrame:
-    """``PROGRESS`` of ``pages`` (``file, page, content``) that ``read`` has gone over, a page at a time within Arrow batches.
+class BudgetExceeded(RuntimeError):
+    """A run has spent its cap with pages left to read; ``progress`` is what it did, stored."""
 
-    A page that fails is a row of status ``error`` and costs nothing; a page
-    costs ``cost`` if it has text.  As many pages are in flight as there are tasks.
+    def __init__(self, spent: float, cap: float, progress: DataFrame):
+        super().__init__(f"${spent:.4f} spent of a budget of ${cap:.4f}, with pages left; run again to go on")
+        self.spent, self.cap, self.progress = spent, cap, progress
+
+
+def run_pages(pages: DataFrame, read: Callable[[bytes], str | tuple[str, float]], cost: float = 0.0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``PROGRESS`` of ``pages`` (``file, page, content``) that ``read`` has gone over, a page at a time within Arrow batches; the columns ``keep`` go along.
+
+    A page that fails is a row of status ``error`` and costs nothing; one that is
+    read costs what ``read`` says beside its text, or else ``cost`` if it has text.
+    As many pages are in flight as there are tasks.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -63,29 +73,67 @@ def run_pages(pages: DataFrame, read: Callable[[bytes], str], cost: float = 0.0)
             rows = []
             for file, page, content in zip(batch["file"], batch["page"], batch["content"], strict=True):
                 try:
-                    text = read(None if content is None else bytes(content))
-                    rows.append((file, page, "done", None, text, cost if (text or "").strip() else 0.0))
+                    found = read(None if content is None else bytes(content))
+                    text, spent = found if isinstance(found, tuple) else (found, cost if (found or "").strip() else 0.0)
+                    rows.append((file, page, "done", None, text, float(spent)))
                 except Exception as e:  # one page must not fail the run
                     rows.append((file, page, "error", f"{type(e).__name__}: {e}", None, 0.0))
-            yield pd.DataFrame(rows, columns=[f.split()[0] for f in PROGRESS.split(", ")])
+            yield pd.concat([pd.DataFrame(rows, columns=[f.split()[0] for f in PROGRESS.split(", ")], index=batch.index), batch[list(keep)]], axis=1)
+
+    kinds = "".join(f", `{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
+    return pages.select("file", F.col("page").cast("int").alias("page"), F.col("content").cast("binary").alias("content"), *keep).mapInPandas(run, PROGRESS + kinds)
+
 
-    return pages.select("file", F.col("page").cast("int").alias("page"), F.col("content").cast("binary").alias("content")).mapInPandas(run, PROGRESS)
+def in_order(work: DataFrame, order: tuple[str, ...] = ("file", "page")) -> DataFrame:
+    """``work`` (narrow rows) with ``seq``, their number from 0 on in ``order``, stored; ranges are counted apart and added up."""
+    dealt = materialise(work.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "work")
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))  # a row a range
+    before = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return materialise(dealt.withColumn("_in", place).join(before, "_range").select(*work.columns, (F.col("_in") + F.col("_before")).alias("seq")), "work-order")
 
 
-def run_batch(pages: DataFrame, checkpoint: DataFrame, cache: DataFrame, read: Callable[[bytes], str], cost: float, cap: float) -> DataFrame:
+def run_batch(pages: DataFrame, checkpoint: DataFrame, cache: DataFrame, read: Callable[[bytes], str | tuple[str, float]], cost: float, cap: float, in_flight: int = 1) -> DataFrame:
     """A resumable run over ``pages`` (``file, page, content``): ``PROGRESS`` with the content's ``key`` of the pages that were still to do.
 
     What the checkpoint calls done is left out, errors are tried again; what the
-    cache (``key, text``) holds is ``skipped_cached``; of the rest pages start, in order,
-    until ``cap`` is spent at ``cost`` a page.  Stored before it is returned, so
-    that each page is read once.
+    cache (``key, text``) holds is ``skipped_cached``.  The rest start in order, in
+    waves, until ``cap`` is really spent: a wave has as many pages as could start
+    one after the other if each cost ``cost``, or ``in_flight`` if that is more, and the
+    next begins when what it did cost is known.  Pages that fail or are blank
+    cost nothing, so that others take their place.  Each wave is stored before
+    the next, so that each page is read once; a page that is listed twice is one.
+
+    If the cap is reached with pages left, ``BudgetExceeded`` tells so and has the progress.
     """
-    todo = pages.join(done(checkpoint), ["file", "page"], "left_anti").withColumn("key", F.sha2(F.col("content").cast("binary"), 256))
-    known = todo.select("file", "page", "key").join(cache.select("key", "text").dropDuplicates(["key"]), "key")
-    skipped = known.select("file", F.col("page").cast("int").alias("page"), F.lit("skipped_cached").alias("status"), F.lit(None).cast("string").alias("error_msg"), "text", F.lit(0.0).alias("cost_usd"), "key")
-    fresh = within_run_budget(todo.join(cache.select("key"), "key", "left_anti").withColumn("cost_usd", F.lit(float(cost))), cap)
-    ran = run_pages(fresh.select("file", "page", "content"), read, cost).join(fresh.select("file", F.col("page").cast("int").alias("page"), "key"), ["file", "page"])
-    return materialise(skipped.unionByName(ran), "progress")
+    keyed = pages.select("file", F.col("page").cast("int").alias("page"), F.sha2(F.col("content").cast("binary"), 256).alias("key")).dropDuplicates(["file", "page"])
+    todo = materialise(keyed.join(done(checkpoint), ["file", "page"], "left_anti"), "todo")  # contents stay where they are
+    held = cache.select("key", "text").dropDuplicates(["key"])
+    skipped = todo.join(held, "key").select("file", "page", F.lit("skipped_cached").alias("status"), F.lit(None).cast("string").alias("error_msg"), "text", F.lit(0.0).alias("cost_usd"), "key")
+    waves = [materialise(skipped, "progress")]
+    work = in_order(todo.join(held, "key", "left_anti"))
+    n, at, spent = work.count(), 0, 0
+    micro = lambda usd: round(usd * 1_000_000)
+    while at < n and spent < micro(cap):
+        many = n - at if micro(cost) <= 0 else min(n - at, max(in_flight, -(-(micro(cap) - spent) // micro(cost))))
+        wave = work.where((F.col("seq") >= at) & (F.col("seq") < at + many)).drop("seq")
+        ends = wave.agg(F.min("file"), F.max("file")).first()  # lets the scan of contents skip files
+        contents = pages.where(F.col("file").between(*ends)).select("file", F.col("page").cast("int").alias("page"), "content")
+        rows = contents.join(wave, ["file", "page"])
+        if pages_repeat(contents, wave):
+            rows = rows.dropDuplicates(["file", "page"])
+        waves.append(materialise(run_pages(rows, read, cost, ("key",)), "progress"))
+        spent += waves[-1].agg(F.sum(F.round(F.col("cost_usd") * 1_000_000).cast("long"))).first()[0] or 0
+        at += many
+    progress = reduce(DataFrame.unionByName, waves)
+    if at < n:
+        raise BudgetExceeded(spent / 1_000_000, cap, progress)
+    return progress
+
+
+def pages_repeat(contents: DataFrame, wave: DataFrame) -> bool:
+    """Whether a page of a wave is listed more than once."""
+    return contents.select("file", "page").join(wave.select("file", "page"), ["file", "page"], "left_semi").groupBy("file", "page").count().where("count > 1").limit(1).count() > 0
 
 
 def check_errors(progress: DataFrame) -> None:

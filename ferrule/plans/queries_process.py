@@ -92,6 +92,27 @@ def run(spark, d):
     return batch.run_batch(pages, seen, cached, read, 0.002, 1e9).select("file", "page", "status", "error_msg", "text", "cost_usd")
 
 
+@query("bat_spending", """WITH p AS (SELECT source AS file, CAST(doc_id AS INTEGER) AS page, coalesce(text, '') AS t FROM documents), c AS (SELECT *, CASE WHEN page % 10 < 3 OR trim(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' THEN 0 ELSE 2000 END AS micro FROM p),
+s AS (SELECT *, coalesce(sum(micro) OVER (ORDER BY file, page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c)
+SELECT file, page, CASE WHEN page % 10 < 3 THEN 'error' ELSE 'done' END AS status, micro / 1000000.0::DOUBLE AS cost_usd FROM s WHERE before < 200000""")
+def spending(spark, d):
+    """A run whose cap binds: three pages in ten fail, and others take their place until the cap is really spent."""
+    pages = table(spark, d, "documents").select(F.col("source").alias("file"), F.col("doc_id").cast("int").alias("page"), F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.coalesce("text", F.lit(""))).cast("binary").alias("content"))
+
+    def read(content: bytes) -> str:
+        number, _, text = content.decode().partition(":")
+        if int(number) % 10 < 3:
+            raise ValueError("unreadable")
+        return text
+
+    seen, cached = pages.select("file", "page", F.lit("done").alias("status")).limit(0), spark.createDataFrame([], "key string, text string")
+    try:
+        progress = batch.run_batch(pages, seen, cached, read, 0.002, 0.2)
+    except batch.BudgetExceeded as over:
+        progress = over.progress
+    return progress.select("file", "page", "status", "cost_usd")
+
+
 @query("src_captions", """SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'old' WHEN doc_id % 4 = 1 THEN '' WHEN doc_id % 3 <> 0 THEN 'new' END AS caption FROM documents""")
 def captions(spark, d):
     """Captions through a cache that holds some, empty ones too, and some payloads that are no text; a captioner that fails on some pages."""

@@ -70,16 +70,71 @@ def test_batch_resumes(spark):
             raise ValueError("torn")
         return content.decode()
 
-    first = batch.run_batch(pages, none[1], none[0], read, 0.1, 0.25)
+    # blank and failed pages cost nothing: 4 starts at 0.1 spent, 5 would at 0.2
+    with pytest.raises(batch.BudgetExceeded, match=r"\$0.2000 spent of a budget of \$0.1500") as over:
+        batch.run_batch(pages, none[1], none[0], read, 0.1, 0.15)
+    first = over.value.progress
     rows = {r["page"]: (r["status"], r["error_msg"], r["text"], r["cost_usd"]) for r in first.collect()}
-    assert rows == {1: ("done", None, "one", 0.1), 2: ("error", "ValueError: torn", None, 0.0), 3: ("done", None, "", 0.0)}
+    assert rows == {1: ("done", None, "one", 0.1), 2: ("error", "ValueError: torn", None, 0.0), 3: ("done", None, "", 0.0), 4: ("done", None, "one", 0.1)}
     with pytest.raises(RuntimeError, match="1 pages failed, first f p.2: ValueError: torn"):
         batch.check_errors(first)
     cache = first.where("status = 'done'").select("key", "text")
-    second = batch.run_batch(pages, first, cache, lambda c: c.decode(), 0.1, 10.0)
-    assert {r["page"]: (r["status"], r["text"]) for r in second.collect()} == {2: ("done", "bad"), 4: ("skipped_cached", "one"), 5: ("done", "five")}
+    again = pages.unionByName(spark.createDataFrame([("g", 1, "one"), ("g", 2, "six"), ("g", 2, "six")], pages.schema))
+    second = batch.run_batch(again, first, cache, lambda c: c.decode(), 0.1, 10.0)
+    assert sorted((r["file"], r["page"], r["status"], r["text"]) for r in second.collect()) == [("f", 2, "done", "bad"), ("f", 5, "done", "five"), ("g", 1, "skipped_cached", "one"), ("g", 2, "done", "six")]
     batch.check_errors(second)
-    assert batch.summary(first.unionByName(second).withColumn("elapsed_s", F.lit(2.5))).first().asDict() == {"n_done": 4, "n_skipped": 1, "n_error": 1, "cost_usd": 0.3, "elapsed_s": 2.5}
+    assert batch.summary(first.unionByName(second).withColumn("elapsed_s", F.lit(2.5))).first().asDict() == {"n_done": 6, "n_skipped": 1, "n_error": 1, "cost_usd": 0.5, "elapsed_s": 2.5}
+
+
+def started(pages, cost, cap):
+    """Which pages start one after the other until the cap is spent, by what they really cost."""
+    spent, out = 0, []
+    for page, c in pages:
+        if spent >= round(cap * 1e6):
+            break
+        out.append(page)
+        spent += round(c * 1e6)
+    return out, spent / 1e6
+
+
+@pytest.mark.parametrize(("cap", "failing"), [(0.25, {1, 2, 3, 4, 5}), (0.1, set()), (0.0, set()), (0.3, {2, 4, 6}), (5.0, {1})])
+def test_budget_of_real_spending(spark, cap, failing):
+    pages = spark.createDataFrame([("f", i, str(i)) for i in range(1, 11)], "file string, page int, content string").repartition(3)
+    none = spark.createDataFrame([], "file string, page int, status string"), spark.createDataFrame([], "key string, text string")
+
+    def read(content):
+        if int(content) in failing:
+            raise ValueError("torn")
+        return content.decode(), 0.1 if int(content) % 2 else 0.05
+
+    def run():
+        return batch.run_batch(pages, *none, read, 0.1, cap)
+
+    expected, spent = started([(i, 0.0 if i in failing else 0.1 if i % 2 else 0.05) for i in range(1, 11)], 0.1, cap)
+    if len(expected) < 10:
+        with pytest.raises(batch.BudgetExceeded) as over:
+            run()
+        assert (over.value.spent, over.value.cap) == (pytest.approx(spent), cap)
+        progress = over.value.progress
+    else:
+        progress = run()
+    assert sorted(r["page"] for r in progress.collect()) == expected
+    if cap == 0.25:
+        assert expected == [1, 2, 3, 4, 5, 6, 7, 8, 9]
+
+
+def test_five_failing_pages(spark):
+    pages = spark.createDataFrame([("f", i, str(i)) for i in range(1, 11)], "file string, page int, content string")
+
+    def read(content):
+        if int(content) <= 5:
+            raise ValueError("torn")
+        return content.decode()
+
+    with pytest.raises(batch.BudgetExceeded) as over:
+        batch.run_batch(pages, spark.createDataFrame([], "file string, page int, status string"), spark.createDataFrame([], "key string, text string"), read, 0.1, 0.25)
+    assert sorted(r["page"] for r in over.value.progress.where("status = 'done'").collect()) == [6, 7, 8]
+    assert over.value.spent == pytest.approx(0.3)
 
 
 def test_second_phase_ingests_what_was_read(spark):
