@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ferrule.operators import batch, dispatch, redaction
 from ferrule.plans.registry import query
+from ferrule.plans.scanning import Reader, read_pages
 from ferrule.plans.slots import Slots, cached_captions
 from ferrule.sources import tables as sources
 from ferrule.sources.tables import table
@@ -113,6 +114,40 @@ def spending(spark, d):
     return progress.select("file", "page", "status", "cost_usd")
 
 
+def paper() -> Slots:
+    """Page images as strings ``number:turn:dpi``, and an engine that reads them as such pages might read.
+
+    Some lie on their side, some are hard to read, some seem empty at the plain resolution.
+    """
+    part = lambda image, i: F.split(image.cast("string"), ":")[i].cast("int")
+
+    def ocr(image):
+        n, turn, dpi = (part(image, i) for i in range(3))
+        lies = F.when(n % 5 == 0, n % 4 * 90).otherwise(0)
+        reading = lambda text, *scores: F.struct(F.lit(text).alias("text"), F.array(*scores).cast("array<double>").alias("scores"))
+        poor = F.when(n % 7 == 0, 0.6).otherwise(0.95)
+        return F.when((n % 11 == 0) & (dpi < 300), reading("")).when(n % 11 == 0, reading("z" * 10, F.lit(0.9))).when(turn != lies, reading("c" * 5, F.lit(0.4))).when(dpi < 300, reading("a" * 20, F.lit(0.9), poor)).otherwise(reading("b" * 30, F.lit(0.9)))
+
+    return Slots(
+        ocr=ocr, render=lambda file, page, dpi: F.concat_ws(":", page % 5000, F.lit(0), F.lit(dpi)).cast("binary"),
+        turn=lambda image, degrees: F.concat_ws(":", part(image, 0), (part(image, 1) + degrees) % 360, part(image, 2)).cast("binary"),
+    )
+
+
+@query("scn_read_pages", """WITH p AS (SELECT o_orderkey AS page, o_orderkey % 5000 AS n FROM orders), q AS (SELECT *, n % 3 = 0 AS held, n % 11 = 0 AS blank, CASE WHEN n % 5 = 0 THEN n % 4 * 90 ELSE 0 END AS lies FROM p),
+g AS (SELECT *, blank OR lies <> 0 OR n % 7 = 0 AS gated, blank OR n % 7 = 0 AS poor FROM q)
+SELECT page, CASE WHEN held THEN 'cache' WHEN gated THEN 'probed' ELSE 'plain' END AS source, CAST(CASE WHEN held OR blank OR NOT gated THEN 0 ELSE lies END AS INTEGER) AS rotation, NOT held AND poor AS refined,
+  CASE WHEN held THEN 'cached' WHEN blank THEN repeat('z', 10) WHEN poor THEN repeat('b', 30) ELSE repeat('a', 20) END AS text FROM g""")
+def scan_pages(spark, d):
+    """Pages through the gates: which come from the cache, which are turned, and which are rendered anew."""
+    pages, reader, slots = table(spark, d, "orders").select(F.lit("f").alias("file"), F.col("o_orderkey").alias("page")), Reader("local", "m", "contract"), paper()
+    image = slots.render(F.lit(""), F.col("n"), 150)
+    keys = pages.select((F.col("page") % 5000).alias("n")).where("n % 3 = 0").distinct().select(F.concat(F.sha2(image, 256), F.lit(reader.suffix())).alias("key"))
+    cache = keys.select("key", F.lit("cached").alias("text"), F.array(F.lit(0.1)).alias("scores"), F.lit(0).alias("rotation"), F.lit(False).alias("refined"))
+    out, _ = read_pages(pages, reader, slots, cache)
+    return out.select("page", "source", "rotation", "refined", "text")
+
+
 @query("src_captions", """SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'old' WHEN doc_id % 4 = 1 THEN '' WHEN doc_id % 3 <> 0 THEN 'new' END AS caption FROM documents""")
 def captions(spark, d):
     """Captions through a cache that holds some, empty ones too, and some payloads that are no text; a captioner that fails on some pages."""

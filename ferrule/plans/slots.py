@@ -30,7 +30,7 @@ def no_caption(image: Column, nearby: Column) -> Column:
 class Slots:
     #: A page table from a path.
     parse: Callable[[object, str], DataFrame] | None = None
-    #: Text and scores of a page image.
+    #: ``struct<text, scores>`` of a page image; null where the engine failed.
     ocr: Callable[[Column], Column] | None = None
     caption: Callable[[Column, Column], Column] = no_caption
     embed: Callable[[Column], Column] = vector.hash_embedding
@@ -39,8 +39,8 @@ class Slots:
     answer: Callable[[DataFrame, DataFrame], DataFrame] = extractive_answer
     #: The structure of a table image: cells as ``tables.cells`` takes them.
     structure: Callable[[Column], Column] | None = None
-    #: An image of a page of a file.
-    render: Callable[[Column, Column], Column] | None = None
+    #: An image of a page of a file, at so many dots an inch.
+    render: Callable[[Column, Column, int], Column] | None = None
     turn: Callable[[Column, Column], Column] = images.turn
     relevancy: Callable[[Column, Column], Column] = question_share
     faithfulness: Callable[[Column, Column], Column] = field(default=lambda answer, passages: supported_share(sentences(answer), passages))
