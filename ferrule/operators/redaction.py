@@ -123,7 +123,14 @@ def placeholder(type_: Column, idx: Column) -> Column:
 
 
 def redact(docs: DataFrame, spans: DataFrame, mapping_: DataFrame) -> DataFrame:
-    """``doc_id, redacted_text, spans_replaced`` of ``docs`` (``doc_id, text``)."""
+    """``doc_id, redacted_text, spans_replaced`` of ``docs`` (``doc_id, text``).
+
+    A text that holds a placeholder of ``mapping_`` already could not be restored:
+    there the redaction is refused, before any of it is done.
+    """
+    held = irreversible(docs, mapping_).orderBy("doc_id", "token").first()
+    if held:
+        raise ValueError(f"text {held['doc_id']} already holds the placeholder {held['token']}: its redaction could not be undone")
     tokens = spans.join(mapping_, (spans["type"] == mapping_["entity_type"]) & (spans["entity"] == mapping_["entity_text"]))
     tokens = tokens.select("doc_id", "start", "stop", placeholder(F.col("type"), F.col("idx")).alias("token"))
     per_doc = tokens.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "token"))).alias("_t"))

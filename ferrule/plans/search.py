@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import warnings
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from ferrule.config import CONTRACT_STRUCTURE, Structure
 from ferrule.functions.text import indexable, preview
 from ferrule.operators import bm25, citations, evaluation, fusion, graph, vector
 from ferrule.operators.chunking import chunk_pages
-from ferrule.plans.slots import Slots
+from ferrule.plans.slots import Slots, captioned
 from ferrule.sources.scratch import materialise
 
 #: Fixed values.
@@ -26,11 +27,23 @@ class Collection:
     vectors: DataFrame
     index: bm25.Index
     edges: DataFrame
+    #: What captioning adds to its cache.
+    new_captions: DataFrame | None = None
 
 
-def ingest(pages: DataFrame, structure: Structure = CONTRACT_STRUCTURE, slots: Slots = Slots()) -> Collection:  # noqa: B008
-    """Pages to chunks, vectors, keyword index and reference graph."""
-    return collect(chunk_pages(pages, structure), slots)
+def ingest(pages: DataFrame, structure: Structure = CONTRACT_STRUCTURE, slots: Slots = Slots(), images: DataFrame | None = None, captions: DataFrame | None = None, model: str = "", profile: str | None = None) -> Collection:  # noqa: B008
+    """Pages to chunks, vectors, keyword index and reference graph.
+
+    With ``images`` (``file, page, image``) drawing chunks get a caption before they are
+    indexed, through the cache ``captions`` (``key, payload``); images are turned by the
+    ``rotation`` of their page.  ``new_captions`` of the collection are to be added to it.
+    """
+    chunks = chunk_pages(pages, structure)
+    if images is None:
+        return collect(chunks, slots)
+    turns = pages.where("rotation <> 0").select("file", F.col("page_num").alias("page"), "rotation") if "rotation" in pages.columns else None
+    chunks, new = captioned(materialise(chunks, "uncaptioned"), images, slots, turns, captions, model, profile)
+    return replace(collect(chunks, slots), new_captions=new)
 
 
 def collect(chunks: DataFrame, slots: Slots = Slots()) -> Collection:  # noqa: B008
@@ -65,6 +78,12 @@ def degraded(n_chunks: int, n_vectors: int) -> bool:
     return n_chunks == 0 and n_vectors > 0
 
 
+def check_index(c: Collection) -> None:
+    """Warn of a collection that has vectors but nothing to search by words."""
+    if c.index.n == 0 and degraded(0, c.vectors.limit(1).count()):
+        warnings.warn("the collection has vectors but no chunks: search goes by vectors alone until its chunks are restored or ingested again", stacklevel=3)
+
+
 def check_request(question: str, k: int = RETRIEVED) -> None:
     if not 1 <= len(question) <= MOST_QUESTION:
         raise ValueError(f"a question has 1 to {MOST_QUESTION} characters")
@@ -74,6 +93,7 @@ def check_request(question: str, k: int = RETRIEVED) -> None:
 
 def search(c: Collection, queries: DataFrame, k: int = RETRIEVED, rerank: bool = False, slots: Slots = Slots()) -> DataFrame:  # noqa: B008
     """``query_id, rank, score, chunk_id, file, page, chunk_type, text, preview`` for all queries (``query_id, text``) at once."""
+    check_index(c)
     dense = vector.top_k(c.vectors, queries.select("query_id", slots.embed(F.col("text")).alias("embedding")), fusion.CANDIDATES)
     sparse = bm25.top_k(c.index, queries, fusion.CANDIDATES, slots.tokenise)
     ranked = fusion.fuse(dense, sparse)

@@ -19,6 +19,7 @@ from ferrule.operators.citations import extractive_answer
 from ferrule.operators.evaluation import question_share, supported_share
 from ferrule.operators.fusion import overlap_score
 from ferrule.sources.scratch import materialise
+from ferrule.sources.tables import caption_key
 
 
 def no_caption(image: Column, nearby: Column) -> Column:
@@ -91,12 +92,36 @@ def cached_captions(wanted: DataFrame, cache: DataFrame, slots: Slots) -> tuple[
     return hits.unionByName(fresh), new
 
 
-def attach_captions(chunks: DataFrame, images: DataFrame, slots: Slots, rotations: DataFrame | None = None) -> DataFrame:
-    """Drawing chunks with a caption, each page read once and upright (``images``: ``file, page, image``); other chunks keep theirs."""
-    drawn = chunks.where("chunk_type = 'drawing'").select("file", "page", F.col("text").alias("nearby")).dropDuplicates(["file", "page"])
-    captions = drawn.join(upright(images, rotations, slots), ["file", "page"], "left").select("file", "page", F.coalesce(slots.caption(F.col("image"), F.substring("nearby", 1, 1500)), F.lit("")).alias("_caption"))
+#: What keys of pages without an image begin with.
+_BARE = "no image"
+
+
+def captioned(chunks: DataFrame, images: DataFrame, slots: Slots, rotations: DataFrame | None = None, cache: DataFrame | None = None, model: str = "", profile: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """``chunks``, drawing chunks with the caption of their page, and the caption cache's new rows (``key, payload``).
+
+    A drawn page (``images``: ``file, page, image``) is turned upright, looked up in the
+    ``cache`` by image, model and profile, and read once if it is not there; pages with
+    one image are one.  A page without an image goes by its text alone, and is not
+    cached; one whose captioner failed has an empty caption; chunks of other kinds
+    keep theirs.
+    """
+    drawn = chunks.where("chunk_type = 'drawing'").groupBy("file", "page").agg(F.min_by("text", "ord" if "ord" in chunks.columns else "text").alias("nearby"))
+    pages = drawn.join(upright(images, rotations, slots), ["file", "page"], "left")
+    bare = F.concat_ws(" ", F.lit(_BARE), "file", "page")
+    keyed = materialise(pages.select("file", "page", "image", "nearby", F.coalesce(caption_key(F.col("image"), model, profile), bare).alias("key")), "drawn-pages")
+    first = keyed.groupBy("key").agg(F.min(F.struct("file", "page")).alias("p")).select("key", "p.*")
+    once = keyed.join(first, ["key", "file", "page"], "left_semi").select("key", "image", "nearby")
+    none = chunks.sparkSession.createDataFrame([], "key string, payload binary")
+    found, new = cached_captions(once, none if cache is None else cache, slots)
+    captions = keyed.select("file", "page", "key").join(found.select("key", F.col("caption").alias("_caption")), "key").drop("key")
     joined = chunks.join(captions, ["file", "page"], "left")
-    return joined.withColumn("caption", F.when(F.col("chunk_type") == "drawing", F.col("_caption")).otherwise(F.col("caption"))).select(*chunks.columns)
+    out = joined.withColumn("caption", F.when(F.col("chunk_type") == "drawing", F.coalesce("_caption", F.lit(""))).otherwise(F.col("caption"))).select(*chunks.columns)
+    return out, new.where(~F.col("key").startswith(_BARE))
+
+
+def attach_captions(chunks: DataFrame, images: DataFrame, slots: Slots, rotations: DataFrame | None = None) -> DataFrame:
+    """``captioned`` without a cache."""
+    return captioned(chunks, images, slots, rotations)[0]
 
 
 def caption_prompt(template: str, nearby: Column) -> Column:

@@ -27,7 +27,7 @@ class Engine:
 
         def turn(image: pd.Series, degrees: pd.Series) -> pd.Series:
             turns.add(int((degrees != 0).sum()))
-            return pd.Series([bytes(x).decode().replace("@0@", f"@{d}@").encode() for x, d in zip(image, degrees, strict=True)])
+            return pd.Series([bytes(x).decode().replace("@0@", f"@{0 if d != d else int(d)}@").encode() for x, d in zip(image, degrees, strict=True)])
 
         def fine(file: pd.Series, page: pd.Series) -> pd.Series:
             renders.add(len(file))
@@ -101,3 +101,54 @@ def test_readings_are_ingested(spark):
     out, _ = read_pages(images(spark, PAGES[:3]), READER, Engine(spark, KNOWN).slots())
     c = plans.ingest(as_pages(out))
     assert "sideways" in " ".join(r["text"] for r in c.chunks.collect())
+
+
+def test_captions_within_ingest(spark):
+    """Drawn pages are captioned upright and once an image, through the cache, before they are indexed."""
+    pages = spark.createDataFrame(
+        [("a", 1, "Drawing No. AB/12 of the roof", "drawing", 90), ("a", 2, "Drawing No. AB/13 of the gate", "drawing", 0), ("a", 3, "The roof is of steel. It is high.", "text", 0), ("a", 4, "Drawing No. AB/14", "drawing", 0), ("a", 5, "Drawing No. AB/15", "drawing", 0)],
+        "file string, page_num int, text string, page_kind string, rotation int",
+    ).withColumn("tables", F.array().cast("array<string>"))
+    images = spark.createDataFrame([("a", i, bytearray(f"{n}@0@150".encode())) for i, n in ((1, "roof"), (2, "gate"), (4, "gate"))], "file string, page int, image binary")
+    calls = spark.sparkContext.accumulator(0)
+
+    def caption(image: pd.Series, nearby: pd.Series) -> pd.Series:
+        calls.add(int(image.notna().sum()))
+        return pd.Series(["" if x is None else f"picture {bytes(x).decode()}" for x in image])
+
+    slots = Engine(spark, {}).slots(caption=F.pandas_udf(caption, "string").asNondeterministic())
+    c = plans.ingest(pages, slots=slots, images=images, model="m", profile="contract")
+    got = {r["page"]: r["caption"] for r in c.chunks.where("chunk_type = 'drawing'").collect()}
+    assert got == {1: "picture roof@90@150", 2: "picture gate@0@150", 4: "picture gate@0@150", 5: ""}
+    assert c.new_captions.count() == 2 and calls.value == 2
+    assert plans.search(c, spark.createDataFrame([(1, "picture gate")], "query_id int, text string")).where("rank <= 2").select("page").distinct().count() == 2
+    cached = spark.createDataFrame(c.new_captions.collect(), "key string, payload binary")
+    again = plans.ingest(pages, slots=slots, images=images, captions=cached, model="m", profile="contract")
+    assert {r["page"]: r["caption"] for r in again.chunks.where("chunk_type = 'drawing'").collect()} == got and calls.value == 2
+    plans.ingest(pages, slots=slots, images=images, captions=cached, model="other", profile="contract")
+    assert calls.value == 4
+
+
+def test_search_warns_of_a_lost_index(spark):
+    c = plans.ingest(as_pages(spark.createDataFrame([("a", 1, "The roof is of steel. It is high.", 0)], "file string, page int, text string, rotation int")))
+    asked = spark.createDataFrame([(1, "roof")], "query_id int, text string")
+    import warnings
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        plans.check_index(c)
+    lost = plans.Collection(c.chunks, c.vectors, plans.bm25.build(c.chunks.limit(0).select("chunk_id", "ord", "text")), c.edges)
+    with pytest.warns(UserWarning, match="by vectors alone"):
+        assert plans.search(lost, asked).count() == 1
+
+
+def test_redaction_is_refused(spark):
+    from ferrule.operators import redaction
+
+    docs = spark.createDataFrame([(1, "Acme builds"), (2, "see <ORG_1> of Acme"), (3, "see <ORG_9>")], "doc_id int, text string")
+    spans = redaction.entities(docs, redaction.Dictionary({"ORG": ("Acme",)}))
+    with pytest.raises(ValueError, match="text 2 already holds the placeholder <ORG_1>"):
+        redaction.redact(docs, spans, redaction.mapping(spans))
+    fine = docs.where("doc_id <> 2")
+    spans = redaction.entities(fine, redaction.Dictionary({"ORG": ("Acme",)}))
+    assert {r["redacted_text"] for r in redaction.redact(fine, spans, redaction.mapping(spans)).collect()} == {"<ORG_1> builds", "see <ORG_9>"}
