@@ -5,7 +5,7 @@ from __future__ import annotations
 import warnings
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ferrule.config import CONTRACT_STRUCTURE, Structure
@@ -13,6 +13,7 @@ from ferrule.functions.text import indexable, preview
 from ferrule.operators import bm25, citations, evaluation, fusion, graph, vector
 from ferrule.operators.chunking import chunk_pages
 from ferrule.plans.slots import Slots, captioned
+from ferrule.sources.page_files import read_page_files
 from ferrule.sources.scratch import materialise
 
 #: Fixed values.
@@ -46,6 +47,12 @@ def ingest(pages: DataFrame, structure: Structure = CONTRACT_STRUCTURE, slots: S
     return replace(collect(chunks, slots), new_captions=new)
 
 
+def ingest_path(spark: SparkSession, path: str, structure: Structure = CONTRACT_STRUCTURE, slots: Slots = Slots()) -> Collection:  # noqa: B008
+    """Files to a collection: pages as ``slots.parse`` finds them, or as the library's own data source does."""
+    parse = slots.parse or read_page_files
+    return ingest(parse(spark, path), structure, slots)
+
+
 def collect(chunks: DataFrame, slots: Slots = Slots()) -> Collection:  # noqa: B008
     """A collection of chunks; chunks that come again replace their content."""
     rows = chunks.withColumn("chunk_id", F.col("id"))
