@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +19,8 @@ from ferrule.sources.scratch import materialise
 PROPER_NOUN = r"[A-Z][A-Za-z0-9'’]*(?:(?:\.?[ \t]+|[ \t]*&[ \t]*|-)[A-Z][A-Za-z0-9'’]*)*"
 DIGITS = r"\d+(?:[,.\- ]\d+)*"
 PLACEHOLDER = r"<[A-Z][A-Z0-9_]*_\d+>"
+#: Literals to an automaton: some 100 MB in a worker.
+MOST_LITERALS = 200_000
 _TYPE = re.compile("[A-Z][A-Z0-9_]*")
 _SPANS = "array<struct<start:int,stop:int,type:string>>"
 
@@ -37,8 +43,18 @@ class Dictionary:
                 except re.error:
                     raise ValueError(f"pattern {i} of {kind} does not compile") from None  # the pattern itself may be secret
 
+    def of(self, literals: list[tuple[str, str]], patterns: bool) -> Dictionary:
+        """With these literals alone, and the patterns or none."""
+        kinds: dict[str, list[str]] = {}
+        for kind, x in literals:
+            kinds.setdefault(kind, []).append(x)
+        return Dictionary({k: tuple(v) for k, v in kinds.items()}, self.patterns if patterns else {})
+
+    def literals(self) -> list[tuple[str, str]]:
+        return [(kind, x) for kind, xs in self.entities.items() for x in xs]
+
     def rules(self, strict: bool) -> list[tuple[str, str]]:
-        out = [(kind, re.escape(x)) for kind, xs in self.entities.items() for x in xs] + [(kind, p) for kind, ps in self.patterns.items() for p in ps]
+        out = [(kind, p) for kind, ps in self.patterns.items() for p in ps]
         return [*out, ("PN", PROPER_NOUN), ("NUM", DIGITS)] if strict else out
 
 
@@ -54,32 +70,74 @@ def load_dictionary(path: str) -> Dictionary:
     return Dictionary(each("entities"), each("patterns"))
 
 
-def candidates(docs: DataFrame, dictionary: Dictionary, strict: bool = False) -> DataFrame:
-    """``docs`` with ``_spans``: all matches with their offsets (which SQL's regular expressions do not tell; hence Arrow batches)."""
-    rules = dictionary.rules(strict)
+def _literals(found: ahocorasick.Automaton | None, text: str) -> list[tuple[int, int, str]]:
+    """All literals of an automaton in a text; those of one literal do not overlap."""
+    out, last = [], {}
+    for end, (size, kinds) in found.iter(text) if found else ():
+        start = end + 1 - size
+        if start >= last.get(text[start : end + 1], 0):
+            last[text[start : end + 1]] = end + 1
+            out += [(start, end + 1, kind) for kind in kinds]
+    return out
+
 
-    def find(texts: pd.Series) -> pd.Series:
+def resolved(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Spans that do not overlap, in order: longer ones first, then earlier ones, then by type.
+
+    What is kept stands sorted, so that a span meets its two neighbours only.
+    """
+    starts: list[int] = []
+    kept: list[tuple[int, int, str]] = []
+    for s in sorted(spans, key=lambda s: (s[0] - s[1], s[0], s[2])):
+        i = bisect_left(starts, s[0])
+        if (i == 0 or kept[i - 1][1] <= s[0]) and (i == len(kept) or s[1] <= kept[i][0]):
+            starts.insert(i, s[0])
+            kept.insert(i, s)
+    return kept
+
+
+def _automaton(literals: list[tuple[str, str]]) -> ahocorasick.Automaton | None:
+    kinds: dict[str, list[str]] = {}
+    for kind, x in literals:
+        if x:
+            kinds.setdefault(x, []).append(kind)
+    if not kinds:
+        return None
+    out = ahocorasick.Automaton()
+    for x, ks in kinds.items():
+        out.add_word(x, (len(x), tuple(ks)))
+    out.make_automaton()
+    return out
+
+
+def candidates(docs: DataFrame, dictionary: Dictionary, strict: bool = False, settle: bool = False) -> DataFrame:
+    """``docs`` with ``_spans``: all matches with their offsets, or, to ``settle``, those that do not overlap.
+
+    Literals are found by one automaton, patterns by regular expressions, in Arrow
+    batches (SQL's regular expressions do not tell offsets).
+    """
+    literals, rules = dictionary.literals(), dictionary.rules(strict)
+    sent = docs.sparkSession.sparkContext.broadcast(literals)
+
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automaton = _automaton(sent.value)
         compiled = [(kind, re.compile(p)) for kind, p in rules]
 
-        def spans(text: str | None) -> list[tuple]:
-            found = [(m.start(), m.end(), kind) for kind, p in compiled for m in p.finditer(text or "") if m.end() > m.start()]
-            return [s for s in found if s[2] != "NUM" or sum(map(str.isdigit, text[s[0] : s[1]])) >= 2]
+        def spans(text: str | None) -> list[dict]:
+            text = text or ""
+            found = [(m.start(), m.end(), kind) for kind, p in compiled for m in p.finditer(text) if m.end() > m.start()]
+            found = [s for s in found if s[2] != "NUM" or sum(map(str.isdigit, text[s[0] : s[1]])) >= 2] + _literals(automaton, text)
+            return [{"start": a, "stop": b, "type": k} for a, b, k in (resolved(found) if settle else found)]
 
-        return pd.Series([[{"start": a, "stop": b, "type": k} for a, b, k in spans(t)] for t in texts])
+        for texts in batches:
+            yield pd.Series([spans(t) for t in texts])
 
-    find.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    find.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return docs.withColumn("_spans", F.pandas_udf(find, _SPANS)(F.col("text")))
 
 
-def resolved(spans: Column) -> Column:
-    """Spans that do not overlap, in order: longer ones first, then earlier ones, then by type."""
-    length = lambda s: s["stop"] - s["start"]
-    keyed = F.array_sort(F.transform(spans, lambda s: F.struct((-length(s)).alias("n"), s["start"].alias("start"), s["type"].alias("type"), s["stop"].alias("stop"))))
-    apart = lambda kept, s: ~F.exists(kept, lambda k: (s["start"] < k["stop"]) & (k["start"] < s["stop"]))
-    none = F.array().cast(_SPANS)
-    plain = lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["type"].alias("type"))
-    kept = F.aggregate(keyed, none, lambda acc, s: F.when(apart(acc, s), F.concat(acc, F.array(plain(s)))).otherwise(acc))
-    return F.array_sort(kept)
+def _settled(spans: pd.Series) -> pd.Series:
+    return pd.Series([[{"start": a, "stop": b, "type": k} for a, b, k in resolved([(s["start"], s["stop"], s["type"]) for s in row])] for row in spans])
 
 
 def numbered(rows: DataFrame, group: str, order: list[str], name: str = "idx") -> DataFrame:
@@ -98,9 +156,22 @@ def numbered(rows: DataFrame, group: str, order: list[str], name: str = "idx") -
 
 
 def entities(docs: DataFrame, dictionary: Dictionary, strict: bool = False) -> DataFrame:
-    """``doc_id, pos, start, stop, type, entity``: one row a span that is replaced."""
-    found = candidates(docs.select("doc_id", "text"), dictionary, strict)
-    rows = found.select("doc_id", "text", F.posexplode(resolved(F.col("_spans"))).alias("pos", "s"))
+    """``doc_id, pos, start, stop, type, entity``: one row a span that is replaced.
+
+    At most ``MOST_LITERALS`` literals make up an automaton.  A larger dictionary goes over
+    the texts in several passes, each stored, whose spans are settled together.
+    """
+    narrow, literals = docs.select("doc_id", "text"), dictionary.literals()
+    if len(literals) <= MOST_LITERALS:
+        found = candidates(narrow, dictionary, strict, settle=True)
+    else:
+        blocks = [literals[i : i + MOST_LITERALS] for i in range(0, len(literals), MOST_LITERALS)]
+        passes = [candidates(narrow, dictionary.of(block, i == 0), strict and i == 0).select("doc_id", "_spans") for i, block in enumerate(blocks)]
+        parts = reduce(DataFrame.unionAll, [materialise(p.where(F.size("_spans") > 0), "spans") for p in passes])
+        settled = F.pandas_udf(_settled, _SPANS)
+        whole = parts.groupBy("doc_id").agg(F.flatten(F.collect_list("_spans")).alias("_all")).select("doc_id", settled("_all").alias("_spans"))
+        found = narrow.join(whole, "doc_id")
+    rows = found.select("doc_id", "text", F.posexplode("_spans").alias("pos", "s"))
     entity = F.substr("text", F.col("s.start") + 1, F.col("s.stop") - F.col("s.start"))
     return rows.select("doc_id", "pos", "s.start", "s.stop", F.col("s.type").alias("type"), entity.alias("entity"))
 

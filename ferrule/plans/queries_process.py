@@ -200,6 +200,15 @@ def red_counts(spark, d):
     return spans(spark, d).groupBy("doc_id").agg(F.count("*").cast("int").alias("n"))
 
 
+@query("red_offsets", """WITH c AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS start, substr(text, i, 3) = 'The' AS whole, substr(text, i, 1) AS letter FROM documents, UNNEST(range(1, length(text) + 1)) u(i)),
+s AS (SELECT doc_id, start, CASE WHEN whole THEN start + 3 ELSE start + 1 END AS stop, CASE WHEN whole THEN 'ORG' ELSE 'LETTER' END AS type, CASE WHEN whole THEN 'The' ELSE letter END AS entity FROM c WHERE whole OR regexp_full_match(letter, '[A-Z]'))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS INTEGER) AS pos, start, CAST(stop AS INTEGER) AS stop, type, entity FROM s""")
+def red_offsets(spark, d):
+    """Where literals are, of which some lie within others."""
+    letters = tuple(chr(c) for c in range(ord("A"), ord("Z") + 1))
+    return redaction.entities(table(spark, d, "documents"), redaction.Dictionary({"LETTER": letters, "ORG": ("The",)})).select("doc_id", "pos", "start", "stop", "type", "entity")
+
+
 @query("red_strict")
 def red_strict(spark, d):
     return spans(spark, d, True).select("doc_id", "start", "stop", "type", "entity")
