@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -150,6 +152,16 @@ SHORT = 12
 COMMON = (24, 6)
 
 
+def versions(templates: list[tuple[str, str]] = TEMPLATES) -> list[tuple[str, str, int]]:
+    """``template, term, times``: the numbers of short templates, which are versions for the most part."""
+    out = []
+    for i, (name, text) in enumerate(templates):
+        terms = re.findall(r"[a-z0-9]+", text.lower())
+        if len(set(terms)) <= SHORT:
+            out += [(f"{i:03d}|{name}", t, terms.count(t)) for t in sorted(set(terms)) if t.isdigit()]
+    return out
+
+
 def model(templates: list[tuple[str, str]] = TEMPLATES) -> tuple[dict[str, float], list[tuple[str, str, float]], float]:
     """Inverse document frequencies; unit weights ``template, term, weight``; the frequency of unknown terms.
 
@@ -228,6 +240,9 @@ def candidate_units(text: Column, idf: dict[str, float], weights: list[tuple[str
 def license_scan(files: DataFrame, least_cosine: float = LEAST_COSINE) -> DataFrame:
     """``doc_id, path, license, how, cosine`` for each row of ``files`` (``doc_id, path, text``).
 
+    A version is never matched approximately: a unit has all numbers of a template
+    of at most ``SHORT`` terms, each as often as the template does.
+
     ``how`` is ``line``, ``paragraph`` or ``file`` for a license found in the file itself
     (by the unit with the highest cosine; of equal ones versions come before a
     mere family, lines before paragraphs, then the first of these, then the first template), ``directory`` for an inherited one, null without any.  A directory's license is that of
@@ -242,7 +257,10 @@ def license_scan(files: DataFrame, least_cosine: float = LEAST_COSINE) -> DataFr
     """
     spark = files.sparkSession
     idf, weights, unknown = model()
-    weight = F.broadcast(spark.createDataFrame(weights, "template string, term string, weight double"))
+    times = {(template, term): n for template, term, n in versions()}
+    numbers = Counter(template for template, _ in times)
+    rows = [(*w, times.get(w[:2], 0), numbers[w[0]]) for w in weights]
+    weight = F.broadcast(spark.createDataFrame(rows, "template string, term string, weight double, times int, numbers int"))
     rarity = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
     files = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("path").cast("string").alias("path"), "text")
     keys = ["doc_id", "path"]
@@ -255,7 +273,9 @@ def license_scan(files: DataFrame, least_cosine: float = LEAST_COSINE) -> DataFr
     counted = counted.withColumn("v", F.coalesce("idf", F.lit(unknown)))
     counted = materialise(counted, "license-terms")  # few lines are left, and both sums below read them
     norms = counted.groupBy(*keys, "kind", "line").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"), F.sum("tf").alias("size"), F.max("n_words").alias("n_words"))
-    dots = counted.where("idf IS NOT NULL").join(weight, "term").groupBy(*keys, "kind", "line", "template").agg(F.sum(F.col("v") * F.col("weight")).alias("dot"))
+    dots = counted.where("idf IS NOT NULL").join(weight, "term").groupBy(*keys, "kind", "line", "template").agg(
+        F.sum(F.col("v") * F.col("weight")).alias("dot"), F.max("numbers").alias("numbers"), F.count_if((F.col("times") > 0) & (F.col("tf") >= F.col("times"))).alias("found")
+    ).where("found = numbers")
     same = lambda a, b: [a[k].eqNullSafe(b[k]) for k in (*keys, "kind", "line")]
     scored = dots.join(norms, same(dots, norms)).select(*(dots[k] for k in (*keys, "kind", "line")), "template", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine"), "size", "n_words")
     matched = materialise(scored.where(F.col("cosine") >= least_cosine), "license-lines")
@@ -303,6 +323,8 @@ def _sql() -> str:
     return rf"""
 WITH weights(template, term, weight) AS (VALUES {values(weights)}),
 idfs(term, idf) AS (VALUES {values(sorted(idf.items()))}),
+versions(template, term, times) AS (VALUES {', '.join(f"('{t}', '{w}', {n})" for t, w, n in versions())}),
+numbers AS (SELECT template, count(*) AS numbers FROM versions GROUP BY template),
 files AS (SELECT doc_id, concat_ws('/', source, CAST(doc_id // 4000 AS VARCHAR), CAST(doc_id // 400 AS VARCHAR), CASE WHEN doc_id // 20 % 20 = 0 THEN 'LICENSE' ELSE doc_id || '.txt' END) AS path,
   text, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS n_words FROM documents),
 parts AS (SELECT doc_id, path, text, string_split(text, chr(10)) AS ls, regexp_split_to_array(text, '{PARAGRAPH}') AS ps FROM files),
@@ -312,7 +334,9 @@ terms AS (SELECT doc_id, path, kind, line, unnest(regexp_split_to_array(lower(t)
 tfs AS (SELECT doc_id, path, kind, line, term, count(*) AS tf FROM terms WHERE term <> '' GROUP BY ALL),
 counted AS (SELECT doc_id, path, kind, line, term, tf, coalesce(idf, CAST({unknown!r} AS DOUBLE)) AS v FROM tfs LEFT JOIN idfs USING (term)),
 norms AS (SELECT doc_id, path, kind, line, sqrt(sum(v * v)) AS norm, sum(tf) AS size FROM counted GROUP BY ALL),
-dots AS (SELECT doc_id, path, kind, line, template, sum(v * weight) AS dot FROM counted JOIN weights USING (term) GROUP BY doc_id, path, kind, line, template),
+dots AS (SELECT doc_id, path, kind, line, template, sum(v * weight) AS dot FROM (
+  SELECT c.*, w.template, w.weight, coalesce(tf >= times, FALSE) AS has FROM counted c JOIN weights w USING (term) LEFT JOIN versions s ON s.template = w.template AND s.term = w.term)
+  LEFT JOIN numbers USING (template) GROUP BY doc_id, path, kind, line, template, numbers HAVING count(*) FILTER (has) = coalesce(numbers, 0)),
 matched AS (SELECT doc_id, path, kind, line, template, size, round(dot / norm, 6) AS cosine FROM dots JOIN norms USING (doc_id, path, kind, line) WHERE round(dot / norm, 6) >= {LEAST_COSINE}),
 own AS (SELECT doc_id, path, string_split(template, '|')[2] AS own, ['line', 'paragraph', 'file'][kind + 1] AS kind, cosine FROM matched QUALIFY row_number() OVER (PARTITION BY doc_id, path ORDER BY cosine DESC, string_split(template, '|')[2] IN ({', '.join(repr(f) for f, _, _ in _FAMILIES)}), matched.kind, line, template) = 1),
 sizes AS (SELECT doc_id, path, max(size) AS license_words FROM (SELECT doc_id, path, kind, sum(size) AS size FROM (SELECT DISTINCT doc_id, path, kind, line, size FROM matched) GROUP BY ALL) GROUP BY doc_id, path),

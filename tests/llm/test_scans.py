@@ -343,3 +343,11 @@ def test_bound_loses_no_line(spark):
     kept = {r["line"] for r in df.select(F.inline(license_scan.candidate_units(F.col("text"), idf, weights, unknown, license_scan.LEAST_COSINE))).collect() if r["kind"] == 0}
     good = {i for i, x in enumerate(lines) if cosine(x) >= license_scan.LEAST_COSINE}
     assert good <= kept and len(good) > 100
+
+
+def test_versions_are_exact(spark):
+    """A line that names another version than a template's is not its license."""
+    lines = ["SPDX-License-Identifier: EUPL-1.1", "SPDX-License-Identifier: EUPL-1.2", "SPDX-License-Identifier: Apache-1.0", "SPDX-License-Identifier: Apache-1.1", "Licensed under CC BY 2.0.", "Licensed under CC BY 4.0.", "Licensed under the Apache License, Version 2.0."]
+    df = spark.createDataFrame([(i, f"{i}/x.txt", t) for i, t in enumerate(lines)], "doc_id long, path string, text string")
+    got = {r["doc_id"]: r["license"] for r in license_scan.license_scan(df).collect()}
+    assert got == {0: None, 1: "EUPL-1.2", 2: None, 3: "Apache-1.1", 4: None, 5: "CC-BY-4.0", 6: "Apache-2.0"}
