@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
 import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ DIGITS = r"\d+(?:[,.\- ]\d+)*"
 PLACEHOLDER = r"<[A-Z][A-Z0-9_]*_\d+>"
 #: Literals to an automaton: some 100 MB in a worker.
 MOST_LITERALS = 200_000
+#: Spans that leave a task at a time, about.
+ROWS = 20_000
 _TYPE = re.compile("[A-Z][A-Z0-9_]*")
 _SPANS = "array<struct<start:int,stop:int,type:string>>"
 
@@ -110,30 +113,47 @@ def _automaton(literals: list[tuple[str, str]]) -> ahocorasick.Automaton | None:
     return out
 
 
-def candidates(docs: DataFrame, dictionary: Dictionary, strict: bool = False, settle: bool = False) -> DataFrame:
-    """``docs`` with ``_spans``: all matches with their offsets, or, to ``settle``, those that do not overlap.
+def _finder(literals: list[tuple[str, str]], rules: list[tuple[str, str]]) -> Callable[[str | None], list[tuple[int, int, str]]]:
+    """All matches in a text with their offsets: literals by one automaton, patterns by regular expressions."""
+    automaton, compiled = _automaton(literals), [(kind, re.compile(p)) for kind, p in rules]
 
-    Literals are found by one automaton, patterns by regular expressions, in Arrow
-    batches (SQL's regular expressions do not tell offsets).
+    def find(text: str | None) -> list[tuple[int, int, str]]:
+        text = text or ""
+        found = [(m.start(), m.end(), kind) for kind, p in compiled for m in p.finditer(text) if m.end() > m.start()]
+        return [s for s in found if s[2] != "NUM" or sum(map(str.isdigit, text[s[0] : s[1]])) >= 2] + _literals(automaton, text)
+
+    return find
+
+
+def _found(docs: DataFrame, dictionary: Dictionary, strict: bool, settle: bool) -> DataFrame:
+    """``doc_id, pos, start, stop, type, entity`` of ``docs`` (``doc_id, text``): all matches, or those that are left when overlaps are settled.
+
+    Arrow batches, as SQL's regular expressions do not tell offsets; rows leave a
+    task in batches of some ``ROWS``, and no text goes with them.
     """
-    literals, rules = dictionary.literals(), dictionary.rules(strict)
-    sent = docs.sparkSession.sparkContext.broadcast(literals)
+    sent, rules = docs.sparkSession.sparkContext.broadcast(dictionary.literals()), dictionary.rules(strict)
+    kind = docs.schema["doc_id"].dataType
 
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        automaton = _automaton(sent.value)
-        compiled = [(kind, re.compile(p)) for kind, p in rules]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = _finder(sent.value, rules)
 
-        def spans(text: str | None) -> list[dict]:
-            text = text or ""
-            found = [(m.start(), m.end(), kind) for kind, p in compiled for m in p.finditer(text) if m.end() > m.start()]
-            found = [s for s in found if s[2] != "NUM" or sum(map(str.isdigit, text[s[0] : s[1]])) >= 2] + _literals(automaton, text)
-            return [{"start": a, "stop": b, "type": k} for a, b, k in (resolved(found) if settle else found)]
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "pos", "start", "stop", "type", "entity"])
 
-        for texts in batches:
-            yield pd.Series([spans(t) for t in texts])
+        for incoming in batches:
+            types, rows = [incoming.schema.field("doc_id").type, pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()], []
+            for i in range(incoming.num_rows):
+                doc, text = incoming.column("doc_id")[i].as_py(), incoming.column("text")[i].as_py()
+                spans = find(text)
+                rows += [(doc, n, *s, text[s[0] : s[1]]) for n, s in enumerate(resolved(spans) if settle else spans)]
+                if len(rows) >= ROWS:
+                    yield batch(rows)
+                    rows = []
+            if rows:
+                yield batch(rows)
 
-    find.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.withColumn("_spans", F.pandas_udf(find, _SPANS)(F.col("text")))
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, pos int, start int, stop int, type string, entity string")
 
 
 def _settled(spans: pd.Series) -> pd.Series:
@@ -163,15 +183,11 @@ def entities(docs: DataFrame, dictionary: Dictionary, strict: bool = False) -> D
     """
     narrow, literals = docs.select("doc_id", "text"), dictionary.literals()
     if len(literals) <= MOST_LITERALS:
-        found = candidates(narrow, dictionary, strict, settle=True)
-    else:
-        blocks = [literals[i : i + MOST_LITERALS] for i in range(0, len(literals), MOST_LITERALS)]
-        passes = [candidates(narrow, dictionary.of(block, i == 0), strict and i == 0).select("doc_id", "_spans") for i, block in enumerate(blocks)]
-        parts = reduce(DataFrame.unionAll, [materialise(p.where(F.size("_spans") > 0), "spans") for p in passes])
-        settled = F.pandas_udf(_settled, _SPANS)
-        whole = parts.groupBy("doc_id").agg(F.flatten(F.collect_list("_spans")).alias("_all")).select("doc_id", settled("_all").alias("_spans"))
-        found = narrow.join(whole, "doc_id")
-    rows = found.select("doc_id", "text", F.posexplode("_spans").alias("pos", "s"))
+        return _found(narrow, dictionary, strict, settle=True)
+    blocks = [literals[i : i + MOST_LITERALS] for i in range(0, len(literals), MOST_LITERALS)]
+    passes = [materialise(_found(narrow, dictionary.of(block, i == 0), strict and i == 0, settle=False), "spans") for i, block in enumerate(blocks)]
+    spans = reduce(DataFrame.unionAll, passes).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop", "type")).alias("_all"))
+    rows = narrow.join(spans.select("doc_id", F.pandas_udf(_settled, _SPANS)("_all").alias("_spans")), "doc_id").select("doc_id", "text", F.posexplode("_spans").alias("pos", "s"))
     entity = F.substr("text", F.col("s.start") + 1, F.col("s.stop") - F.col("s.start"))
     return rows.select("doc_id", "pos", "s.start", "s.stop", F.col("s.type").alias("type"), entity.alias("entity"))
 
