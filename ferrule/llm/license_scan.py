@@ -148,15 +148,20 @@ non-commercial, and by any means."""),
 
 #: A template of more distinct terms than this is found by how many of them a unit has.
 SHORT = 12
-#: Terms in so many templates or more are bounded by the weight of those in so many.
-COMMON = (24, 6)
+#: Upper bounds of a term's weight in any template are rounded up to multiples of this.
+STEP = 0.05
+
+
+def words_of(text: str) -> list[str]:
+    """A text's terms; ``+`` after a version means that version or later."""
+    return re.findall(r"[a-z0-9]+", re.sub(r"([0-9])\+", r"\1 or later", text.lower()))
 
 
 def versions(templates: list[tuple[str, str]] = TEMPLATES) -> list[tuple[str, str, int]]:
     """``template, term, times``: the numbers of short templates, which are versions for the most part."""
     out = []
     for i, (name, text) in enumerate(templates):
-        terms = re.findall(r"[a-z0-9]+", text.lower())
+        terms = words_of(text)
         if len(set(terms)) <= SHORT:
             out += [(f"{i:03d}|{name}", t, terms.count(t)) for t in sorted(set(terms)) if t.isdigit()]
     return out
@@ -165,40 +170,53 @@ def versions(templates: list[tuple[str, str]] = TEMPLATES) -> list[tuple[str, st
 def model(templates: list[tuple[str, str]] = TEMPLATES) -> tuple[dict[str, float], list[tuple[str, str, float]], float]:
     """Inverse document frequencies; unit weights ``template, term, weight``; the frequency of unknown terms.
 
-    A term counts once, however often a text has it: common words of a long text
-    weigh no more than in a header.
+    A term's weight in a text is its count times its inverse document frequency.
     """
-    terms = [re.findall(r"[a-z0-9]+", text.lower()) for _, text in templates]
-    df = {t: sum(t in x for x in terms) for x in terms for t in x}
+    terms = [words_of(text) for _, text in templates]
+    df = Counter(t for x in terms for t in set(x))
     n = len(templates)
     idf = {t: math.log((1 + n) / (1 + k)) + 1 for t, k in df.items()}
     weights = []
     for i, ((name, _), words) in enumerate(zip(templates, terms, strict=True)):
-        raw = {t: idf[t] for t in words}
+        raw = {t: k * idf[t] for t, k in Counter(words).items()}
         norm = math.sqrt(sum(v * v for v in raw.values()))
         weights += [(f"{i:03d}|{name}", t, v / norm) for t, v in sorted(raw.items())]
     return idf, weights, math.log(1 + n) + 1
 
 
+def _by_level(term: Column, levels: dict[float, list[str]]) -> Column:
+    """The level whose terms hold ``term``, the commonest levels asked first; null for others."""
+    out = None
+    for level, terms in sorted(levels.items(), key=lambda x: -len(x[1])):
+        out = F.when(term.isin(terms), F.lit(level)) if out is None else out.when(term.isin(terms), F.lit(level))
+    return out
+
+
 def candidate_units(text: Column, idf: dict[str, float], weights: list[tuple[str, str, float]], unknown: float, least_cosine: float) -> Column:
-    """``kind, line, words`` of the units of a text that leave room for the cosine: the others cannot reach it.
+    """``kind, line, size, norm, known`` of the units of a text that leave room for the cosine: the others cannot reach it.
 
     Units are the lines (kind 0), the paragraphs of several lines (1), and the
-    whole text if it has several paragraphs (2).  A cosine is at most the norm of
-    the template's weights on the unit's own terms, so that a unit has one of the
-    template's heaviest terms, whose rest would fall short, and for a template of
-    many terms so many as make up that norm.  And it is at most the share that
-    known terms have of the unit's norm; these are bounded by how many of them
-    are in as many templates as ``COMMON`` says.
+    whole text if it has several paragraphs (2); ``known`` holds their ``term, tf,
+    v`` that templates have, and ``norm`` is that of all their terms.
+
+    A cosine is at most the norm of the template's weights on the unit's own
+    terms, so that a unit has one of the template's heaviest terms, whose rest
+    would fall short, and for a template of many terms so many as make up that
+    norm.  Of the units left, terms are counted within the row, as runs of their
+    sorted words.  Then a cosine is at most the share that known terms have of the
+    unit's norm, and at most what it would be if each term had the largest weight
+    that it has in any template: long texts, whose counts are mostly those of
+    common words, fall short of that.
 
     Each step hands its result to the next one's lambda, so that nothing is
     worked out twice.
     """
-    most, least = least_cosine**2 * (1 + 1e-9), least_cosine**2 * (1 - 1e-9)
-    n_templates = len({template for template, _, _ in weights})
+    least = least_cosine**2 * (1 - 1e-9)
     templates: dict[str, list[tuple[float, str]]] = {}
+    heaviest: dict[str, float] = {}
     for template, term, w in weights:
         templates.setdefault(template, []).append((w * w, term))
+        heaviest[term] = max(heaviest.get(term, 0.0), w)
     cues: set[str] = set()
     fewest = {True: 10**9, False: 10**9}
     for terms in templates.values():
@@ -208,33 +226,49 @@ def candidate_units(text: Column, idf: dict[str, float], weights: list[tuple[str
         fewest[short] = min(fewest[short], next(k for k, c in enumerate(covered) if c >= least))
         if short:
             cues |= {t for _, t in terms[: next(k for k, c in enumerate(covered) if covered[-1] - c < least)]}
+    rarities: dict[float, list[str]] = {}
+    bounds: dict[float, list[str]] = {}
+    for t, f in sorted(idf.items()):
+        rarities.setdefault(f, []).append(t)
+        bounds.setdefault(math.ceil(heaviest[t] / STEP) * STEP, []).append(t)
+    name = lambda x, **more: F.struct(x["kind"].alias("kind"), x["line"].alias("line"), *(c.alias(k) for k, c in more.items()))
 
     def units(kind: int, parts: Column) -> Column:
-        return F.transform(parts, lambda t, i: F.struct(F.lit(kind).alias("kind"), i.alias("line"), F.array_remove(F.split(F.lower(t), "[^a-z0-9]+"), "").alias("words")))
+        spelled = lambda t: F.regexp_replace(F.lower(t), r"([0-9])\+", "$1 or later")
+        return F.transform(parts, lambda t, i: F.struct(F.lit(kind).alias("kind"), i.alias("line"), F.array_remove(F.split(spelled(t), "[^a-z0-9]+"), "").alias("words")))
 
     paragraphs = F.split(text, PARAGRAPH)
     several = F.when(F.size(paragraphs) > 1, F.array(text)).otherwise(F.array().cast("array<string>"))
     split = F.concat(units(0, F.split(text, "\n")), units(1, F.filter(paragraphs, lambda p: F.contains(p, F.lit("\n")))), units(2, several))
-    keep = lambda x, *more: F.struct(x["kind"].alias("kind"), x["line"].alias("line"), x["words"].alias("words"), *more)
-    distinct = F.transform(split, lambda x: keep(x, F.array_distinct(x["words"]).alias("all")))
-    known = F.transform(distinct, lambda x: keep(x, F.size(x["all"]).alias("n"), F.filter(x["all"], lambda w: w.isin(sorted(idf))).alias("d")))
-    levels = [math.log((1 + n_templates) / (1 + df)) + 1 for df in (*COMMON, 1)]
-    classes = [sorted(t for t, f in idf.items() if f <= level + 1e-12) for level in levels[:-1]]
+    known = F.transform(split, lambda x: name(x, words=x["words"], d=F.array_distinct(F.filter(x["words"], lambda w: w.isin(sorted(idf))))))
+
+    def enough(x: Column) -> Column:
+        k = F.size(x["d"])
+        return (k >= fewest[False]) | ((k >= fewest[True]) & F.exists(x["d"], lambda t: t.isin(sorted(cues))))
+
+    ordered = F.transform(F.filter(known, enough), lambda x: name(x, words=F.sort_array(x["words"])))
+
+    def ends(x: Column) -> Column:
+        last = F.size(x["words"]) - 1
+        return F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (F.get(x["words"], i) != F.get(x["words"], i + 1)))
 
-    def among(terms: list[str]):
-        return lambda t: t.isin(terms)
+    def runs(x: Column) -> Column:
+        return F.transform(x["ends"], lambda e, i: F.struct(F.get(x["words"], e).alias("term"), (e - F.coalesce(F.get(x["ends"], i - 1), F.lit(-1))).cast("double").alias("tf")))
+
+    def weighed(r: Column) -> Column:
+        rarity = F.when(r["term"].isin(sorted(idf)), _by_level(r["term"], rarities))
+        return F.struct(r["term"].alias("term"), r["tf"].alias("tf"), (r["tf"] * F.coalesce(rarity, F.lit(unknown))).alias("v"), rarity.isNotNull().alias("known"))
+
+    total = lambda a, f: F.aggregate(a, F.lit(0.0), lambda s, r: s + f(r))
+    ended = F.transform(ordered, lambda x: name(x, words=x["words"], ends=ends(x)))
+    counted = F.transform(ended, lambda x: name(x, size=F.size(x["words"]), runs=F.transform(runs(x), weighed)))
+    measured = F.transform(counted, lambda x: name(x, size=x["size"], square=total(x["runs"], lambda r: r["v"] * r["v"]), known=F.filter(x["runs"], lambda r: r["known"])))
 
     def room(x: Column) -> Column:
-        k = F.size(x["d"])
-        squares, before = F.lit(0.0), F.lit(0)
-        for level, terms in zip(levels, [*classes, None], strict=True):  # the most common terms first
-            upto = k if terms is None else F.size(F.filter(x["d"], among(terms)))
-            squares, before = squares + (upto - before) * level**2, upto
-        share = squares * (1 - least) * (1 + 1e-6) >= (x["n"] - k) * unknown**2 * most
-        enough = (k >= fewest[False]) | ((k >= fewest[True]) & F.exists(x["d"], lambda t: t.isin(sorted(cues))))
-        return enough & share
+        share = total(x["known"], lambda r: r["v"] * r["v"]) >= least * (1 - 1e-6) * x["square"]
+        return share & (total(x["known"], lambda r: r["v"] * _by_level(r["term"], bounds)) >= least_cosine * (1 - 1e-6) * F.sqrt(x["square"]))
 
-    return F.filter(known, room)
+    return F.transform(F.filter(measured, room), lambda x: name(x, size=x["size"].cast("double"), norm=F.sqrt(x["square"]), known=x["known"]))
 
 
 def license_scan(files: DataFrame, least_cosine: float = LEAST_COSINE) -> DataFrame:
@@ -261,28 +295,23 @@ def license_scan(files: DataFrame, least_cosine: float = LEAST_COSINE) -> DataFr
     numbers = Counter(template for template, _ in times)
     rows = [(*w, times.get(w[:2], 0), numbers[w[0]]) for w in weights]
     weight = F.broadcast(spark.createDataFrame(rows, "template string, term string, weight double, times int, numbers int"))
-    rarity = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
     files = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("path").cast("string").alias("path"), "text")
     keys = ["doc_id", "path"]
 
     n_words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
     near = files.select(*keys, n_words.alias("n_words"), F.explode(candidate_units(F.col("text"), idf, weights, unknown, least_cosine)).alias("x"))
-    lines = near.select(*keys, "n_words", "x.kind", "x.line", "x.words")
-    terms = lines.select(*keys, "kind", "line", "n_words", F.explode("words").alias("term"))
-    counted = terms.groupBy(*keys, "kind", "line", "term").agg(F.count("*").cast("double").alias("tf"), F.max("n_words").alias("n_words")).join(rarity, "term", "left")
-    counted = counted.withColumn("v", F.coalesce("idf", F.lit(unknown)))
-    counted = materialise(counted, "license-terms")  # few lines are left, and both sums below read them
-    norms = counted.groupBy(*keys, "kind", "line").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"), F.sum("tf").alias("size"), F.max("n_words").alias("n_words"))
-    dots = counted.where("idf IS NOT NULL").join(weight, "term").groupBy(*keys, "kind", "line", "template").agg(
+    unit = [*keys, "kind", "line", "of"]
+    lines = near.select(*keys, "n_words", "x.*", F.xxhash64("x.known").alias("of")).dropDuplicates(unit)  # rows that repeat a key
+    lines = lines.select(*unit, "n_words", "size", "norm", F.explode("known").alias("r")).select("*", "r.term", "r.tf", "r.v")
+    dots = lines.join(weight, "term").groupBy(*unit, "n_words", "size", "norm", "template").agg(
         F.sum(F.col("v") * F.col("weight")).alias("dot"), F.max("numbers").alias("numbers"), F.count_if((F.col("times") > 0) & (F.col("tf") >= F.col("times"))).alias("found")
     ).where("found = numbers")
-    same = lambda a, b: [a[k].eqNullSafe(b[k]) for k in (*keys, "kind", "line")]
-    scored = dots.join(norms, same(dots, norms)).select(*(dots[k] for k in (*keys, "kind", "line")), "template", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine"), "size", "n_words")
+    scored = dots.select(*unit, "template", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine"), "size", "n_words")
     matched = materialise(scored.where(F.col("cosine") >= least_cosine), "license-lines")
     family = F.substring_index("template", "|", -1).isin(*(f for f, _, _ in _FAMILIES))  # a license's name alone, without its version
     best = F.struct((-F.col("cosine")).alias("low"), family.alias("family"), F.col("kind"), F.col("line"), F.col("template"))
     own = matched.groupBy(*keys).agg(F.min(best).alias("best"), F.max("n_words").alias("n_words"))
-    sizes = matched.select(*keys, "kind", "line", "size").distinct().groupBy(*keys, "kind").agg(F.sum("size").alias("size"))
+    sizes = matched.select(*unit, "size").distinct().groupBy(*keys, "kind").agg(F.sum("size").alias("size"))
     sizes = sizes.groupBy(*keys).agg(F.max("size").alias("license_words"))  # units of several kinds overlap
 
     own = own.join(sizes, [own[k].eqNullSafe(sizes[k]) for k in keys]).select(
@@ -330,9 +359,9 @@ files AS (SELECT doc_id, concat_ws('/', source, CAST(doc_id // 4000 AS VARCHAR),
 parts AS (SELECT doc_id, path, text, string_split(text, chr(10)) AS ls, regexp_split_to_array(text, '{PARAGRAPH}') AS ps FROM files),
 units AS (SELECT doc_id, path, 0 AS kind, ls AS us FROM parts UNION ALL SELECT doc_id, path, 1, list_filter(ps, lambda p: contains(p, chr(10))) FROM parts UNION ALL SELECT doc_id, path, 2, [text] FROM parts WHERE len(ps) > 1),
 lines AS (SELECT doc_id, path, kind, i - 1 AS line, list_extract(us, i) AS t FROM units, UNNEST(range(1, len(us) + 1)) AS u(i)),
-terms AS (SELECT doc_id, path, kind, line, unnest(regexp_split_to_array(lower(t), '[^a-z0-9]+')) AS term FROM lines),
+terms AS (SELECT doc_id, path, kind, line, unnest(regexp_split_to_array(regexp_replace(lower(t), '([0-9])\+', '\1 or later', 'g'), '[^a-z0-9]+')) AS term FROM lines),
 tfs AS (SELECT doc_id, path, kind, line, term, count(*) AS tf FROM terms WHERE term <> '' GROUP BY ALL),
-counted AS (SELECT doc_id, path, kind, line, term, tf, coalesce(idf, CAST({unknown!r} AS DOUBLE)) AS v FROM tfs LEFT JOIN idfs USING (term)),
+counted AS (SELECT doc_id, path, kind, line, term, tf, tf * coalesce(idf, CAST({unknown!r} AS DOUBLE)) AS v FROM tfs LEFT JOIN idfs USING (term)),
 norms AS (SELECT doc_id, path, kind, line, sqrt(sum(v * v)) AS norm, sum(tf) AS size FROM counted GROUP BY ALL),
 dots AS (SELECT doc_id, path, kind, line, template, sum(v * weight) AS dot FROM (
   SELECT c.*, w.template, w.weight, coalesce(tf >= times, FALSE) AS has FROM counted c JOIN weights w USING (term) LEFT JOIN versions s ON s.template = w.template AND s.term = w.term)

@@ -326,14 +326,14 @@ def test_bound_loses_no_line(spark):
     by = defaultdict(dict)
     for template, term, w in weights:
         by[template][term] = w
-    lines = []
+    lines = [license_scan.words_of(text) + ["other"] * k for _, text in license_scan.TEMPLATES for k in range(3)]
     for template in by:
         for k in range(12):
             line = list(by[template]) * int(rng.integers(1, 3)) + [f"other{j}" for j in rng.integers(9, size=k // 3)] + [known[j] for j in rng.integers(len(known), size=k % 4)]
             lines.append([str(x) for x in rng.permutation(line)])
 
     def cosine(line):
-        v = {t: idf.get(t, unknown) for t in set(line)}
+        v = {t: line.count(t) * idf.get(t, unknown) for t in set(line)}
         norm = sum(x * x for x in v.values()) ** 0.5
         return max(sum(w * v.get(t, 0) for t, w in ws.items()) / norm for ws in by.values())
 
@@ -351,3 +351,28 @@ def test_versions_are_exact(spark):
     df = spark.createDataFrame([(i, f"{i}/x.txt", t) for i, t in enumerate(lines)], "doc_id long, path string, text string")
     got = {r["doc_id"]: r["license"] for r in license_scan.license_scan(df).collect()}
     assert got == {0: None, 1: "EUPL-1.2", 2: None, 3: "Apache-1.1", 4: None, 5: "CC-BY-4.0", 6: "Apache-2.0"}
+
+
+def test_terms_count_as_often_as_they_occur(spark):
+    """A common word repeated outweighs a license's name; a version "+" is that version or later."""
+    lines = ["the the the the the the the the mit license the the the the", "MIT License", "SPDX-License-Identifier: GPL-2.0+", "SPDX-License-Identifier: LGPL-2.1+"]
+    df = spark.createDataFrame([(i, f"{i}/x.txt", t) for i, t in enumerate(lines)], "doc_id long, path string, text string")
+    got = {r["doc_id"]: r["license"] for r in license_scan.license_scan(df).collect()}
+    assert got == {0: None, 1: "MIT", 2: "GPL-2.0-or-later", 3: "LGPL-2.1-or-later"}
+
+
+def test_units_are_counted_within_a_row(spark):
+    """Counts, norms and sizes of units equal those counted in Python."""
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    idf, weights, unknown = license_scan.model()
+    texts = [" ".join(["the"] * 3 + ["mit", "license", "zebra"]), "Released under the MIT License.", "mit license"]
+    df = spark.createDataFrame([("\n".join(texts),)], "text string")
+    rows = df.select(F.inline(license_scan.candidate_units(F.col("text"), idf, weights, unknown, 0.1))).collect()
+    got = {r["line"]: (r["size"], round(r["norm"], 9), {x["term"]: x["tf"] for x in r["known"]}) for r in rows if r["kind"] == 0}
+    for i, text in enumerate(texts):
+        c = Counter(license_scan.words_of(text))
+        norm = sum((k * idf.get(t, unknown)) ** 2 for t, k in c.items()) ** 0.5
+        assert got[i] == (c.total(), round(norm, 9), {t: k for t, k in c.items() if t in idf})
