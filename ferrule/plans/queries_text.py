@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.config import DOCUMENT
+from ferrule.functions import segmentation
 from ferrule.functions import text as T
 from ferrule.operators import chunking
 from ferrule.plans.registry import query
@@ -232,3 +233,13 @@ SELECT file, CAST(count(*) FILTER (NOT drawing) AS BIGINT) AS questions, CAST(co
 def counts(spark, d):
     chunks = chunking.chunk_pages(contract_pages(spark, d))
     return chunks.groupBy("file").agg(F.count_if(F.col("chunk_type") == "qa_pair").alias("questions"), F.count_if(F.col("chunk_type") == "drawing").alias("drawings"))
+
+
+@query("str_segments")
+def segments(spark, d):
+    """Benchmark texts without their blanks, cut again by the words of all documents and their counts."""
+    letters = r"\p{L}"
+    texts = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(rf"[{letters}]+"), F.lit(0))).alias("word"))
+    lexicon = segmentation.lexicon(texts.groupBy("word").agg(F.count("*").alias("n")))
+    glued = table(spark, d, "benchmark").select(F.replace("text", F.lit(" "), F.lit("")).alias("text"))
+    return segmentation.cuts(glued, lexicon, letters).select("run", F.array_join("words", " ").alias("words"))
