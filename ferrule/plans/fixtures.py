@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrule.sources.tables import table
@@ -16,3 +18,29 @@ def order_lines(spark, d: str) -> DataFrame:
 
 
 ORDER_LINES = f"li AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(_ORDER)}) AS INTEGER) AS n FROM lineitem)"
+
+
+#: Where the columns of a drawn table begin and the last one ends; where its rows begin; the height of its first and last row.
+DRAWN_COLUMNS, DRAWN_TOP, DRAWN_ROW = (4, 30, 60, 90), 4, 14
+
+
+def drawn_table(heights: list[int], wide: list[bool]) -> bytes:
+    """An image of a table: a head over all columns, a row of each height, and a foot; rows that are wide have no rule before their last column."""
+    xs, ys = DRAWN_COLUMNS, np.cumsum([DRAWN_TOP, DRAWN_ROW, *heights, DRAWN_ROW]).tolist()
+    page = np.full((ys[-1] + 6, xs[-1] + 6), 255, np.uint8)
+    for y in ys:
+        page[y : y + 2, xs[0] : xs[-1] + 2] = 0
+    for x in (xs[0], xs[-1]):
+        page[ys[0] : ys[-1] + 2, x : x + 2] = 0
+    for y1, y2, merged in zip(ys[1:-1], ys[2:], [*wide, False], strict=True):
+        for x in xs[1 : 2 if merged else 3]:
+            page[y1 : y2 + 2, x : x + 2] = 0
+    return b"P5\n%d %d\n255\n" % page.shape[::-1] + page.tobytes()
+
+
+def drawn(heights: Column, wide: Column) -> Column:
+    def run(heights: pd.Series, wide: pd.Series) -> pd.Series:
+        return pd.Series([drawn_table(h.tolist(), w.tolist()) for h, w in zip(heights, wide, strict=True)], dtype=object)
+
+    run.__annotations__ = {"heights": pd.Series, "wide": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "binary")(heights, wide)

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.config import Policy
-from ferrule.operators import geometry, quality, tables
-from ferrule.plans.fixtures import ORDER_LINES, order_lines
+from ferrule.operators import geometry, quality, ruled, tables
+from ferrule.plans.fixtures import ORDER_LINES, drawn, order_lines
 from ferrule.plans.registry import query
 from ferrule.sources.tables import table
 
@@ -302,3 +302,21 @@ def engine_errors(spark, d):
     scanned = quality.scan(o, sidecars)
     kept = quality.storable(scanned, sidecars).select("page_key", F.lit(True).alias("stored"))
     return quality.report_rows(scanned).join(kept, "page_key", "left").select("page_key", "engine_error", "mean_score", F.coalesce("stored", F.lit(False)).alias("stored"))
+
+
+@query("tbl_ruled", f"""WITH {ORDER_LINES}, l AS (SELECT l_orderkey, n AS row, 14 + l_partkey % 5 AS h, l_returnflag = 'R' AS wide FROM li),
+r AS (SELECT l_orderkey, row, 18 + sum(h) OVER (PARTITION BY l_orderkey ORDER BY row) - h AS y1, 18 + sum(h) OVER (PARTITION BY l_orderkey ORDER BY row) AS y2, wide FROM l),
+e AS (SELECT l_orderkey, max(row) AS last, max(y2) AS bottom FROM r GROUP BY l_orderkey),
+k AS (SELECT l_orderkey, row, y1, y2, wide, c, least(c + CASE WHEN wide AND c = 1 THEN 1 ELSE 0 END, 2) AS c2 FROM r, range(3) AS cs(c) WHERE NOT (wide AND c = 2)
+  UNION ALL SELECT l_orderkey, 0, 4, 18, TRUE, 0, 2 FROM e UNION ALL SELECT l_orderkey, last + 1, bottom, bottom + 14, FALSE, c, c FROM e, range(3) AS cs(c))
+SELECT l_orderkey || '#0' AS table_id, CAST(row AS INTEGER) AS row, CAST(row AS INTEGER) AS row_end, CAST(c AS INTEGER) AS col, CAST(c2 AS INTEGER) AS col_end,
+  [4, 30, 60, 90][c + 1] + 0.5::DOUBLE AS x1, CAST(y1 AS DOUBLE) + 0.5::DOUBLE AS y1, [4, 30, 60, 90][c2 + 2] + 0.5::DOUBLE AS x2, CAST(y2 AS DOUBLE) + 0.5::DOUBLE AS y2 FROM k""")
+def ruled_tables(spark, d):
+    """Tables drawn of all orders, read back from their images."""
+    line = F.struct("n", (14 + F.pmod("l_partkey", F.lit(5))).cast("int").alias("h"), (F.col("l_returnflag") == "R").alias("wide"))
+    one = order_lines(spark, d).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    pages = one.select("l_orderkey", drawn(F.col("lines.h"), F.col("lines.wide")).alias("image"))
+    found = ruled.page_tables(pages, "l_orderkey")
+    cells = found.select("table_id", F.explode(F.arrays_zip("logic", "boxes")).alias("c"))
+    logic = [F.col("c.logic")[i].alias(k) for i, k in enumerate(("row", "row_end", "col", "col_end"))]
+    return cells.select("table_id", *logic, *(F.col("c.boxes")[i].alias(k) for k, i in (("x1", 0), ("y1", 1), ("x2", 4), ("y2", 5))))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.functions.text import sentences, words
-from ferrule.operators import images, vector
+from ferrule.operators import images, ruled, vector
 from ferrule.operators.citations import extractive_answer
 from ferrule.operators.evaluation import question_share, supported_share
 from ferrule.operators.fusion import overlap_score
@@ -38,8 +38,8 @@ class Slots:
     tokenise: Callable[[Column], Column] = words
     rerank: Callable[[Column, Column], Column] = overlap_score
     answer: Callable[[DataFrame, DataFrame], DataFrame] = extractive_answer
-    #: The structure of a table image: cells as ``tables.cells`` takes them.
-    structure: Callable[[Column], Column] | None = None
+    #: Tables of a page image: of each the ``html, boxes, logic`` that ``tables.cells`` takes.
+    structure: Callable[[Column], Column] = ruled.structure
     #: An image of a page of a file, at so many dots an inch.
     render: Callable[[Column, Column, int], Column] | None = None
     turn: Callable[[Column, Column], Column] = images.turn
