@@ -6,10 +6,11 @@ between which no rule runs are one cell.  Pixels are read of netpbm images.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -142,28 +143,48 @@ def tables_of(content: bytes) -> list[list[tuple[tuple[int, int, int, int], tupl
     return sorted(found, key=lambda cells: (cells[0][1][1], cells[0][1][0]))
 
 
-def _table(cells) -> dict:
+def _html(logic: list[tuple[int, int, int, int]]) -> str:
     rows: dict[int, list[str]] = {}
-    for (r1, r2, c1, c2), _ in cells:
+    for r1, r2, c1, c2 in logic:
         spans = (f' rowspan="{r2 - r1 + 1}"' if r2 > r1 else "") + (f' colspan="{c2 - c1 + 1}"' if c2 > c1 else "")
         rows.setdefault(r1, []).append(f"<td{spans}></td>")
-    html = "<table>" + "".join("<tr>" + "".join(rows[r]) + "</tr>" for r in sorted(rows)) + "</table>"
-    return {"html": html, "boxes": [[x1, y1, x2, y1, x2, y2, x1, y2] for _, (x1, y1, x2, y2) in cells], "logic": [list(logic) for logic, _ in cells]}
+    return "<table>" + "".join("<tr>" + "".join(rows[r]) + "</tr>" for r in sorted(rows)) + "</table>"
+
+
+def _lists(sizes: list[int], values: pa.Array, missing: list[bool] | None = None) -> pa.Array:
+    offsets = np.cumsum([0, *sizes]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), values, mask=None if missing is None else pa.array(missing))
 
 
 def structure(image: Column) -> Column:
     """Tables of page images, for the slot of that name: ``html, boxes, logic`` of each.
 
     Cells are empty: what a page's text boxes say is put into them by ``filled``.
-    Null images and those that cannot be read are null; pages without rules have no tables.
+    Null images and those that cannot be read are null; pages without rules have no
+    tables.  Images are read one by one, and numbers gathered in flat arrays.
     """
 
-    def run(image: pd.Series) -> pd.Series:
-        read = (None if x is None else tables_of(bytes(x)) for x in image)
-        return pd.Series([None if t is None else [_table(c) for c in t] for t in read], dtype=object)
-
-    run.__annotations__ = {"image": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, _TABLES)(image)
+    def run(image: pa.Array) -> pa.Array:
+        per_page, missing, per_table, htmls = [], [], [], []
+        logic, boxes = array("i"), array("d")
+        for x in image:
+            found = tables_of(x.as_py()) if x.is_valid else None
+            missing.append(found is None)
+            per_page.append(len(found or ()))
+            for cells in found or ():
+                per_table.append(len(cells))
+                htmls.append(_html([c for c, _ in cells]))
+                for c, (x1, y1, x2, y2) in cells:
+                    logic.extend(c)
+                    boxes.extend((x1, y1, x2, y1, x2, y2, x1, y2))
+        n = sum(per_table)
+        of_boxes = _lists(per_table, _lists([8] * n, pa.array(np.array(boxes, np.float64))))
+        of_logic = _lists(per_table, _lists([4] * n, pa.array(np.array(logic, np.int32))))
+        tables = pa.StructArray.from_arrays([pa.array(htmls, pa.string()), of_boxes, of_logic], ["html", "boxes", "logic"])
+        return _lists(per_page, tables, missing)
+
+    run.__annotations__ = {"image": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, _TABLES)(image)
 
 
 def page_tables(pages: DataFrame, key: str = "page_key", read=structure) -> DataFrame:

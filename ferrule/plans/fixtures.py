@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrule.sources.tables import table
@@ -38,9 +40,14 @@ def drawn_table(heights: list[int], wide: list[bool]) -> bytes:
     return b"P5\n%d %d\n255\n" % page.shape[::-1] + page.tobytes()
 
 
-def drawn(heights: Column, wide: Column) -> Column:
-    def run(heights: pd.Series, wide: pd.Series) -> pd.Series:
-        return pd.Series([drawn_table(h.tolist(), w.tolist()) for h, w in zip(heights, wide, strict=True)], dtype=object)
+def drawn(tables: DataFrame) -> DataFrame:
+    """``key, image`` of tables to draw (``key`` long, ``heights, wide``); images leave a task some hundred at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                rows = batch.slice(at, 256).to_pydict()
+                images = [drawn_table(h, w) for h, w in zip(rows["heights"], rows["wide"], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(rows["key"], pa.int64()), pa.array(images, pa.binary())], ["key", "image"])
 
-    run.__annotations__ = {"heights": pd.Series, "wide": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, "binary")(heights, wide)
+    return tables.select("key", "heights", "wide").mapInArrow(run, "key long, image binary")

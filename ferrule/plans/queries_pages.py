@@ -315,8 +315,8 @@ def ruled_tables(spark, d):
     """Tables drawn of all orders, read back from their images."""
     line = F.struct("n", (14 + F.pmod("l_partkey", F.lit(5))).cast("int").alias("h"), (F.col("l_returnflag") == "R").alias("wide"))
     one = order_lines(spark, d).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
-    pages = one.select("l_orderkey", drawn(F.col("lines.h"), F.col("lines.wide")).alias("image"))
-    found = ruled.page_tables(pages, "l_orderkey")
+    pages = drawn(one.select(F.col("l_orderkey").cast("long").alias("key"), F.col("lines.h").alias("heights"), F.col("lines.wide").alias("wide")))
+    found = ruled.page_tables(pages, "key")
     cells = found.select("table_id", F.explode(F.arrays_zip("logic", "boxes")).alias("c"))
     logic = [F.col("c.logic")[i].alias(k) for i, k in enumerate(("row", "row_end", "col", "col_end"))]
     return cells.select("table_id", *logic, *(F.col("c.boxes")[i].alias(k) for k, i in (("x1", 0), ("y1", 1), ("x2", 4), ("y2", 5))))
