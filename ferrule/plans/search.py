@@ -110,10 +110,10 @@ def search(c: Collection, queries: DataFrame, k: int = RETRIEVED, rerank: bool =
     return hits.select("query_id", "rank", "score", "chunk_id", "file", "page", "chunk_type", "text", preview(F.col("text")).alias("preview"))
 
 
-def ask(c: Collection, questions: DataFrame, slots: Slots | None = None) -> DataFrame:
-    """``query_id, text, citations, confidence`` for each question; without an answerer the first passages themselves are cited."""
+def ask(c: Collection, questions: DataFrame, slots: Slots | None = None, hits: DataFrame | None = None) -> DataFrame:
+    """``query_id, text, citations, confidence`` for each question; without an answerer the first passages themselves are cited.  ``hits`` are what was found, if it was."""
     s = slots or Slots()
-    hits = materialise(search(c, questions, RETRIEVED, slots=s), "hits")
+    hits = materialise(search(c, questions, RETRIEVED, slots=s), "hits") if hits is None else hits
     top = hits.where(F.col("rank") <= ANSWERED_FROM)
     pairs = top.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "file", "page"))), lambda x: F.struct(x["file"].alias("file"), x["page"].alias("page"))).alias("context"))
     if slots is None:
@@ -127,14 +127,15 @@ def ask(c: Collection, questions: DataFrame, slots: Slots | None = None) -> Data
 def evaluate(c: Collection, cases: DataFrame, slots: Slots | None = None) -> tuple[DataFrame, DataFrame]:
     """Per-case metrics and their means; all cases are searched at once."""
     queries = cases.select(F.col("case_id").alias("query_id"), F.col("question").alias("text"))
-    hits = search(c, queries, RETRIEVED, slots=slots or Slots()).withColumnRenamed("query_id", "case_id")
+    found = materialise(search(c, queries, RETRIEVED, slots=slots or Slots()), "hits")
+    hits = found.withColumnRenamed("query_id", "case_id")
     rows = cases.select("case_id", "category", "question", "expected_sources", "expected_keywords")
     for k in (5, 10):
         rows = rows.join(evaluation.recall(cases, hits, k).withColumnRenamed("recall", f"recall_{k}"), "case_id")
     rows = rows.join(hits.groupBy("case_id").agg(F.count("*").alias("n_retrieved")), "case_id", "left").fillna(0, ["n_retrieved"])
     metrics = ["recall_5", "recall_10"]
     if slots is not None:
-        answers = ask(c, queries, slots).withColumnRenamed("query_id", "case_id").withColumnRenamed("text", "answer")
+        answers = ask(c, queries, slots, found).withColumnRenamed("query_id", "case_id").withColumnRenamed("text", "answer")
         passages = hits.where(F.col("rank") <= ANSWERED_FROM).groupBy("case_id").agg(F.collect_list("text").alias("passages"))
         rows = rows.join(answers, "case_id", "left").join(passages, "case_id", "left")
         rows = rows.withColumns({
