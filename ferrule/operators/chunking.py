@@ -10,9 +10,11 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ferrule.config import CONTRACT_STRUCTURE, Structure
 from ferrule.schema import CHUNK
@@ -20,6 +22,8 @@ from ferrule.schema import CHUNK
 #: Fixed values, in characters.
 QUESTION_MOST, PARAGRAPH_MOST = 2000, 1000
 TINY, CUT_FROM, CUT_TO = 200, 400, 800
+#: Characters, and rows, of chunks that leave a task at a time.
+EMITTED, EMITTED_ROWS = 4 << 20, 4096
 _TERMINATOR = re.compile(r"[.!?。！？](?=\s|$)")
 _BLANK = re.compile(r"\n\s*\n")
 
@@ -122,25 +126,33 @@ def chunk_file(file: str, pages: list[tuple[int, str, str]], structure: Structur
     return out
 
 
+def chunk_batches(batches: Iterator[pa.RecordBatch], structure: Structure, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Chunks of files (``file, pages``): files become Python objects one by one, and chunks leave some megabytes at a time."""
+    for batch in batches:
+        rows, size = [], 0
+        for i in range(batch.num_rows):
+            file, group = batch.column("file")[i].as_py(), batch.column("pages")[i].as_py()
+            for n, r in enumerate(chunk_file(file, [(p["page_num"], p["text"] or "", p["page_kind"]) for p in group], structure)):
+                rows.append({**r, "ord": n})
+                size += len(r["text"])
+                if size >= EMITTED or len(rows) >= EMITTED_ROWS:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+
 def chunk_pages(pages: DataFrame, structure: Structure = CONTRACT_STRUCTURE) -> DataFrame:
     """Chunks of all files of ``pages`` (``file, page_num, text, page_kind``), with ``ord``, their order in the file.
 
     A file's pages meet in one row, and files go to Python in Arrow batches: a
     group of its own for each file would cost more than its chunks.
     """
-    columns = [*(c.strip().split()[0] for c in re.split(r",\s*(?![^<]*>)", CHUNK)), "ord"]
-
-    def of_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for file, group in zip(batch["file"], batch["pages"], strict=True):
-                found = chunk_file(file, [(p["page_num"], p["text"] or "", p["page_kind"]) for p in group], structure)
-                rows += [{**r, "ord": i} for i, r in enumerate(found)]
-            yield pd.DataFrame(rows, columns=columns)
-
+    kinds = StructType.fromDDL(f"{CHUNK}, ord long")
+    schema = to_arrow_schema(kinds)
     page = F.struct("page_num", "text", "page_kind")
     files = pages.select("file", "page_num", "text", "page_kind").groupBy("file").agg(F.sort_array(F.collect_list(page)).alias("pages"))
-    return files.mapInPandas(of_files, f"{CHUNK}, ord long")
+    return files.mapInArrow(lambda batches: chunk_batches(batches, structure, schema), kinds)
 
 
 def split_long(text: Column, most: int = PARAGRAPH_MOST) -> Column:

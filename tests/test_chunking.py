@@ -1,10 +1,14 @@
 """Known answers of the chunker."""
 
+import pyarrow as pa
 import pytest
 
 from ferrule.config import CONTRACT_STRUCTURE, DOCUMENT
 from ferrule.operators import chunking
+from ferrule.schema import CHUNK
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def chunks(*pages, structure=CONTRACT_STRUCTURE, file="dir/My File.v2.pdf"):
@@ -71,3 +75,15 @@ def test_expression_equals_function(spark, sf):
     rows = docs.select("text", chunking.split_long(F.col("text")).alias("p")).collect()
     for r in rows:
         assert [(p["text"], p["start"]) for p in r["p"]] == list(chunking.pieces(r["text"], 0, chunking.PARAGRAPH_MOST))
+
+
+def test_chunks_leave_in_bounded_batches(monkeypatch):
+    """However many files a batch has, and however long one is, a task holds some chunks at a time."""
+    monkeypatch.setattr(chunking, "EMITTED", 1000)
+    pages = lambda n: [{"page_num": i, "text": f"Some words of page {i}. " * 20, "page_kind": "text"} for i in range(n)]
+    files = [{"file": f"f{i}.pdf", "pages": pages(30 if i == 3 else 2)} for i in range(40)]
+    schema = to_arrow_schema(StructType.fromDDL(f"{CHUNK}, ord long"))
+    found = list(chunking.chunk_batches(iter([pa.RecordBatch.from_pylist(files)]), CONTRACT_STRUCTURE, schema))
+    expected = [{**r, "ord": n} for f in files for n, r in enumerate(chunking.chunk_file(f["file"], [tuple(p.values()) for p in f["pages"]]))]
+    assert [r for b in found for r in b.to_pylist()] == expected
+    assert len(found) > 20 and max(sum(map(len, b.column("text").to_pylist())) for b in found) < 1000 + chunking.QUESTION_MOST
