@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from ferrule.sources.scratch import materialise
 
 PROGRESS = "file string, page int, status string, error_msg string, text string, cost_usd double"
+#: Pages whose contents are stored for waves to come, at first and at most; seconds that one task reads alone.
+AHEAD, MOST_AHEAD, ALONE = 1024, 65_536, 10.0
 
 
 def done(checkpoint: DataFrame) -> DataFrame:
@@ -70,18 +73,48 @@ def run_pages(pages: DataFrame, read: Callable[[bytes], str | tuple[str, float]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows = [_read_page(read, cost, *p) for p in zip(batch["file"], batch["page"], batch["content"], strict=True)]
+            yield pd.concat([pd.DataFrame(rows, columns=_COLUMNS, index=batch.index), batch[list(keep)]], axis=1)
+
+    return _contents(pages, keep).mapInPandas(run, PROGRESS + _kinds(pages, keep))
+
+
+def run_until(pages: DataFrame, read: Callable[[bytes], str | tuple[str, float]], cost: float, left: int, seconds: float, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``run_pages`` in order of ``seq``, one page after the other, until ``left`` millionths are spent or the time is up; later pages are no rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        spent, end = 0, time.monotonic() + seconds
+        for batch in batches:  # to the end, whatever is read
             rows = []
-            for file, page, content in zip(batch["file"], batch["page"], batch["content"], strict=True):
-                try:
-                    found = read(None if content is None else bytes(content))
-                    text, spent = found if isinstance(found, tuple) else (found, cost if (found or "").strip() else 0.0)
-                    rows.append((file, page, "done", None, text, float(spent)))
-                except Exception as e:  # one page must not fail the run
-                    rows.append((file, page, "error", f"{type(e).__name__}: {e}", None, 0.0))
-            yield pd.concat([pd.DataFrame(rows, columns=[f.split()[0] for f in PROGRESS.split(", ")], index=batch.index), batch[list(keep)]], axis=1)
+            for p in zip(batch["file"], batch["page"], batch["content"], strict=True):
+                if spent >= left or time.monotonic() > end:
+                    spent = left
+                    break
+                rows.append(_read_page(read, cost, *p))
+                spent += round(rows[-1][-1] * 1_000_000)
+            yield pd.concat([pd.DataFrame(rows, columns=_COLUMNS, index=batch.index[: len(rows)]), batch[list(keep)][: len(rows)]], axis=1)
+
+    return _contents(pages.coalesce(1).sortWithinPartitions("seq"), keep).mapInPandas(run, PROGRESS + _kinds(pages, keep))
+
+
+_COLUMNS = [f.split()[0] for f in PROGRESS.split(", ")]
+
 
-    kinds = "".join(f", `{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
-    return pages.select("file", F.col("page").cast("int").alias("page"), F.col("content").cast("binary").alias("content"), *keep).mapInPandas(run, PROGRESS + kinds)
+def _contents(pages: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    return pages.select("file", F.col("page").cast("int").alias("page"), F.col("content").cast("binary").alias("content"), *keep)
+
+
+def _kinds(pages: DataFrame, keep: tuple[str, ...]) -> str:
+    return "".join(f", `{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
+
+
+def _read_page(read: Callable[[bytes], str | tuple[str, float]], cost: float, file: str, page: int, content: bytes | None) -> tuple:
+    try:
+        found = read(None if content is None else bytes(content))
+        text, spent = found if isinstance(found, tuple) else (found, cost if (found or "").strip() else 0.0)
+        return file, page, "done", None, text, float(spent)
+    except Exception as e:  # one page must not fail the run
+        return file, page, "error", f"{type(e).__name__}: {e}", None, 0.0
 
 
 def in_order(work: DataFrame, order: tuple[str, ...] = ("file", "page")) -> DataFrame:
@@ -104,33 +137,54 @@ def run_batch(pages: DataFrame, checkpoint: DataFrame, cache: DataFrame, read: C
     cost nothing, so that others take their place.  Each wave is stored before
     the next, so that each page is read once; a page that is listed twice is one.
 
+    After a wave that cost less than half of that, one task goes on page by page, for
+    at most ``ALONE`` seconds: what it starts is what could start one after the other,
+    so that stretches of pages that cost nothing need no wave for every few of them.
+    Contents for waves to come are stored ``AHEAD`` pages at a time, more while they are
+    read faster than that.
+
     If the cap is reached with pages left, ``BudgetExceeded`` tells so and has the progress.
     """
     keyed = pages.select("file", F.col("page").cast("int").alias("page"), F.sha2(F.col("content").cast("binary"), 256).alias("key")).dropDuplicates(["file", "page"])
     todo = materialise(keyed.join(done(checkpoint), ["file", "page"], "left_anti"), "todo")  # contents stay where they are
     held = cache.select("key", "text").dropDuplicates(["key"])
-    skipped = todo.join(held, "key").select("file", "page", F.lit("skipped_cached").alias("status"), F.lit(None).cast("string").alias("error_msg"), "text", F.lit(0.0).alias("cost_usd"), "key")
+    skipped = todo.join(held, "key").select("file", "page", F.lit("skipped_cached").alias("status"), F.lit(None).cast("string").alias("error_msg"), "text", F.lit(0.0).alias("cost_usd"), "key", F.lit(None).cast("long").alias("seq"))
     waves = [materialise(skipped, "progress")]
     work = in_order(todo.join(held, "key", "left_anti"))
     n, at, spent = work.count(), 0, 0
     micro = lambda usd: round(usd * 1_000_000)
+    block, end, ahead = None, 0, AHEAD
+
+    def store(rows: DataFrame) -> int:
+        waves.append(materialise(rows, "progress"))
+        return waves[-1].agg(F.sum(F.round(F.col("cost_usd") * 1_000_000).cast("long"))).first()[0] or 0
+
     while at < n and spent < micro(cap):
         many = n - at if micro(cost) <= 0 else min(n - at, max(in_flight, -(-(micro(cap) - spent) // micro(cost))))
-        wave = work.where((F.col("seq") >= at) & (F.col("seq") < at + many)).drop("seq")
-        ends = wave.agg(F.min("file"), F.max("file")).first()  # lets the scan of contents skip files
-        contents = pages.where(F.col("file").between(*ends)).select("file", F.col("page").cast("int").alias("page"), "content")
-        rows = contents.join(wave, ["file", "page"])
-        if pages_repeat(contents, wave):
-            rows = rows.dropDuplicates(["file", "page"])
-        waves.append(materialise(run_pages(rows, read, cost, ("key",)), "progress"))
-        spent += waves[-1].agg(F.sum(F.round(F.col("cost_usd") * 1_000_000).cast("long"))).first()[0] or 0
-        at += many
-    progress = reduce(DataFrame.unionByName, waves)
+        if at + many > end:
+            end = min(n, at + max(many, ahead))
+            block = _with_contents(pages, work.where((F.col("seq") >= at) & (F.col("seq") < end)))
+            block = block if end == at + many else materialise(block, "contents")
+        took = store(run_pages(block.where((F.col("seq") >= at) & (F.col("seq") < at + many)), read, cost, ("key", "seq")))
+        spent, at = spent + took, at + many
+        if at < end and spent < micro(cap) and 2 * took < many * micro(cost):
+            spent += store(run_until(block.where(F.col("seq") >= at), read, cost, micro(cap) - spent, ALONE, ("key", "seq")))
+            at = max(at, (waves[-1].agg(F.max("seq")).first()[0] or 0) + 1)
+            ahead = min(2 * ahead, MOST_AHEAD) if at == end else ahead
+    progress = reduce(DataFrame.unionByName, waves).drop("seq")
     if at < n:
         raise BudgetExceeded(spent / 1_000_000, cap, progress)
     return progress
 
 
+def _with_contents(pages: DataFrame, wave: DataFrame) -> DataFrame:
+    """The rows of ``wave`` with ``content``; a page that is listed more than once has one of its contents."""
+    ends = wave.agg(F.min("file"), F.max("file")).first()  # lets the scan of contents skip files
+    contents = pages.where(F.col("file").between(*ends)).select("file", F.col("page").cast("int").alias("page"), "content")
+    rows = contents.join(wave, ["file", "page"])
+    return rows.dropDuplicates(["file", "page"]) if pages_repeat(contents, wave) else rows
+
+
 def pages_repeat(contents: DataFrame, wave: DataFrame) -> bool:
     """Whether a page of a wave is listed more than once."""
     return contents.select("file", "page").join(wave.select("file", "page"), ["file", "page"], "left_semi").groupBy("file", "page").count().where("count > 1").limit(1).count() > 0

@@ -195,3 +195,27 @@ def test_shared_folder(spark):
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch.shared_folder(Cluster)
     assert scratch.shared_folder(spark) == scratch.shared_folder(spark)
+
+
+def test_stretches_that_cost_nothing_need_few_waves(spark, monkeypatch):
+    """A thousand pages fail before the first that is paid for: they are read in a few steps, each once, and not one page too many."""
+    steps, made = [], batch.materialise
+    monkeypatch.setattr(batch, "materialise", lambda df, name: steps.append(name) or made(df, name))
+    monkeypatch.setattr(batch, "AHEAD", 300)
+    pages = spark.createDataFrame([("a", i, str(i).encode()) for i in range(1300)], "file string, page int, content binary")
+
+    def read(content):
+        if int(content) < 1000 or int(content) % 3 == 0:
+            raise ValueError
+        return content.decode()
+
+    none = spark.createDataFrame([], "file string, page int, status string"), spark.createDataFrame([], "key string, text string")
+    with pytest.raises(batch.BudgetExceeded) as over:
+        batch.run_batch(pages, *none, read, 0.1, 2.0)
+    paid, last = 0, 1000
+    while paid < 20:
+        paid, last = paid + (last % 3 > 0), last + 1
+    got = [(r["page"], r["status"]) for r in over.value.progress.collect()]
+    assert sorted(got) == [(i, "error" if i < 1000 or i % 3 == 0 else "done") for i in range(last)]
+    assert steps.count("progress") < 15
+    assert over.value.spent == pytest.approx(2.0)
