@@ -308,7 +308,8 @@ def _near_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = list(shingle_sets(batch.column("text")))
         fp = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
         keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("copy"), pa.array(fp), keys], names=["doc_id", "copy", "fp", "keys"])
+        sim = pa.concat_arrays([b.column("fp") for b in _fingerprints(iter([batch.select(["doc_id", "text"])]))])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("copy"), pa.array(fp), keys, sim], names=["doc_id", "copy", "fp", "keys", "sim"])
 
 
 def _near_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,8 +354,11 @@ def near_components(docs: DataFrame) -> DataFrame:
     """``doc_id, copy, root, component_id`` for the distinct ids and texts of ``docs`` (``doc_id, copy, text``; ``copy`` is a hash of the text).
 
     Texts link when the Jaccard similarity of their sets of five-word shingles is
-    0.8 or more.  Sets that share a band of minima are candidates (at 0.8 a pair
-    is one with probability 0.99993) and are compared in full, in rounds: each
+    0.8 or more.  SimHash comes first: fingerprints that link, by vantage-point
+    trees as in ``op1_simhash``, name for each set the first one of its component,
+    and the two sets are compared in full.  What these links leave apart goes by
+    bands of minima: sets that share one are candidates (at 0.8 a pair is one with
+    probability 0.99993) and are compared in full, in rounds: each
     set with one random member of each of its buckets; then with the member that
     shares most of its shingles with others; then all pairs of a bucket that no
     chain of links joins yet.  After the first round sets are left out that
@@ -363,14 +367,18 @@ def near_components(docs: DataFrame) -> DataFrame:
     being the smaller number of these.  ``root`` names the component,
     ``component_id`` is its smallest ``doc_id``.
     """
-    marks = materialise(docs.mapInArrow(_near_marks, "doc_id long, copy long, fp long, keys array<long>"), "near-marks")
+    marks = materialise(docs.mapInArrow(_near_marks, "doc_id long, copy long, fp long, keys array<long>, sim long"), "near-marks")
     least = F.min(F.struct("doc_id", "copy")).alias("least")
-    distinct = materialise(marks.groupBy("fp").agg(least, F.first("keys").alias("keys")).select("fp", "least.*", "keys"), "near-distinct")
+    distinct = materialise(marks.groupBy("fp").agg(least, F.first("keys").alias("keys"), F.min("sim").alias("sim")).select("fp", "least.*", "keys", "sim"), "near-distinct")
+    close = link_components(distinct.select(F.col("fp").alias("doc_id"), F.col("sim").alias("fp")))
+    hashed = distinct.select("fp", "sim").join(close.select(F.col("fp").alias("sim"), F.col("component_id").alias("leader")), "sim").where("fp <> leader")
+    hashed = materialise(hashed.select(F.greatest("fp", "leader").alias("a"), F.least("fp", "leader").alias("b")), "near-hashed")
     keyed = distinct.select("fp", F.explode("keys").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("fp", "key"), "fp")).getField("fp").alias("leader")).where("n > 1")
     keyed = materialise(keyed.join(buckets.select("key", "leader"), "key"), "near-keyed")
 
-    wanted = keyed.select("fp").distinct().join(distinct, "fp").select("fp", "doc_id", "copy")
+    either = keyed.select("fp").unionByName(hashed.select(F.explode(F.array("a", "b")).alias("fp")))
+    wanted = either.distinct().join(distinct, "fp").select("fp", "doc_id", "copy")
     sets = docs.join(wanted, ["doc_id", "copy"]).select("fp", "text").mapInArrow(_near_sets, "fp long, shingles binary")
     sets = materialise(sets.groupBy("fp").agg(F.first("shingles").alias("shingles")), "near-sets")
 
@@ -391,8 +399,10 @@ def near_components(docs: DataFrame) -> DataFrame:
         several = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
         return labelled.join(several, "key")
 
-    led = materialise(ordered(keyed.where("fp <> leader")), "near-led")
-    roots = materialise(_contract(verified(led)), "near-roots")
+    roots = materialise(_contract(verified(hashed)), "near-roots")
+    far = apart(keyed.select("key", "fp"), roots).join(keyed, ["key", "fp"]).where("fp <> leader")
+    led = materialise(ordered(far.select("fp", "leader")).join(hashed, ["a", "b"], "left_anti"), "near-led")
+    roots = joined(roots, led)
     open_ = materialise(apart(keyed.select("key", "fp"), roots), "near-open")
 
     members = materialise(open_.select("fp").distinct().join(sets, "fp"), "near-members")

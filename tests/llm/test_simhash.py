@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from ferrule.llm import simhash
@@ -160,3 +161,23 @@ def test_repeated_id_keeps_its_unique_text(spark):
     a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
     df = spark.createDataFrame([(1, a), (2, b), (2, a), (3, b), (None, a)], "doc_id long, text string").repartition(3)
     assert sorted(map(tuple, simhash.keep_one_of_each(df).collect()), key=repr) == sorted([(1, a), (2, b), (None, a)], key=repr)
+
+
+def test_near_components_go_by_fingerprints_first(spark, monkeypatch):
+    """Texts whose fingerprints link are joined without a band in common; what fingerprints leave apart is found by bands; a link that is not similar joins nothing."""
+    monkeypatch.setattr(simhash, "_near_marks", _without_bands)
+    rng = np.random.default_rng(5)
+    long = " ".join(f"w{x}" for x in rng.integers(0, 10**6, 4000))
+    texts = [long, long.replace(long.split()[2000], "other", 1), "a b c d e f g", "none of these words"]
+    a, b = (next(simhash._fingerprints(iter([pa.RecordBatch.from_pydict({"doc_id": [0], "text": [t]})]))).column("fp")[0].as_py() for t in texts[:2])
+    assert (a ^ b).bit_count() <= 2
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_one_of_each(df).collect()) == [0, 2, 3]
+
+
+_marks_with_bands = simhash._near_marks
+
+
+def _without_bands(batches):
+    for b in _marks_with_bands(batches):
+        yield b.set_column(3, "keys", pa.array([[]] * b.num_rows, pa.list_(pa.int64())))
