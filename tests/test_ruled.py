@@ -91,3 +91,30 @@ def test_through_cells_to_markdown(spark):
 @pytest.mark.parametrize("n, pairs, want", [(0, [], []), (4, [(3, 1), (1, 3)], [0, 1, 2, 1]), (5, [(4, 3), (3, 2), (0, 1)], [0, 0, 2, 2, 2])])
 def test_groups(n, pairs, want):
     assert ruled.groups(n, pairs) == want
+
+
+def test_pages_together_are_as_pages_alone():
+    """Many pages are worked out in a few passes, however they differ in size; none takes anything from its neighbour."""
+    rng, pages = np.random.default_rng(3), [np.zeros((0, 0)), np.full((9, 9), 255)]
+    for _ in range(300):
+        h, w = rng.integers(1, 150, 2)
+        page = np.full((h, w), 255)
+        for y, x, size, thick in zip(rng.integers(0, h, 9), rng.integers(0, w, 9), rng.integers(5, 150, 9), rng.integers(1, 5, 9), strict=True):
+            page[(slice(y, y + thick), slice(x, x + size)) if size % 2 else (slice(y, y + size), slice(x, x + thick))] = 0
+        pages += [page, drawn([(0, 0, 0, 1), (1, 1, 0, 0), (1, 1, 1, 1)], [4, 34, 64], [4, 24, 24 + int(h)])]
+    n, sizes, cells = ruled.tables_in([p < 180 for p in pages])
+    alone = [ruled.tables_of(pgm(p)) for p in pages]
+    assert n.tolist() == [len(t) for t in alone] and n[0] == n[1] == 0
+    assert sizes.tolist() == [len(c) for t in alone for c in t]
+    assert cells.listed() == [c for t in alone for table in t for c in table]
+
+
+def test_a_batch_takes_few_passes(monkeypatch):
+    calls = []
+    monkeypatch.setattr(ruled, "tables_in", lambda pages, real=ruled.tables_in: calls.append(len(pages)) or real(pages))
+    monkeypatch.setattr(ruled.F, "arrow_udf", lambda f, _: lambda _: f)
+    import pyarrow as pa
+
+    page = pgm(drawn([(0, 0, 0, 0)], [4, 40], [4, 40]))
+    got = ruled.structure(None)(pa.array([page, None, b"x"] * 500))
+    assert calls == [1024, 476] and got.null_count == 1000 and got[0].as_py() == got[1497].as_py() and len(got[0]) == 1
