@@ -7,6 +7,9 @@ largest group.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,11 +78,34 @@ def reading_order(boxes: DataFrame, width: float, height: float) -> DataFrame:
     return plain.join(regions, ["page_key", "box_idx"])
 
 
+def _joined(boxes: Column, line: list[str]) -> Column:
+    """The text of a page's ``boxes``, which stand by ``line``; those without text add nothing to theirs."""
+    new = lambda b, i: ~reduce(Column.__and__, [b[k].eqNullSafe(F.get("_b", i - 1)[k]) for k in line])
+    gap = lambda b, i: F.when(i == 0, "").when(new(b, i), "\n").when(b["txt"].isNull(), "").otherwise(" ")
+    return F.array_join(F.transform(boxes, lambda b, i: F.concat(gap(b, i), F.coalesce(b["txt"], F.lit("")))), "")
+
+
+def _by(line: list[str]) -> Callable[[Column], Column]:
+    """A box as it stands in its line: boxes without text come last."""
+    return lambda b: F.struct(*(b[k].alias(k) for k in line), b["txt"].isNull().alias("_none"), *(b[k].alias(k) for k in ("x0", "box_idx", "txt")))
+
+
+def page_texts(ordered: DataFrame, **lines: list[str]) -> DataFrame:
+    """``page_key`` and a text for each of ``lines`` (what tells a line, in order): all from one gathering of a page's boxes."""
+    fields = [*dict.fromkeys(k for line in lines.values() for k in line), "x0", "box_idx", "txt"]
+    out = ordered.groupBy("page_key").agg(F.collect_list(F.struct(*fields)).alias("_all"))
+    for name, line in lines.items():
+        out = out.withColumn("_b", F.array_sort(F.transform("_all", _by(line)))).withColumn(name, _joined(F.col("_b"), line))
+    return out.select("page_key", *lines)
+
+
+#: What tells a line, as read across the page and by regions.
+PLAIN, BY_REGION = ["line"], ["strip", "col", "region_line"]
+
+
 def page_text(ordered: DataFrame, regions: bool = False) -> DataFrame:
     """``page_key, text``: boxes joined by blanks within lines, lines by line ends, in reading order."""
-    line = ["strip", "col", "region_line"] if regions else ["line"]
-    one = ordered.groupBy("page_key", *line).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "box_idx", "txt"))), lambda b: b["txt"]), " ").alias("t"))
-    return one.groupBy("page_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*line, "t"))), lambda x: x["t"]), "\n").alias("text"))
+    return page_texts(ordered, text=BY_REGION if regions else PLAIN)
 
 
 def discordance(places: Column) -> Column:

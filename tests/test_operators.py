@@ -353,3 +353,12 @@ def test_records_once(spark):
     make = lambda rows: spark.createDataFrame(rows, "content_hash string, provider string, assigned_at string, task_kind string")
     fresh = dispatch.new_records(make([("h1", "p", "1", "ocr")]), make([("h1", "p", "2", "ocr"), ("h2", "p", "4", "ocr"), ("h2", "p", "3", "ocr"), ("h1", "q", "5", "ocr")]))
     assert {(r["content_hash"], r["provider"], r["assigned_at"]) for r in fresh.collect()} == {("h2", "p", "3"), ("h1", "q", "5")}
+
+
+def test_both_texts_of_a_page_from_one_gathering(spark):
+    """Boxes without text, alone in their line or not; the layout is worked out once for both texts."""
+    rows = [(1, 0, 1, 0, 3.0, "a"), (1, 1, 1, 0, 1.0, None), (1, 2, 1, 0, 4.0, "b"), (1, 3, 2, 0, 1.0, None), (1, 4, 3, 1, 2.0, None), (1, 5, 3, 1, 3.0, "c"), (2, 0, 0, 0, 1.0, None), (2, 1, 0, 0, 2.0, "x"), (3, 0, 0, 0, 1.0, None)]
+    o = spark.createDataFrame(rows, "page_key long, box_idx long, line int, strip long, x0 double, txt string").withColumns({"col": F.lit(0), "region_line": F.lit(0)})
+    both = geometry.page_texts(o, text=geometry.PLAIN, regions_text=geometry.BY_REGION)
+    assert sorted(map(tuple, both.collect())) == [(1, "a b\n\nc", "a b\nc"), (2, "x", "x"), (3, "", "")]
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
