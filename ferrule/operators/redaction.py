@@ -9,8 +9,10 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ PLACEHOLDER = r"<[A-Z][A-Z0-9_]*_\d+>"
 MOST_LITERALS = 200_000
 #: Spans that leave a task at a time, about.
 ROWS = 20_000
+#: Texts that are redacted at a time.
+TEXTS = 256
 _TYPE = re.compile("[A-Z][A-Z0-9_]*")
 _SPANS = "array<struct<start:int,stop:int,type:string>>"
 
@@ -85,13 +89,22 @@ def _literals(found: ahocorasick.Automaton | None, text: str) -> list[tuple[int,
 
 
 def resolved(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Spans that do not overlap, in order: longer ones first, then earlier ones, then by type.
-
-    What is kept stands sorted, so that a span meets its two neighbours only.
-    """
+    """Spans that do not overlap, in order: longer ones first, then earlier ones, then by type; each run of spans that overlap is settled by itself."""
+    out, run, end = [], [], 0
+    for s in sorted(spans):
+        if run and s[0] >= end:
+            out += run if len(run) == 1 else _settle(run)
+            run = []
+        run.append(s)
+        end = max(end, s[1])
+    return out + (run if len(run) == 1 else _settle(run))
+
+
+def _settle(run: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """What is kept stands sorted, so that a span meets its two neighbours only."""
     starts: list[int] = []
     kept: list[tuple[int, int, str]] = []
-    for s in sorted(spans, key=lambda s: (s[0] - s[1], s[0], s[2])):
+    for s in sorted(run, key=lambda s: (s[0] - s[1], s[0], s[2])):
         i = bisect_left(starts, s[0])
         if (i == 0 or kept[i - 1][1] <= s[0]) and (i == len(kept) or s[1] <= kept[i][0]):
             starts.insert(i, s[0])
@@ -209,6 +222,24 @@ def placeholder(type_: Column, idx: Column) -> Column:
     return F.concat(F.lit("<"), type_, F.lit("_"), idx.cast("string"), F.lit(">"))
 
 
+def _replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``doc_id, redacted_text, spans_replaced`` of texts with their tokens ``_t`` in order; a text is passed over once, which SQL's substrings would do for each token."""
+    for whole in batches:
+        for first in range(0, whole.num_rows, TEXTS):
+            batch = whole.slice(first, TEXTS)
+            listed, out = batch.column("_t"), []
+            ends = np.cumsum(pc.fill_null(listed.value_lengths(), 0).to_numpy()).tolist()
+            start, stop, token = (listed.flatten().field(c).to_pylist() for c in ("start", "stop", "token"))
+            for i, (a, b) in enumerate(zip([0, *ends], ends, strict=False)):
+                text = batch.column("text")[i].as_py()
+                if b > a:
+                    gaps = (text[x:y] for x, y in zip([0, *stop[a:b]], [*start[a:b], None], strict=True))
+                    text = "".join(x for both in zip(gaps, [*token[a:b], ""], strict=True) for x in both)
+                out.append(text)
+            n = pa.array(np.diff(ends, prepend=0), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string()), n], names=["doc_id", "redacted_text", "spans_replaced"])
+
+
 def redact(docs: DataFrame, spans: DataFrame, mapping_: DataFrame) -> DataFrame:
     """``doc_id, redacted_text, spans_replaced`` of ``docs`` (``doc_id, text``).
 
@@ -220,14 +251,9 @@ def redact(docs: DataFrame, spans: DataFrame, mapping_: DataFrame) -> DataFrame:
         raise ValueError(f"text {held['doc_id']} already holds the placeholder {held['token']}: its redaction could not be undone")
     tokens = spans.join(mapping_, (spans["type"] == mapping_["entity_type"]) & (spans["entity"] == mapping_["entity_text"]))
     tokens = tokens.select("doc_id", "start", "stop", placeholder(F.col("type"), F.col("idx")).alias("token"))
-    per_doc = tokens.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "token"))).alias("_t"))
-    joined = docs.join(per_doc, "doc_id", "left")
-    n = F.size("_t")
-    begin = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.try_element_at("_t", F.greatest(i, F.lit(1)))["stop"])
-    parts = F.transform("_t", lambda t, i: F.concat(F.substr("text", begin(i) + 1, t["start"] - begin(i)), t["token"]))
-    tail = F.substr("text", F.element_at("_t", -1)["stop"] + 1, F.length("text"))
-    out = F.when(F.coalesce(n, F.lit(0)) > 0, F.concat(F.array_join(parts, ""), tail)).otherwise(F.col("text"))
-    return joined.select("doc_id", out.alias("redacted_text"), F.greatest(F.coalesce(n, F.lit(0)), F.lit(0)).alias("spans_replaced"))
+    per_doc = tokens.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "token"))).alias("_t"))
+    joined = docs.select("doc_id", "text").join(per_doc, "doc_id", "left")
+    return joined.mapInArrow(_replaced, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, redacted_text string, spans_replaced int")
 
 
 def irreversible(docs: DataFrame, mapping_: DataFrame) -> DataFrame:
@@ -238,10 +264,11 @@ def irreversible(docs: DataFrame, mapping_: DataFrame) -> DataFrame:
 
 def restore(docs: DataFrame, mapping_: DataFrame, column: str = "redacted_text") -> DataFrame:
     """``doc_id, text``: known placeholders replaced by what they stand for; unknown ones stay."""
-    rows = docs.select("doc_id", F.col(column).alias("_r"), F.regexp_extract_all(column, F.lit(PLACEHOLDER), F.lit(0)).alias("_p"))
-    held = rows.select("doc_id", F.posexplode("_p").alias("i", "token"))
+    # stored: both uses below would redact the texts anew
+    rows = materialise(docs.select("doc_id", F.col(column).alias("_r")), "redacted")
+    held = rows.select("doc_id", F.posexplode(F.regexp_extract_all("_r", F.lit(PLACEHOLDER), F.lit(0))).alias("i", "token"))
     known = mapping_.select(placeholder(F.col("entity_type"), F.col("idx")).alias("token"), "entity_text")
-    found = held.join(known, "token", "left").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("entity_text", "token").alias("v")))), lambda x: x["v"]).alias("_v"))
+    found = held.join(known, "token", "left").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("i", F.coalesce("entity_text", "token").alias("v"))))["v"].alias("_v"))
     gaps = F.split("_r", PLACEHOLDER, -1)
     text = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.try_element_at("_v", i + 1), F.lit("")))), "")
     return rows.join(found, "doc_id", "left").select("doc_id", F.when(F.col("_v").isNull(), F.col("_r")).otherwise(text).alias("text"))

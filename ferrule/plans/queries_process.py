@@ -10,6 +10,7 @@ from ferrule.plans.registry import query
 from ferrule.plans.scanning import Reader, read_pages
 from ferrule.plans.slots import Slots, cached_captions
 from ferrule.sources import tables as sources
+from ferrule.sources.scratch import materialise
 from ferrule.sources.tables import table
 
 POOL = ["alpha", "beta", "gamma"]
@@ -221,18 +222,22 @@ def red_mapping(spark, d):
     return redaction.mapping(words.withColumn("type", F.substring("entity", 1, 1)))
 
 
+def redacted(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Redacted texts and the mapping; spans and mapping are stored, as each is used more than once."""
+    s = materialise(found, "spans")
+    m = materialise(redaction.mapping(s), "mapping")
+    return redaction.redact(docs, s, m), m
+
+
 @query("red_redact")
 def red_redact(spark, d):
-    s = spans(spark, d)
-    return redaction.redact(table(spark, d, "documents").select("doc_id", "text"), s, redaction.mapping(s))
+    return redacted(table(spark, d, "documents").select("doc_id", "text"), spans(spark, d))[0]
 
 
 @query("red_round_trip", "SELECT doc_id, text FROM documents")
 def red_round_trip(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    s = spans(spark, d, True)
-    m = redaction.mapping(s)
-    return redaction.restore(redaction.redact(docs, s, m), m)
+    return redaction.restore(*redacted(docs, spans(spark, d, True)))
 
 
 @query("red_irreversible", "SELECT CAST(-1 AS BIGINT) AS doc_id, '<ORG_1>' AS token")
@@ -247,5 +252,4 @@ m AS (SELECT w, row_number() OVER (ORDER BY min((doc_id, i))) AS idx FROM o GROU
 SELECT doc_id, replace(replace(text, 'Then', '<ORG_' || coalesce(n, 0) || '>'), 'The', '<ORG_' || coalesce(e, 0) || '>') AS redacted_text, CAST(len(regexp_extract_all(text, 'Then|The')) AS INTEGER) AS spans_replaced FROM documents, a""")
 def red_redact_literals(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    s = redaction.entities(docs, redaction.Dictionary({"ORG": ("The", "Then")}))
-    return redaction.redact(docs, s, redaction.mapping(s))
+    return redacted(docs, redaction.entities(docs, redaction.Dictionary({"ORG": ("The", "Then")})))[0]

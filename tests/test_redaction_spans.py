@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from hypothesis import given
@@ -66,3 +67,37 @@ def test_hundred_thousand(spark, sf):
     d = Dictionary({"W": tuple(words), "N": tuple(f"none of {i}" for i in range(100_000))})
     few = Dictionary({"W": tuple(words)})
     assert got(redaction.entities(docs, d)) == brute(rows, few)
+
+
+def test_texts_are_searched_and_redacted_once(spark, sf, monkeypatch):
+    """A round trip searches each text once and redacts it once, whatever uses spans and texts afterwards."""
+    from ferrule.plans import queries_process
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").count()
+    seen = {n: spark.sparkContext.accumulator(0) for n in ("found", "redacted")}
+
+    def counted(df, name):
+        def run(batches):
+            for b in batches:
+                seen[name].add(b.num_rows)
+                yield b
+
+        return df.mapInArrow(run, df.schema)
+
+    entities, redact = redaction.entities, redaction.redact
+    monkeypatch.setattr(redaction, "entities", lambda docs, *a: entities(counted(docs.select("doc_id", "text"), "found"), *a))
+    monkeypatch.setattr(redaction, "redact", lambda *a: counted(redact(*a), "redacted"))
+    back = {r["doc_id"]: r["text"] for r in queries_process.red_round_trip(spark, sf).collect()}
+    assert back == {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert {n: a.value for n, a in seen.items()} == {"found": docs, "redacted": docs}
+
+
+def test_redacting_a_long_text(spark):
+    """A token costs its own length, not the text before it."""
+    text = "xé Acme y " * 40_000 + "end"
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "plain")], "doc_id long, text string")
+    s = redaction.entities(docs, Dictionary({"ORG": ("Acme",)}))
+    begun = time.monotonic()
+    rows = {r["doc_id"]: (r["redacted_text"], r["spans_replaced"]) for r in redaction.redact(docs, s, redaction.mapping(s)).collect()}
+    assert time.monotonic() - begun < 20
+    assert rows == {1: (text.replace("Acme", "<ORG_1>"), 40_000), 2: (None, 0), 3: ("plain", 0)}
