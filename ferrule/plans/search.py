@@ -18,6 +18,8 @@ from ferrule.sources.scratch import materialise
 
 #: Fixed values.
 RETRIEVED, ANSWERED_FROM, MOST_RESULTS, MOST_QUESTION = 10, 5, 50, 1000
+#: What a vector carries of its chunk, as points of a vector store do.
+PAYLOAD = ("file", "page", "chunk_type", "question_no")
 
 
 @dataclass
@@ -25,6 +27,7 @@ class Collection:
     """A collection's tables.  ``chunks`` has ``chunk_id, ord, text, file, page, chunk_type`` and the reference fields."""
 
     chunks: DataFrame
+    #: ``chunk_id, embedding``, and what ``PAYLOAD`` names
     vectors: DataFrame
     index: bm25.Index
     edges: DataFrame
@@ -55,12 +58,13 @@ def ingest_path(spark: SparkSession, path: str, structure: Structure = CONTRACT_
 
 def collect(chunks: DataFrame, slots: Slots = Slots()) -> Collection:  # noqa: B008
     """A collection of chunks; chunks that come again replace their content."""
-    rows = chunks.withColumn("chunk_id", F.col("id"))
-    last = F.max_by(F.struct(*(c for c in rows.columns if c not in ("chunk_id", "ord"))), "ord").alias("_l")
+    # dealt by id first, so that rows are sorted once, in parts of a shuffle, and not before it too; of equal places the last file's is taken
+    rows = chunks.withColumn("chunk_id", F.col("id")).repartition("chunk_id")
+    last = F.max_by(F.struct(*(c for c in rows.columns if c not in ("chunk_id", "ord"))), F.struct("ord", "file")).alias("_l")
     # the chunk table comes first: vectors, index and graph are derived from what is stored
     rows = materialise(rows.groupBy("chunk_id").agg(F.min(F.struct("file", "ord")).alias("ord"), last).select("chunk_id", "ord", "_l.*"), "chunks")
     text = indexable(F.col("text"), F.col("caption"))
-    vectors = materialise(rows.select("chunk_id", slots.embed(text).alias("embedding")), "vectors")
+    vectors = materialise(rows.select("chunk_id", slots.embed(text).alias("embedding"), *PAYLOAD), "vectors")
     return Collection(rows, vectors, bm25.build(rows.select("chunk_id", "ord", text.alias("text")), slots.tokenise), graph.mentions(rows))
 
 
