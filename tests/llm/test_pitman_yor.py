@@ -275,3 +275,53 @@ def test_order_of_hashes():
     for n in (0, 1, 2, 3, 1000):
         for keys in (rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2), rng.integers(0, 5, n).astype(np.uint64), np.uint64((1 << 64) - 1) - rng.integers(0, 9, n).astype(np.uint64)):
             assert keys[p._order(keys)].tolist() == sorted(keys.tolist())
+
+
+def test_every_sample_seats_shared_restaurants_anew(monkeypatch):
+    """Restaurants that several buckets have dishes of have seats of their own in each sample, in which probabilities still sum to one."""
+    learned = corpus()
+    vocabulary = sorted({w for t in learned for w in t.split()})
+    asked = [" ".join(f"w1 w1 {w}" for w in [*vocabulary, "unknown"]), "w1 w1"]
+    texts = [x for pair in zip(learned + [""] * 2, asked + ["w2"] * 200) for x in pair]
+    buckets, deal, *_ = exchanged(texts, 25, monkeypatch)
+    samples = []
+    moved = several = 0
+    for b in buckets.values():
+        seats = np.stack([b.pair.t[b.open_trigram], *(x.pair.t for x in b.beside)]) if b.beside else np.zeros((p.SAMPLES, 0))
+        assert len(b.beside) in (0, p.SAMPLES - 1)
+        many = b.pair.c[b.open_trigram] > 3 if b.beside else np.zeros(0, bool)
+        several += many.sum()
+        moved += (seats[:, many] != seats[0, many]).any(axis=0).sum()
+    assert several > 50 and moved > several / 2
+    name = lambda w: np.array([int(p._tokens(__import__("pyarrow").array([w]))[0][0])], np.uint64)
+    assert deal.is_split(name("w1"))[0]
+    keys = {int(p._trigram(name("w1"), name("w1"), w)[0]) for w in [*(name(w) for w in [*vocabulary, "unknown"]), np.array([p.END])]}
+    for number in range(p.SAMPLES):
+        total = 0.0
+        for b in buckets.values():
+            b._seat_root(number)
+            got = b.predict()
+            if number and b.beside:
+                got[b.open_trigram] = b.beside[number - 1].predict(b.root.probability(b._base()))
+            total += sum(x for k, x in zip(b.trigrams.tolist(), got.tolist()) if k in keys)
+        samples.append(total)
+    assert samples == pytest.approx([1] * p.SAMPLES, abs=1e-9)
+
+
+def test_several_buckets_as_one(monkeypatch):
+    """The mean of many samples, by the rounds as they run, with words that are split over buckets, and that of one bucket's chain."""
+    texts = [x for t in corpus(400, 8, 3) for x in (t, "")]
+    (one,) = exchanged(texts, 1, monkeypatch)[0].values()
+    one.shared = False
+    one.root.other_c[:], one.root.other_t[:] = 0, 0
+    mean = np.zeros(len(one.trigrams))
+    for _ in range(600):
+        one.sweep()
+        mean += one.predict() / 600
+    expected = dict(zip(one.trigrams.tolist(), mean.tolist()))
+    monkeypatch.setattr(p, "SAMPLES", 150)
+    monkeypatch.setattr(p, "BURN_IN", 6)
+    buckets, deal, *_ = exchanged(texts, 6, monkeypatch)
+    assert len(deal.split) >= 2
+    ratios = [x / expected[k] for b in buckets.values() for k, x in zip(b.trigrams.tolist(), b.sampled().tolist())]
+    assert len(ratios) == len(expected) and 0.97 < np.mean(ratios) < 1.03 and min(ratios) > 0.7 and max(ratios) < 1.4
