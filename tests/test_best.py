@@ -57,3 +57,54 @@ def test_vectors_in_slices(spark, monkeypatch):
         if norm[i] > 0:
             ranked = sorted((-round(float(e[i] @ e[j] / norm[i] / norm[j]), 9) + 0.0, f"v{j}") for j in range(60) if norm[j] > 0)[:5]
             assert [(r["chunk_id"], r["score"]) for r in got if r["query_id"] == f"v{i}"] == [(j, pytest.approx(-s)) for s, j in ranked]
+
+
+def test_equal_vectors_are_searched_once(spark, monkeypatch):
+    """Queries that share a vector share a search, and each gets its whole result."""
+    rng = np.random.default_rng(4)
+    stored = rng.integers(-2, 3, (300, 4)).astype(float)
+    asked = rng.integers(-1, 2, (3, 4)).astype(float) + 0.5
+    v = spark.createDataFrame([(f"c{i}", x.tolist()) for i, x in enumerate(stored)], "chunk_id string, embedding array<float>")
+    q = spark.createDataFrame([(i, asked[i % 3].tolist()) for i in range(40)] + [(99, None)], "query_id long, embedding array<float>")
+    monkeypatch.setattr(vector, "QUERY_BLOCK", 3)
+    got = vector.top_k(v, q, 7)
+    searches = got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+    assert searches == 1
+    found = {}
+    for r in got.orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append((r["chunk_id"], r["score"]))
+    norm = np.linalg.norm(stored, axis=1)
+    for i in range(40):
+        x = asked[i % 3] / np.linalg.norm(asked[i % 3])
+        scores = sorted((-round(float(x @ s / n), 9), f"c{c}") for c, (s, n) in enumerate(zip(stored, norm)) if n)
+        assert [c for c, _ in found[i]] == [c for _, c in scores[:7]]
+    assert set(found) == set(range(40))
+
+
+def test_hashed_words():
+    """Vectors of many texts at once are those of one after the other."""
+    import zlib
+
+    texts = ["A b  a\tc", None, "", " \n", "ünï A a b's", "x " * 50]
+    expected = np.zeros((len(texts), 8), np.float32)
+    for i, t in enumerate(texts):
+        for w in (t or "").lower().split():
+            h = zlib.crc32(w.encode())
+            expected[i, h % 8] += 1 if h >> 16 & 1 else -1
+    assert (vector._hashed(texts, 8) == expected).all()
+    assert vector._hashed([None], 8).tolist() == [[0] * 8] and vector._hashed([], 8).shape == (0, 8)
+
+
+def test_blocks_of_many_signatures_are_halved(spark, monkeypatch):
+    """Questions that share common terms go to the index at once, others in smaller blocks; results are the same."""
+    texts = [f"a{'  b' * (i % 3)} c{i % 5} d{i}" for i in range(60)]
+    index = bm25.build(spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "chunk_id long, ord long, text string"))
+    asked = spark.createDataFrame([(i, f"a c{i % 5} d{i}" + " b" * (i % 4)) for i in range(40)], "query_id long, text string")
+    scans = []
+    real = bm25._block
+    monkeypatch.setattr(bm25, "_block", lambda index, some, first, k: scans.append(len(some)) or real(index, some, first, k))
+    rows = lambda: sorted(map(tuple, bm25.top_k(index, asked, 6).collect()))
+    whole = rows()
+    assert scans == [40]
+    monkeypatch.setattr(bm25, "SIGNATURES", 6)
+    assert rows() == whole and len(scans) > 3
