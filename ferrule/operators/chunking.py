@@ -24,6 +24,7 @@ QUESTION_MOST, PARAGRAPH_MOST = 2000, 1000
 TINY, CUT_FROM, CUT_TO = 200, 400, 800
 #: Characters, and rows, of chunks that leave a task at a time.
 EMITTED, EMITTED_ROWS = 4 << 20, 4096
+_LINES = re.IGNORECASE | re.MULTILINE
 _TERMINATOR = re.compile(r"[.!?。！？](?=\s|$)")
 _BLANK = re.compile(r"\n\s*\n")
 
@@ -71,7 +72,7 @@ class _Headers:
     """The header that holds at an offset: the last one whose line was read by then."""
 
     def __init__(self, pattern: str | None, text: str):
-        found = [(m.end(), m.group(1).strip(), m) for m in re.finditer(pattern, text, re.IGNORECASE | re.MULTILINE)] if pattern else []
+        found = [(m.end(), m.group(1).strip(), m) for m in re.finditer(pattern, text, _LINES)] if pattern else []
         self.ends, self.names = [e for e, _, _ in found], [n for _, n, _ in found]
         self.pattern, self.text = pattern, text
 
@@ -80,7 +81,7 @@ class _Headers:
         # text that ends inside a header may show a shorter one
         if self.pattern and k < len(self.ends):
             line = self.text.rfind("\n", 0, end) + 1
-            m = re.compile(self.pattern, re.IGNORECASE | re.MULTILINE).search(self.text[:end], line)
+            m = re.compile(self.pattern, _LINES).search(self.text[:end], line)
             if m:
                 return m.group(1).strip()
         return self.names[k - 1] if k else None
@@ -94,7 +95,7 @@ def chunk_file(file: str, pages: list[tuple[int, str, str]], structure: Structur
         starts.append(at)
         at += len(t) + 1
     full = "".join(t + "\n" for _, t in plain)
-    questions = list(re.finditer(structure.question, full, re.IGNORECASE | re.MULTILINE)) if structure.question else []
+    questions = list(re.finditer(structure.question, full, _LINES)) if structure.question else []
     edges = [*(m.start() for m in questions), len(full)]
     sections, clauses = _Headers(structure.section, full), _Headers(structure.clause, full)
     rules = [(re.compile(p, re.IGNORECASE), target) for p, target in structure.references]
@@ -131,8 +132,9 @@ def chunk_batches(batches: Iterator[pa.RecordBatch], structure: Structure, schem
     for batch in batches:
         rows, size = [], 0
         for i in range(batch.num_rows):
-            file, group = batch.column("file")[i].as_py(), batch.column("pages")[i].as_py()
-            for n, r in enumerate(chunk_file(file, [(p["page_num"], p["text"] or "", p["page_kind"]) for p in group], structure)):
+            file, group = batch.column("file")[i].as_py(), batch.column("pages")[i].values
+            numbers, texts, kinds = (group.field(name).to_pylist() for name in ("page_num", "text", "page_kind"))
+            for n, r in enumerate(chunk_file(file, [(p, t or "", kind) for p, t, kind in zip(numbers, texts, kinds, strict=True)], structure)):
                 rows.append({**r, "ord": n})
                 size += len(r["text"])
                 if size >= EMITTED or len(rows) >= EMITTED_ROWS:
